@@ -17,6 +17,13 @@ BROADCAST_ROWS = 200_000
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 _own_dir: dict[str, str] = {}
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+
+
+def columns(text: str) -> T.StructType:
+    """A schema from "name type, name type", without a session; types are those of _TYPES and arrays of them."""
+    pairs = (x.split() for x in text.split(","))
+    return T.StructType([T.StructField(n, T.ArrayType(_TYPES[t[6:-1]]) if t.startswith("array<") else _TYPES[t]) for n, t in pairs])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

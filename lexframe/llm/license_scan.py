@@ -12,9 +12,9 @@ import functools
 
 import ahocorasick
 import regex
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame
 
-from .common import map_docs
+from .common import columns, map_docs
 
 #: Fixed: base phrases and their labels; then the notices of the method's own, with theirs.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -95,7 +95,7 @@ def find(norm: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
-SCHEMA = T.StructType.fromDDL("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches string")
+SCHEMA = columns("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches string")
 
 
 def _scan(raw: bytes) -> list[tuple]:

@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, map_docs, sized, window_hashes, word_hashes
+from .common import columns, cut, map_docs, sized, window_hashes, word_hashes
 
 #: Rows a group needs for an estimate of its own; share of rows that the estimate rests on; concentration steps.
 LEAST, SHARE, STEPS = 60, 0.75, 4
@@ -36,7 +36,7 @@ D = len(NAMES)
 SYMBOLS = re.compile(rb"[#*$%&|<>]+")
 MARKS = re.compile(rb"[!?;:\"'()\[\]{}@_=+/\\~^`]+")
 CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]+")
-STATS = T.StructType.fromDDL("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint, n_marks bigint")
+STATS = columns("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint, n_marks bigint")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -101,7 +101,7 @@ def vector() -> list[Column]:
 X = [f"x{k}" for k in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 SUMS = ["n", *(f"s{i}" for i in range(D)), *(f"s{i}_{j}" for i, j in PAIRS)]
-PARAMS = T.StructType.fromDDL("g string, center array<double>, whiten array<double>")
+PARAMS = columns("g string, center array<double>, whiten array<double>")
 
 
 def _sums() -> list[Column]:

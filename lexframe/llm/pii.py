@@ -14,7 +14,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame, types as T
 
-from .common import map_docs
+from .common import columns, map_docs
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "url")
 #: Fixed forms of the base kinds; a match lies in a run of the characters that its kind may have.
@@ -126,8 +126,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-SPANS = T.StructType.fromDDL("spans array<struct<start:bigint,kind:string,end:bigint>>")
-DIGEST = T.StructType.fromDDL("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())])
+SPANS = T.StructType([T.StructField("spans", T.ArrayType(SPAN))])
+DIGEST = columns("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

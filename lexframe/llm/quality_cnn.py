@@ -15,9 +15,9 @@ scores 0.5 throughout; other columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_docs
+from .common import columns, map_docs
 
 FILTERS, WIDTH, HALF_CHUNK = 8, 4, 128
 #: Bytes that are worked on at once; a multiple of half a chunk, so long documents need no more memory.
@@ -134,5 +134,5 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 700) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on)."""
     net = fit(docs, labels, per_class)
-    scored = map_docs(docs, lambda raw: [(net.score(raw),)], T.StructType.fromDDL("score double"), ["doc_id"])
+    scored = map_docs(docs, lambda raw: [(net.score(raw),)], columns("score double"), ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
