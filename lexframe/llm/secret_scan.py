@@ -10,6 +10,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -51,53 +52,76 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(NO_SPANS))
 
 
-def tail(z: Column) -> Column:
-    """Upper tail of the normal distribution, by a polynomial good to 1e-7 (Abramowitz and Stegun 26.2.17)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    q = F.exp(-a * a / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.greatest(F.when(z >= 0, q).otherwise(1 - q), F.lit(1e-300))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def log_tail(z: Column, sides: int = 1) -> Column:
+    """Logarithm of the upper tail (or both) of the normal distribution, by a polynomial good to 1e-7
+    (Abramowitz and Stegun 26.2.17)."""
+    powers = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = lambda z, t: F.exp(-z * z / 2) / 2.5066282746310002 * powers(t)
+    both = lambda z, q: F.log(F.greatest(F.least(sides * F.when(z >= 0, q).otherwise(1 - q), F.lit(1.0)), F.lit(1e-300)))
+    return let(z, lambda z: let(1 / (1 + 0.2316419 * F.abs(z)), lambda t: let(upper(z, t), lambda q: both(z, q))))
 
 
 def battery(token: Column) -> Column:
     """(encoding, p): p is the chance that characters drawn uniformly from the inferred alphabet look at least
     as odd. Chi-squared of the characters, chi-squared of the classes, runs above the middle, serial correlation."""
     which = F.coalesce(*(F.when(token.rlike(p), F.lit(k)) for k, (p, _) in enumerate(ENCODINGS)))
-    alphabet = F.element_at(F.array(*(F.lit(a) for _, a in ENCODINGS)), which + 1)
-    plain = F.translate(F.regexp_replace(F.when(which == 0, F.lower(token)).otherwise(token), "=+$", ""), "-_=", "+/+")
-    s = F.struct(which.alias("encoding"), alphabet.alias("abc"), plain.alias("s"))
-    return F.transform(F.array(s), _tested)[0]
+    alphabets = F.array(*(F.lit(a) for _, a in ENCODINGS))
+    plain = lambda w: F.translate(F.regexp_replace(F.when(w == 0, F.lower(token)).otherwise(token), "=+$", ""), "-_=", "+/+")
+    inferred = let(which, lambda w: F.struct(w.alias("encoding"), F.element_at(alphabets, w + 1).alias("abc"), plain(w).alias("s")))
+    return let(let(let(let(inferred, _counted), _moments), _scores), _combined)
 
 
-def _tested(x: Column) -> Column:
-    n, k = F.length(x["s"]).cast("double"), F.length(x["abc"]).cast("double")
+def _counted(x: Column) -> Column:
+    """Numbers of the alphabet's characters, of its classes, and the places of the token's characters in it."""
+    letters = F.filter(F.split(x["abc"], ""), lambda c: c != "")
     count = lambda c: (F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit("")))).cast("double")
-    squares = F.aggregate(F.split(x["abc"], ""), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(count(c) * count(c)))
-    chi = k / n * squares - n
-    z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
-    share = lambda pattern: (F.length(F.regexp_replace(x["s"], pattern, "")) / n, F.length(F.regexp_replace(x["abc"], pattern, "")) / k)
-    parts = [share(p) for p in ("[^0-9]", "[^a-z]", "[^A-Z]", "[0-9A-Za-z]")]
-    classes = n * sum((F.when(e > 0, (o - e) * (o - e) / e).otherwise(0.0) for o, e in parts[1:]), (parts[0][0] - parts[0][1]) * (parts[0][0] - parts[0][1]) / F.greatest(parts[0][1], F.lit(1e-9)))
-    free = F.greatest(sum((F.when(e > 0, 1.0).otherwise(0.0) for _, e in parts[1:]), F.lit(1.0)) - 1, F.lit(1.0))
-    z_class = (F.pow(classes / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+    share = lambda text, pattern: (F.length(F.regexp_replace(text, pattern, "")) / F.length(text)).cast("double")
+    classes = F.array(*(F.struct(share(x["s"], p).alias("o"), share(x["abc"], p).alias("e")) for p in ("[^0-9]", "[^a-z]", "[^A-Z]", "[0-9A-Za-z]")))
     places = F.transform(F.split(x["s"], ""), lambda c: F.instr(x["abc"], c).cast("double") - 1)
-    return F.transform(F.array(F.struct(x["encoding"].alias("encoding"), n.alias("n"), k.alias("k"), z_chi.alias("z_chi"), z_class.alias("z_class"), F.filter(places, lambda v: v >= 0).alias("v"))), _combined)[0]
+    return F.struct(
+        x["encoding"].alias("encoding"), F.length(x["s"]).cast("double").alias("n"), F.length(x["abc"]).cast("double").alias("k"),
+        F.transform(letters, count).alias("counts"), F.filter(classes, lambda c: c["e"] > 0).alias("classes"), F.filter(places, lambda v: v >= 0).alias("v"),
+    )
+
+
+def total(values: Column, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, y: a + of(y))
+
+
+def _moments(x: Column) -> Column:
+    v, m = x["v"], F.size(x["v"])
+    squares = total(x["counts"], lambda c: c * c)
+    odd = total(x["classes"], lambda c: (c["o"] - c["e"]) * (c["o"] - c["e"]) / c["e"])
+    pairs = F.zip_with(F.slice(v, 1, m - 1), F.slice(v, 2, m - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.struct(
+        x["encoding"].alias("encoding"), x["n"].alias("n"), x["k"].alias("k"), v.alias("v"), pairs.alias("pairs"),
+        (x["k"] / x["n"] * squares - x["n"]).alias("chi"), (x["n"] * odd).alias("odd"), F.greatest(F.size(x["classes"]) - 1, F.lit(1)).cast("double").alias("free"),
+        (total(v, lambda y: y) / m).alias("mean"), total(v, lambda y: F.when(y >= x["k"] / 2, 1.0).otherwise(0.0)).alias("high"), m.cast("double").alias("m"),
+    )
+
+
+def _scores(x: Column) -> Column:
+    free, n, m, high = x["free"], x["n"], x["m"], x["high"]
+    expected = 2 * high * (m - high) / m + 1
+    runs = 1 + total(x["pairs"], lambda y: F.when((y["a"] >= x["k"] / 2) != (y["b"] >= x["k"] / 2), 1.0).otherwise(0.0))
+    return F.struct(
+        x["encoding"].alias("encoding"), m.alias("m"), expected.alias("expected"), runs.alias("runs"), ((expected - 1) * (expected - 2) / (m - 1)).alias("spread"),
+        ((x["chi"] - (x["k"] - 1)) / F.sqrt(2 * (x["k"] - 1) * (1 - 1 / n))).alias("z_chi"),
+        ((F.pow(x["odd"] / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))).alias("z_class"),
+        total(x["v"], lambda y: (y - x["mean"]) * (y - x["mean"])).alias("var"), total(x["pairs"], lambda y: (y["a"] - x["mean"]) * (y["b"] - x["mean"])).alias("serial"),
+    )
 
 
 def _combined(x: Column) -> Column:
-    v, n = x["v"], F.size(x["v"]).cast("double")
-    mean = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
-    high = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.when(y >= x["k"] / 2, 1.0).otherwise(0.0))
-    next_ = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + F.aggregate(next_, F.lit(0.0), lambda a, y: a + F.when((y["a"] >= x["k"] / 2) != (y["b"] >= x["k"] / 2), 1.0).otherwise(0.0))
-    expected = 2 * high * (n - high) / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    z_runs = F.when(spread > 1e-9, F.abs(runs - expected) / F.sqrt(spread)).otherwise(10.0)
-    var = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
-    serial = F.aggregate(next_, F.lit(0.0), lambda a, y: a + (y["a"] - mean) * (y["b"] - mean))
-    z_serial = F.when(var > 1e-9, F.abs(serial / var + 1 / n) * F.sqrt(n)).otherwise(10.0)
-    half = -(F.log(tail(x["z_chi"])) + F.log(tail(x["z_class"])) + F.log(F.least(2 * tail(z_runs), F.lit(1.0))) + F.log(F.least(2 * tail(z_serial), F.lit(1.0))))
-    p = F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)  # Fisher: chi-squared of 8 degrees
+    z_runs = F.when(x["spread"] > 1e-9, F.abs(x["runs"] - x["expected"]) / F.sqrt(x["spread"])).otherwise(10.0)
+    z_serial = F.when(x["var"] > 1e-9, F.abs(x["serial"] / x["var"] + 1 / x["m"]) * F.sqrt(x["m"])).otherwise(10.0)
+    half = -(log_tail(x["z_chi"]) + log_tail(x["z_class"]) + log_tail(z_runs, 2) + log_tail(z_serial, 2))
+    p = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))  # Fisher: chi-squared of 8 degrees
     return F.struct(x["encoding"].alias("encoding"), F.greatest(p, F.lit(1e-60)).alias("p"))
 
 
