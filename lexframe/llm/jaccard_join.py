@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SIMILARITY, columns, cut, map_docs, shingle_set, sized
+from .common import SIMILARITY, columns, cut, map_docs, shingle_set, sized, unused
 
 BANDS, ROWS = 25, 4
 HASHES, STEP = BANDS * ROWS, 20
@@ -85,11 +85,14 @@ def needed(n: int, threshold: float) -> int:
     return n
 
 
-def survivors(sigs: np.ndarray, block: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x, y), as places in a tile, that share this band first and pass the pruning. Members of two blocks
-    are paired across, those of one block with each other."""
-    two = len(np.unique(block)) > 1
-    x, y = (a.ravel() for a in np.meshgrid(np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), indexing="ij")) if two else np.triu_indices(len(block), 1)
+def survivors(sigs: np.ndarray, block: np.ndarray, across: bool, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y), as places in a tile, that share this band first and pass the pruning. A tile of two
+    blocks pairs them across (one may have no members), a tile of one its members with each other."""
+    if across:
+        low = block == block.min()
+        x, y = (a.ravel() for a in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low), indexing="ij"))
+    else:
+        x, y = np.triu_indices(len(block), 1)
     for k in range(0, band):  # not met in a band before
         own = slice(k * ROWS, (k + 1) * ROWS)
         fresh = (sigs[x, own] != sigs[y, own]).any(axis=1)
@@ -108,10 +111,10 @@ def _pruner(threshold: float):
 
         schema = to_arrow_schema(PRUNED)
         for batch in batches:
-            for tile, band, members in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for tile, band, across, members in zip(*(batch.column(k) for k in range(4)), strict=True):
                 rows = members.values
                 sigs = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-                x, y = survivors(sigs, rows.field("block").to_numpy(), band.as_py(), threshold)
+                x, y = survivors(sigs, rows.field("block").to_numpy(), across.as_py(), band.as_py(), threshold)
                 if not len(x):
                     continue
                 order = np.argsort(x, kind="stable")
@@ -193,12 +196,12 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     n_blocks = F.ceil(F.col("m") / BLOCK)
     members = buckets.join(counts, ["band", "value"]).withColumns({"n_blocks": n_blocks, "block": F.pmod(F.xxhash64("key", "value"), n_blocks)})
     tiles = members.select("key", "band", "value", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other"))
-    tiles = cut(tiles.select("key", "band", "block", F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "tiles")
+    tiles = cut(tiles.select("key", "band", "block", (F.col("block") != F.col("other")).alias("across"), F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "tiles")
 
     ids = cut(tiles.select("key").distinct().join(texts, "key"), "ids")
     holders = rows.join(sized(ids.select("th")), "th", "left_semi").dropDuplicates(["th"]).join(ids, "th").select("key", "copies", "text")
     sets = cut(map_docs(holders, _sets, SETS, ["key", "copies"]), "sets")
-    packed = tiles.join(sets.select("key", "sig"), "key").groupBy("tile", "band").agg(F.collect_list(F.struct("key", "block", "sig")).alias("members")).filter(F.size("members") > 1)
+    packed = tiles.join(sets.select("key", "sig"), "key").groupBy("tile", "band", "across").agg(F.collect_list(F.struct("key", "block", "sig")).alias("members")).filter(F.size("members") > 1)
     pruned = cut(packed.mapInArrow(_pruner(threshold), PRUNED), "pruned")
     packed = pruned.join(sets.select("key", "copies", "shingles"), "key").groupBy("tile").agg(F.collect_list(F.struct("key", "no", "partners", "copies", "shingles")).alias("members"))
     verified = cut(packed.select("members").mapInArrow(_verifier(threshold), VERIFIED), "verified")
@@ -217,12 +220,12 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     words all stay. Of rows with that id and equal texts one stays; a class of null ids only stays as it is."""
     found = cut(classes(docs, threshold), "classes")
     winners = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max("n_links").alias("links"))
-    winners = cut(winners.select(F.col("doc_id").alias("_id"), F.col("th").alias("_t"), ((F.col("n") > 1) & (F.col("links") > 0) & F.col("doc_id").isNotNull()).alias("_many")), "winners")
-    columns = docs.columns
-    marked = docs.withColumn("_th", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
-    single = marked.join(winners.filter("not _many"), same, "left_semi").select(columns)
-    several = marked.join(winners.filter("_many"), same, "left_semi").dropDuplicates(["doc_id", "_th"]).select(columns)
+    columns, (own, id_, th, many) = docs.columns, unused(docs, "_th", "_id", "_t", "_many")
+    winners = cut(winners.select(F.col("doc_id").alias(id_), F.col("th").alias(th), ((F.col("n") > 1) & (F.col("links") > 0) & F.col("doc_id").isNotNull()).alias(many)), "winners")
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th))
+    single = marked.join(winners.filter(~F.col(many)), same, "left_semi").select(columns)
+    several = marked.join(winners.filter(F.col(many)), same, "left_semi").dropDuplicates(["doc_id", own]).select(columns)
     return single.unionByName(several)
 
 
