@@ -22,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import columns, cut, sized
+from .common import columns, cut, sized, unused
 
 #: Documents in a block; slots of a period; documents in a hash bucket, about.
 BLOCK, PERIOD, BUCKET = 16, 1000, 2000
@@ -96,39 +96,39 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     by slot and place, the documents follow the weights. Every row has a place; none is dropped or repeated."""
     docs = docs.drop(*PLACES)
     spark = docs.sparkSession
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))
-    rows = docs.withColumns({"_key": key(F.col("source")), "_order": order})
-    total = docs.count()
-    n_buckets = max(1, -(-total // BUCKET))
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(n_buckets)))
-    counts = cut(rows.groupBy("_key", "_bucket").agg(F.count("*").alias("_n")), "counts")
-    sizes = counts.groupBy("_key").agg(F.sum("_n").alias("n"))
-    held = {r["_key"]: r["n"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
+    source, order, bucket, offset, i = unused(docs, "_key", "_order", "_bucket", "_offset", "_i")
+    rows = docs.withColumns({source: key(F.col("source")), order: F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))})
+    n_buckets = max(1, -(-docs.count() // BUCKET))
+    rows = rows.withColumn(bucket, F.pmod(F.shiftrightunsigned(order, 20), F.lit(n_buckets)))
+    counts = cut(rows.groupBy(source, bucket).agg(F.count("*").alias("n")), "counts")
+    sizes = counts.groupBy(source).agg(F.sum("n").alias("n"))
+    held = {r[source]: r["n"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
     if len(held) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: map them to fewer before mixing")
     given = {key_of(s): w for s, w in (weights or {}).items()}
     target = {s: given.get(s, other if other is not None else n**POWER) for s, n in held.items()}
     table = spark.createDataFrame(schedule({s: -(-n // block) for s, n in held.items()}, target), SCHEDULE)
 
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_key", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id")
-    numbered = (
-        rows.withColumn("_i", F.row_number().over(within) - 1)
-        .join(sized(offsets), ["_key", "_bucket"])
-        .withColumn("_i", F.col("_i") + F.col("_offset"))
-        .withColumns({"block": F.floor(F.col("_i") / block), "place": F.col("_i") % block})
+    before = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(source, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
+    # where each block goes, from the numbers of blocks alone: one row for each block
+    where = (
+        sized(table.select("_key", "_first", "_last", "_part", "_period").distinct())
+        .join(sized(table.select("_key", "_first", "_k", "_slot")), ["_key", "_first"])
+        .select(F.col("_key").alias(source), (F.col("_first") + F.col("_k")).alias("_from"), "_last", "_part", "_slot", "_period")
+        .select(source, F.explode(F.sequence("_from", "_last", "_part")).alias("block"), "_from", "_part", "_slot", "_period")
+        .select(source, "block", (F.col("_slot") + F.col("_period") * F.floor((F.col("block") - F.col("_from")) / F.col("_part"))).alias("slot"))
     )
-    where = cut(
-        numbered.select("_key", "block").distinct()
-        .join(sized(table.select("_key", "_first", "_last", "_part", "_period").distinct()), "_key")
-        .filter("block between _first and _last")
-        .withColumns({"_k": (F.col("block") - F.col("_first")) % F.col("_part"), "_n": F.floor((F.col("block") - F.col("_first")) / F.col("_part"))})
-        .join(sized(table.select("_key", "_first", "_k", "_slot")), ["_key", "_first", "_k"])
-        .select("_key", "block", (F.col("_slot") + F.col("_n") * F.col("_period")).alias("slot")),
-        "slots",
+    where = cut(where, "slots")
+    within = Window.partitionBy(source, bucket).orderBy(order, "doc_id")
+    return (
+        rows.withColumn(i, F.row_number().over(within) - 1)
+        .join(sized(offsets), [source, bucket])
+        .withColumn(i, F.col(i) + F.col(offset))
+        .withColumns({"block": F.floor(F.col(i) / block), "place": F.col(i) % block})
+        .join(sized(where), [source, "block"])
+        .select(*docs.columns, *PLACES)
     )
-    return numbered.join(where, ["_key", "block"]).select(*docs.columns, *PLACES)
 
 
 def key_of(source: str | None) -> str:
