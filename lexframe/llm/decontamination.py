@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, cut, sized
+from .common import SHINGLE_WORDS, SIMILARITY, cut, sized, unused
 
 SKETCH = 16
 #: A document that contains enough of an item is missed with less than this chance.
@@ -96,8 +96,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents that contain no item; columns as they are."""
-    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    (name,) = unused(docs, "_bad")
+    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 #: The same pairs in DuckDB.

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import columns, cut, map_docs, sized
+from .common import columns, cut, map_docs, sized, unused
 
 #: Documents from which a template recurs; leading tokens of a path; tokens a line needs; share of constants.
 MIN_DOCS, DEPTH, LEAST, CONSTANT = 10, 3, 4, 0.5
@@ -97,10 +97,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
 def drop_recurring(docs: DataFrame, **options: float) -> DataFrame:
     """docs with text left of recurring lines, and the columns n_lines and n_dropped (lines with a token)."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = cut(recurring(docs, **options).groupBy("doc_id", "th").agg(F.collect_set("line").alias("_gone")), "gone")
-    joined = docs.withColumn("_th", F.xxhash64("text")).join(
-        gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_t"), "_gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left"
-    )
+    lines, own, id_, th = unused(docs, "_gone", "_th", "_id", "_t")
+    gone = cut(recurring(docs, **options).groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines")), "gone")
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("lines").alias(lines))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th)), "left")
     others = [c for c in docs.columns if c != "text"]
     out = T.StructType([*(docs.schema[c] for c in others), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -108,18 +108,18 @@ def drop_recurring(docs: DataFrame, **options: float) -> DataFrame:
         for batch in batches:
             texts, counts, drops = [], [], []
             for raw, gone in zip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist(), strict=True):
-                lines = (raw or "").encode().split(b"\n")
+                all_lines = (raw or "").encode().split(b"\n")
                 kept, gone, with_token = [], set(gone or ()), 0
-                for x in lines:
+                for x in all_lines:
                     with_token += bool(x.split(None, 1))
                     if not gone or len(t := masked(x)) < LEAST or hashes(t)[1] not in gone:
                         kept.append(x)
                 texts.append(None if raw is None else b"\n".join(kept).decode())
                 counts.append(with_token)
-                drops.append(len(lines) - len(kept))
+                drops.append(len(all_lines) - len(kept))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], names=out.names)
 
-    return joined.select(*others, "text", "_gone").mapInArrow(run, out)
+    return joined.select(*others, "text", lines).mapInArrow(run, out)
 
 
 def dropped(docs: DataFrame, **options: float) -> DataFrame:

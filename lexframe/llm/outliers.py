@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import columns, cut, map_docs, sized, window_hashes, word_hashes
+from .common import columns, cut, map_docs, sized, unused, window_hashes, word_hashes
 
 #: Rows a group needs for an estimate of its own; share of rows that the estimate rests on; concentration steps.
 LEAST, SHARE, STEPS = 60, 0.75, 4
@@ -199,5 +199,6 @@ def quality(docs: DataFrame, **options: float) -> DataFrame:
 
 def keep_quality(docs: DataFrame, **options: float) -> DataFrame:
     """The documents that pass; columns as they are. A doc_id that several rows share goes if one of them fails."""
-    bad = quality(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    (name,) = unused(docs, "_bad")
+    bad = quality(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
