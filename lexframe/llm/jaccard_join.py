@@ -169,10 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))  # a: node, b: neighbour
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # minima are written before they are joined, so that the join's shuffles can be split at a hot centre
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         large = cut(large, "large")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))  # small star: from a node to its smaller neighbours
+        least = cut(large.groupBy("b").agg(F.min("a").alias("m")), "least")  # small star: from a node to its smaller neighbours
         joined = large.join(least, "b")
         small = joined.filter("a > m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(joined.select(F.col("m").alias("x"), F.col("b").alias("y")))
         edges = cut(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
@@ -210,7 +211,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     links = verified.groupBy("key").agg(F.sum("docs").alias("docs"))
     known = cut(texts.select("key", "copies").join(links, "key", "left").join(label, "key", "left").select("key", F.coalesce("label", "key").alias("label"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
     of_row = cut(features.select("doc_id", "th", "key").join(known, "key").select("doc_id", "th", "label", "n_links"), "rows")
-    least = of_row.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least = cut(of_row.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
     found = of_row.join(least, "label").select("doc_id", "th", "class_id", "n_links")
     return found.unionByName(features.filter("key is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
