@@ -90,7 +90,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     templates = cut(templates, "templates")
     held = lines.join(sized(templates), ["leaf", "line"]).select("doc_id", "th", "leaf", "template", "line")
     held = cut(held, "held")
-    first = held.groupBy("leaf", "template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
+    holders = held.select("leaf", "template", "doc_id").distinct()  # counted in two steps: a hot template is spread over its documents
+    first = holders.groupBy("leaf", "template").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
     return held.join(sized(cut(first, "first")), ["leaf", "template"]).filter(~F.col("first").eqNullSafe(F.col("doc_id"))).select("doc_id", "th", "line")
 
 
