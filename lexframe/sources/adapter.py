@@ -86,4 +86,4 @@ def sql(body: str) -> str:
     used = [t for t in TABLES if re.search(rf"\b{t}\b", body)]
     ctes = ",\n".join(f"{t} AS ({re.sub(r'\{(\w+)\}', r'\1', TABLES[t])})" for t in used)
     recursive, rest = ("RECURSIVE ", body[len("WITH RECURSIVE "):]) if body.startswith("WITH RECURSIVE ") else ("", body[len("WITH "):] if body.startswith("WITH ") else None)
-    return f"WITH {recursive}{ctes}{',' if rest else ''}\n{rest or body}"
+    return f"WITH {recursive}{ctes}{',' if rest else ''}\n{rest or body}" if used else body
