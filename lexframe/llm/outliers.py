@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import columns, cut, map_docs, sized, unused, window_hashes, word_hashes
 
 #: Rows a group needs for an estimate of its own; share of rows that the estimate rests on; concentration steps.
-LEAST, SHARE, STEPS = 60, 0.75, 4
+LEAST, SHARE, STEPS = 200, 0.75, 4
 #: Transformed values are held as integers of 1/UNIT, no more than CEILING of them.
 UNIT, CEILING = 512, 512 * 30
-#: Rejected from this squared distance on: the chi-squared quantile (7 degrees) of 1 - 1e-9, with a factor for
-#: tails that are heavier than normal.
-CUTOFF = 53.3 * 2.0
+#: Rejected beyond this squared distance: the chi-squared quantile (7 degrees) of 1 - 1e-4.
+CUTOFF = 29.88
 #: Smallest spread of a coordinate: a statistic that is nearly always 0 must not reject every other value.
 FLOOR = (0.25, 0.15, 0.06, 0.15, 0.15, 0.08, 0.06)
 NAMES = ("words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "marks")

@@ -198,7 +198,7 @@ def test_quality_outliers(spark):
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(60, 300)) for _ in range(150)] + ["#$% | <> & ** " + " ".join(rng.choice("&&& ### $$$ |||".split()) + str(k) for k in range(100)) for _ in range(4)]
     docs = documents(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
-    got = rows(outliers.quality(docs))
+    got = rows(outliers.quality(docs, least=60))
     assert all(got[k].kept for k in range(150)) and not any(got[k].kept for k in range(150, 154))
 
 
