@@ -233,7 +233,7 @@ def pipe_discovery_ingest(t: Tables) -> DataFrame:
     return _ingested(t)["documents"].drop("look_back_date")
 
 
-@query(f"SELECT id AS doc, {KIND} AS request_type, CASE WHEN id % 11 = 0 THEN 'our_client' ELSE 'opposing_counsel' END AS propounded_by, CASE WHEN id % 3 <> 0 THEN CAST(propounded_date AS VARCHAR) END AS service_date, CASE WHEN id % 4 = 1 THEN id % 60 + 1 END::INT AS response_days FROM discovery_requests")
+@query(f"SELECT id AS doc, {KIND} AS request_type, CASE WHEN id % 11 = 0 THEN 'our_client' ELSE 'opposing_counsel' END AS propounded_by, CASE WHEN id % 3 <> 0 THEN CAST(propounded_date AS VARCHAR) END AS service_date, CASE WHEN id % 4 = 1 THEN id % 60 + 1 END::DOUBLE AS response_days FROM discovery_requests")
 def pipe_discovery_classify(t: Tables) -> DataFrame:
     return ingest.classify(_documents(t)).select("doc", "request_type", "propounded_by", "service_date", "response_days")
 

@@ -18,8 +18,9 @@ CLIENT = security.Principal("client", client_id=12)
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Money as double and dates as text, so that engines can be compared."""
-    cast = {name: df[name].cast("double" if kind.startswith("decimal") else "string") for name, kind in df.dtypes if kind.startswith("decimal") or kind == "date"}
+    """Money and nullable integers as double and dates as text, so that engines can be compared."""
+    double = lambda name, kind: kind.startswith("decimal") or name in adapter.NULLABLE and kind != "string"
+    cast = {name: df[name].cast("double" if double(name, kind) else "string") for name, kind in df.dtypes if double(name, kind) or kind == "date"}
     return df.withColumns(cast) if cast else df
 
 
@@ -37,7 +38,7 @@ def query(sql: str | None = None) -> Callable:
 
 def _lookup(name: str, lookup: lookups.Lookup) -> None:
     QUERIES[name] = lambda spark, sf_dir: shown(lookups.run(adapter.load(spark, sf_dir, lookup.table), lookup))
-    ORACLE_SQL[name] = adapter.sql(lookups.sql(lookup, adapter.MONEY, adapter.DATES))
+    ORACLE_SQL[name] = adapter.sql(lookups.sql(lookup, adapter.MONEY | adapter.NULLABLE, adapter.DATES))
 
 
 for _name, _spec in lookups.LOOKUPS.items():
@@ -229,11 +230,11 @@ def join_links_counsel(t: Tables) -> DataFrame:
 PROPOSED = "SELECT s_suppkey AS n, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'TX' END AS bar_state, CAST(24000000 + s_suppkey AS VARCHAR) AS bar_number FROM supplier"
 
 
-@query(f"SELECT p.n, p.bar_state, p.bar_number, CASE WHEN p.bar_state <> '' THEN c.id END AS counsel_id FROM ({PROPOSED}) p LEFT JOIN opposing_counsel c ON c.bar_state = p.bar_state AND c.bar_number = p.bar_number")
+@query(f"SELECT p.n, p.bar_state, p.bar_number, CASE WHEN p.bar_state <> '' THEN c.id END::DOUBLE AS counsel_match FROM ({PROPOSED}) p LEFT JOIN opposing_counsel c ON c.bar_state = p.bar_state AND c.bar_number = p.bar_number")
 def join_counsel_match(t: Tables) -> DataFrame:
     n = F.col("id")
     proposed = t("opposing_counsel").select(n.alias("n"), F.when(n % 5 == 0, "").otherwise("TX").alias("bar_state"), (n + 24000000).cast("string").alias("bar_number"))
-    return relations.match_counsel(proposed, t("opposing_counsel"))
+    return relations.match_counsel(proposed, t("opposing_counsel")).withColumnRenamed("counsel_id", "counsel_match")
 
 
 @query("SELECT DISTINCT matter_id, counsel_id FROM matter_opposing_counsel a WHERE NOT EXISTS (SELECT 1 FROM matter_opposing_counsel b WHERE b.role = 'lead' AND b.matter_id = a.matter_id AND b.counsel_id = a.counsel_id)")
@@ -466,15 +467,15 @@ def fn_strip_fences(t: Tables) -> DataFrame:
     return t("audit_log").select("id", scalar.strip_fences(fenced).alias("stripped"))
 
 
-@query("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(json_extract_string(after_json, '$.k') AS BIGINT) END AS k, id % 5 = 0 AS failed FROM audit_log")
+@query("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(json_extract_string(after_json, '$.k') AS DOUBLE) END AS k, id % 5 = 0 AS failed FROM audit_log")
 def fn_json_parse(t: Tables) -> DataFrame:
     value = ingest.parse_json(F.when(F.col("id") % 5 == 0, "{oops").otherwise(F.col("after_json")), "k bigint")
     return t("audit_log").select("id", value["k"].alias("k"), value.isNull().alias("failed"))
 
 
-@query("SELECT id, json_extract_string(after_json, '$.k') AS k FROM audit_log")
+@query("SELECT id, json_extract_string(after_json, '$.k') AS value FROM audit_log")
 def fn_json_get_text(t: Tables) -> DataFrame:
-    return t("audit_log").select("id", F.get_json_object("after_json", "$.k").alias("k"))
+    return t("audit_log").select("id", F.get_json_object("after_json", "$.k").alias("value"))
 
 
 @query("SELECT id, 'Supplier ' || split_part(slug, '-', 2) AS title FROM staff")

@@ -69,6 +69,8 @@ TABLES = {
 }
 #: What is written to compare engines: money as double, dates as text.
 MONEY = {"default_billing_rate", "retainer_amount", "refresh_trigger_pct", "card_attorney", "card_paralegal", "split_pct", "rate", "amount", "hours"}
+#: Integers that may be null are written as doubles too: data frames differ in how they hold them.
+NULLABLE = {"amends_pleading_id", "counsel_match", "response_days", "k"}
 DATES = {"created_at", "period_start", "period_end", "entry_date", "transaction_date", "event_date", "propounded_date", "date_of_birth", "filed_date"}
 
 
