@@ -7,12 +7,12 @@ the engine splits skewed partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar
 
-#: Searched names are one request's: this many are broadcast at most, more are joined in shuffled blocks.
-SEARCHED = 10_000
+#: This many names are broadcast and compared with every subject; more are joined on pieces.
+FEW = 100
 
 
 def subjects(clients: DataFrame, parties: DataFrame) -> DataFrame:
@@ -39,13 +39,24 @@ def best_of_many(hits: DataFrame) -> DataFrame:
     return hits.groupBy("source", "entity_id", "matched_name").agg(F.max("sim").alias("sim"), best.alias("search"))
 
 
-def search_substring(names: DataFrame, subjects: DataFrame) -> DataFrame:
-    """names within subjects or the other way round; hits are not made distinct. The names searched for are
-    broadcast if they are few; else subjects and names are compared in blocks."""
+def search_substring(names: DataFrame, subjects: DataFrame, few: int = FEW) -> DataFrame:
+    """names within subjects or the other way round; hits of names that are repeated are repeated. A few names are
+    broadcast and compared with every subject in one scan. More meet their subjects on equal beginnings: what is
+    contained begins with one of the short pieces of what contains it, so no pair is compared without cause."""
     asked = names.filter(F.trim("search") != "").withColumn("search", F.lower("search"))
-    if asked.limit(SEARCHED + 1).count() <= SEARCHED:
+    if asked.limit(few + 1).count() <= few:
         return subjects.join(F.broadcast(asked), scalar.substring_match(F.col("name"), F.col("search"))).select("search", "source", "entity_id", "name")
-    return subjects.join(asked, scalar.substring_match(F.col("name"), F.col("search"))).select("search", "source", "entity_id", "name")
+    start = lambda c: F.substring(c, 1, 3)
+    inside = asked.withColumn("_piece", start("search")).join(subjects.select("*", F.explode(pieces(F.col("name"))).alias("_piece")), "_piece").filter(F.contains("name", F.col("search")))
+    around = asked.select("*", F.explode(pieces(F.col("search"))).alias("_piece")).join(subjects.withColumn("_piece", start("name")), "_piece").filter(F.contains("search", F.col("name")) & ~F.contains("name", F.col("search")))
+    columns = ("search", "source", "entity_id", "name")
+    return inside.select(*columns).unionByName(around.select(*columns))
+
+
+def pieces(text: Column) -> Column:
+    """All substrings of up to three characters, the empty one too."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
 
 
 def searched_names(full_name: str, others: str) -> list[str]:

@@ -93,9 +93,15 @@ def unknown_pairs(pairs: DataFrame, matters: DataFrame, staff: DataFrame) -> Dat
 
 
 def running_trust(ledger: DataFrame) -> DataFrame:
-    """The balance after each transaction of a matter."""
-    upto = Window.partitionBy("matter_id").orderBy("transaction_date", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ledger.withColumn("running", F.sum(signed(F.col("transaction_type"), F.col("amount"))).over(upto))
+    """The balance after each transaction of a matter: the sum of the days before, from one row a day, and the
+    running sum within the day. A matter with very many transactions is spread over its days."""
+    amount = signed(F.col("transaction_type"), F.col("amount"))
+    days = ledger.groupBy("matter_id", "transaction_date").agg(F.sum(amount).alias("_day"))
+    earlier = Window.partitionBy("matter_id").orderBy("transaction_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("matter_id", "transaction_date", F.coalesce(F.sum("_day").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("matter_id", "transaction_date").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ledger.withColumn("_within", F.sum(amount).over(within)).join(before, ["matter_id", "transaction_date"])
+    return rows.withColumn("running", F.col("_before") + F.col("_within")).select(*ledger.columns, "running")
 
 
 def latest_version(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:

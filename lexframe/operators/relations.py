@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scalar
+from ..sources.shared import fresh_path
 
 
 def matter_client(matters: DataFrame, clients: DataFrame) -> DataFrame:
@@ -61,7 +62,9 @@ def amend_chains(pleadings: DataFrame) -> DataFrame:
     for _ in range(rounds):
         up = rows.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
         further = rows.join(up, "root", "left").select("id", F.coalesce("_root", "root").alias("next"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "root")
-        further = further.checkpoint() if further.sparkSession.sparkContext.getCheckpointDir() else further
+        path = fresh_path(rows.sparkSession, "chains")
+        further.write.parquet(path)  # lineage ends here: rounds do not pile up
+        further = rows.sparkSession.read.schema(further.schema).parquet(path)
         if not further.filter("next <> root").limit(1).count():
             return further.select("id", F.col("next").alias("root"), "depth")
         rows = further.select("id", F.col("next").alias("root"), "depth")

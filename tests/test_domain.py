@@ -100,6 +100,10 @@ def test_conflicts(spark):
     subjects = conflicts.subjects(clients, parties)
     hits = {(r.search, r.source, r.entity_id) for r in conflicts.search_substring(names, subjects).collect()}
     assert {("ann lee", "client", 1), ("ann lee", "client", 2), ("ann lee", "opposing_party", 7), ("ann lee", "opposing_party", 8)} <= hits
+    assert {(r.search, r.source, r.entity_id) for r in conflicts.search_substring(names, subjects, few=0).collect()} == hits
+    many = spark.createDataFrame([("ann lee",), ("ann lee",), ("o",), ("lee joann leeds",)], "search string")
+    by_scan, by_pieces = (sorted(tuple(r) for r in conflicts.search_substring(many, subjects, few=n).collect()) for n in (100, 0))
+    assert by_scan == by_pieces and len(by_scan) > 8
     best = conflicts.best_of_many(conflicts.search_trigram(names, subjects)).collect()
     assert {(r.source, r.entity_id): r.search for r in best}[("client", 2)] == "joann leed"
     assert ("client", 3) not in {(r.source, r.entity_id) for r in best}
