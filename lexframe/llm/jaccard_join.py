@@ -193,9 +193,9 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     # a text's bands are a function of its set, so any row of it will do
     bands = features.join(texts.select("key", "th").withColumnRenamed("th", "_th"), (F.col("th") == F.col("_th")) & features["key"].eqNullSafe(texts["key"])).select(features["key"], "bands").dropDuplicates(["key"])
     buckets = bands.select("key", F.posexplode("bands").alias("band", "value"))
-    counts = buckets.groupBy("band", "value").agg(F.count("*").alias("m")).filter("m > 1")
+    counts = cut(buckets.groupBy("band", "value").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
     n_blocks = F.ceil(F.col("m") / BLOCK)
-    members = buckets.join(counts, ["band", "value"]).withColumns({"n_blocks": n_blocks, "block": F.pmod(F.xxhash64("key", "value"), n_blocks)})
+    members = buckets.join(sized(counts), ["band", "value"]).withColumns({"n_blocks": n_blocks, "block": F.pmod(F.xxhash64("key", "value"), n_blocks)})
     tiles = members.select("key", "band", "value", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other"))
     tiles = cut(tiles.select("key", "band", "block", (F.col("block") != F.col("other")).alias("across"), F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("tile")), "tiles")
 
