@@ -74,9 +74,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     tokens = map_docs(holders, _spelled, SPELLED, ["th"]).join(some, ["th", "leaf", "line"], "left_semi").join(below, ["leaf", "line"])
     tokens = cut(tokens.select("leaf", "line", "n", "tokens"), "tokens")
     places = tokens.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token"))
-    often = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("often"))
+    often = cut(places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("often")), "often")
     templates = (
-        places.join(often, ["leaf", "place", "token"])
+        places.join(sized(often), ["leaf", "place", "token"])
         .withColumn("stays", (F.col("often") >= min_docs) & (F.col("token") != VARIABLE.decode()))
         .groupBy("leaf", "line")
         .agg(
