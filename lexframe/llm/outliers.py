@@ -154,10 +154,11 @@ def verdicts(stats: DataFrame, least: int = LEAST, steps: int = STEPS, cutoff: f
     rows = cut(stats.withColumns({f"g{k}": n for k, n in enumerate(names)}).select("*", *vector()), "statistics")
 
     # each row's group: the narrowest with rows enough
-    sizes = rows.groupBy("g0", "g1", "g2").count()
-    sizes = sizes.withColumns({f"n{k}": F.sum("count").over(Window.partitionBy(f"g{k}")) for k in (1, 2)})
-    group = F.when(F.col("count") >= least, F.col("g0")).when(F.col("n1") >= least, F.col("g1")).when(F.col("n2") >= least, F.col("g2"))
-    groups = cut(sizes.select(F.col("g0").alias("k0"), group.alias("g"), *(F.when(F.col(f"n{k}") >= 0, F.col(f"g{k}")).alias(f"k{k}") for k in (1, 2))), "groups")
+    sizes = cut(rows.groupBy("g0", "g1", "g2").count(), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    by_language = sizes.groupBy("g1").agg(F.sum("count").alias("n1"))
+    group = F.when(F.col("count") >= least, F.col("g0")).when(F.col("n1") >= least, F.col("g1")).when(F.lit(total >= least), F.col("g2"))
+    groups = cut(sizes.join(sized(by_language), "g1").select(F.col("g0").alias("k0"), F.col("g1").alias("k1"), F.col("g2").alias("k2"), group.alias("g")), "groups")
     # an estimate is made of all rows of the group that it is named after
     wanted = groups.select("g").filter("g is not null").distinct()
     n_groups = wanted.count()
