@@ -163,14 +163,14 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> Da
         .groupBy("stratum")
         .agg(F.min("bin").alias("from_bin"))
     )
-    # one row, a map of at most 40 strata: a broadcast of fixed size
-    limits = dismissed.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "from_bin"))).alias("limits"))
+    # a row for each stratum that has a limit: at most encodings times lengths, whatever the input
+    limits = F.array(*(F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r.from_bin).alias("from_bin")) for r in dismissed.collect())).cast("array<struct<stratum:int,from_bin:int>>")
     most = int(-10 * math.log10(floor))
     random = F.filter(
         "tokens",
-        lambda x: (x["bin"] < most) & (x["bin"] < F.coalesce(F.element_at(F.col("limits"), x["stratum"]), F.lit(P_BINS + 1))),
+        lambda x: (x["bin"] < most) & ~F.exists(limits, lambda y: (y["stratum"] == x["stratum"]) & (x["bin"] >= y["from_bin"])),
     )
-    return found.join(F.broadcast(limits)).select("doc_id", F.array_sort(F.concat("base", kind(random, 3))).alias("spans"))
+    return found.select("doc_id", F.array_sort(F.concat("base", kind(random, 3))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
