@@ -98,9 +98,9 @@ def running_trust(ledger: DataFrame) -> DataFrame:
     amount = signed(F.col("transaction_type"), F.col("amount"))
     days = ledger.groupBy("matter_id", "transaction_date").agg(F.sum(amount).alias("_day"))
     earlier = Window.partitionBy("matter_id").orderBy("transaction_date").rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select("matter_id", "transaction_date", F.coalesce(F.sum("_day").over(earlier), F.lit(0)).alias("_before"))
+    before = days.select(F.col("matter_id").alias("_m"), F.col("transaction_date").alias("_d"), F.coalesce(F.sum("_day").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy("matter_id", "transaction_date").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = ledger.withColumn("_within", F.sum(amount).over(within)).join(before, ["matter_id", "transaction_date"])
+    rows = ledger.withColumn("_within", F.sum(amount).over(within)).join(before, F.col("matter_id").eqNullSafe(F.col("_m")) & F.col("transaction_date").eqNullSafe(F.col("_d")))
     return rows.withColumn("running", F.col("_before") + F.col("_within")).select(*ledger.columns, "running")
 
 

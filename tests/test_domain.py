@@ -49,6 +49,13 @@ def test_balance_statuses(spark):
     assert empty.count() == 0
 
 
+def test_running_balance(spark):
+    rows = [(1, 1, "deposit", D("5.00"), date(2026, 1, 2)), (2, 1, "refund", D("1.00"), date(2026, 1, 2)), (3, 1, "deposit", D("2.00"), date(2026, 1, 1)), (4, None, "deposit", D("9.00"), None)]
+    ledger = spark.createDataFrame(rows, "id long, matter_id long, transaction_type string, amount decimal(12,2), transaction_date date")
+    assert {r.id: r.running for r in finance.running_trust(ledger).collect()} == {1: 7, 2: 6, 3: 2, 4: 9}
+    assert finance.running_trust(ledger.limit(0)).count() == 0
+
+
 def test_rates(spark):
     staff = spark.createDataFrame([(1, "attorney", D("300.00")), (2, "admin", None)], "id long, role string, default_billing_rate decimal(10,2)")
     overrides = spark.createDataFrame([(1, 1, D("0.00"))], "matter_id long, staff_id long, rate decimal(10,2)")
