@@ -1,35 +1,41 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-A source's documents, in the order of a hash of their ids, are cut into blocks. Block j of a source of weight w
-is released at slot floor((j - 1) / w) and due by slot ceil(j / w); at each slot the released block with the
-earliest deadline runs, so at every slot each source is less than one block from its share. Weights are
-integers out of `PERIOD`, so the schedule repeats after PERIOD slots: only one period is worked out, a table of
-fixed size, and every block finds its slot from it by its number. When a source has no more blocks, the others
-go on with their weights in proportion: a new phase, of which there are no more than sources.
+A source's documents, in the order of a hash of their ids, are cut into blocks. In the ideal mix every source has at
+each moment its exact weight's share of the slots, and the others go on in proportion when one has no more blocks.
+Block j of a source is released in the slot in which the ideal mix begins it and due by the end of the slot in which
+that has finished it; at each slot the released block with the earliest deadline runs, so at every slot each source
+is less than one block from its share. Shares are exact: weights become integers of a common power of two.
+
+Slots are dealt in one task that reads one row for each source and writes one for each block; what it holds grows
+with the sources only, and nothing of it passes through the driver.
 
 Numbers within a source come from counts by (source, hash bucket), their running sums and a row number within a
 bucket, so a source with a third of all rows is spread over buckets.
 
 Defined cases: a null source is a source of its own; null doc_ids have places like any other; repeated rows each
-have a place; sources without a given weight get `other`; an empty table gives an empty result; a column of the
+have a place; sources without a given weight get `other`; sources of weight 0 come after all others; an empty table gives an empty result; a column of the
 input that is named like one of the result is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import columns, cut, sized, unused
 
-#: Documents in a block; slots of a period; documents in a hash bucket, about.
+#: Documents in a block; slots of a period of rounded weights; documents in a hash bucket, about.
 BLOCK, PERIOD, BUCKET = 16, 1000, 2000
 #: Weights that are not given are the source's size to this power, as in temperature sampling.
 POWER = 0.5
-#: Sources that a mix may have: their weights are a table of this many rows at most.
-MOST_SOURCES = 5000
+#: Rows that the dealing task writes at a time.
+PIECE = 50_000
 
 
 def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -60,30 +66,53 @@ def period_slots(parts: dict[str, int]) -> list[str]:
     return out
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int, int]]:
-    """Rows (source, first block, last block, k, part, slot): block first + k + n * part of the source, up to
-    the last, is at slot + n * period of its phase, whose rows share a period (given as the last column)."""
-    left, done, base, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n > 0}:
-        parts = quantised({s: weights[s] for s in left})
-        slots = period_slots(parts)
-        period = len(slots)
-        where: dict[str, list[int]] = {s: [] for s in parts}
-        for slot, s in enumerate(slots):
-            where[s].append(slot)
-        at = lambda s, j: (j // parts[s]) * period + where[s][j % parts[s]]  # noqa: E731  slot of block j, from 0
-        length = min(at(s, n - 1) for s, n in left.items()) + 1  # the phase ends when a source has run out
-        for s in sorted(left):
-            whole, rest = divmod(length, period)
-            n = whole * parts[s] + sum(x < rest for x in where[s])
-            rows += [(s, done[s], done[s] + n - 1, k, parts[s], base + slot, period) for k, slot in enumerate(where[s]) if k < n]
-            done[s] += n
-            left[s] -= n
-        base += length
-    return rows
-
-
-SCHEDULE = columns("_key string, _first bigint, _last bigint, _k bigint, _part bigint, _slot bigint, _period bigint")
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in the proportions of the weights, without rounding."""
+    ratios = {s: float(w).as_integer_ratio() for s, w in weights.items()}
+    unit = max((d for _, d in ratios.values()), default=1)  # denominators are powers of two
+    return {s: n * (unit // d) for s, (n, d) in ratios.items()}
+
+
+def dealt(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) by slot, blocks and slots from 0."""
+    base = 0
+    for some in ({s: n for s, n in blocks.items() if weights[s] > 0}, {s: n for s, n in blocks.items() if weights[s] <= 0}):
+        keys = sorted(s for s, n in some.items() if n > 0)
+        parts = exact({s: weights[s] if weights[s] > 0 else 1 for s in keys})
+        n, w = [some[s] for s in keys], [parts[s] for s in keys]
+        # the ideal mix: after v of each unit of weight, the sources that ended by v have had all their blocks
+        order = sorted(range(len(keys)), key=lambda i: n[i] / w[i])
+        ends = [n[i] / w[i] for i in order]
+        ended = [0, *itertools.accumulate(n[i] for i in order)]
+        going = [sum(w) - x for x in (0, *itertools.accumulate(w[i] for i in order))]
+
+        def begun(i: int, j: int) -> int:
+            """The slot in which the ideal mix has done j blocks of source i."""
+            k = bisect.bisect_right(ends, j / w[i])
+            return ended[k] + j * going[k] // w[i]
+
+        def due(i: int, j: int) -> int:
+            k = bisect.bisect_right(ends, j / w[i])
+            return ended[k] - (-j * going[k] // w[i])
+
+        waiting, ready = [(0, i, 0) for i in range(len(keys))], []  # release, source, block; deadline, source, block
+        for slot in range(sum(n)):
+            while waiting and (waiting[0][0] <= slot or not ready):
+                _, i, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (due(i, j + 1), i, j))
+            _, i, j = heapq.heappop(ready)
+            yield keys[i], j, base + slot
+            if j + 1 < n[i]:
+                heapq.heappush(waiting, (begun(i, j + 1), i, j + 1))
+        base += sum(n)
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int, int, int]]:
+    """What `dealt` gives as rows (source, first block, last block, k, part, slot, period), each of one block."""
+    return [(s, j, j, 0, 1, slot, 1) for s, j, slot in dealt(blocks, weights)]
+
+
+SLOTS = columns("_key string, block bigint, slot bigint")
 PLACES = ("block", "slot", "place")
 
 
@@ -95,31 +124,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     """docs with block (number within its source), slot (of the whole mix) and place (within the block). Ordered
     by slot and place, the documents follow the weights. Every row has a place; none is dropped or repeated."""
     docs = docs.drop(*PLACES)
-    spark = docs.sparkSession
     source, order, bucket, offset, i = unused(docs, "_key", "_order", "_bucket", "_offset", "_i")
     rows = docs.withColumns({source: key(F.col("source")), order: F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))})
     n_buckets = max(1, -(-docs.count() // BUCKET))
     rows = rows.withColumn(bucket, F.pmod(F.shiftrightunsigned(order, 20), F.lit(n_buckets)))
     counts = cut(rows.groupBy(source, bucket).agg(F.count("*").alias("n")), "counts")
-    sizes = counts.groupBy(source).agg(F.sum("n").alias("n"))
-    held = {r[source]: r["n"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
-    if len(held) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: map them to fewer before mixing")
+    sizes = cut(counts.groupBy(source).agg(F.sum("n").alias("n")), "sizes")
     given = {key_of(s): w for s, w in (weights or {}).items()}
-    target = {s: given.get(s, other if other is not None else n**POWER) for s, n in held.items()}
-    table = spark.createDataFrame(schedule({s: -(-n // block) for s, n in held.items()}, target), SCHEDULE)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {s: n for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        target = {s: given.get(s, other if other is not None else n**POWER) for s, n in held.items()}
+        for piece in itertools.batched(dealt({s: -(-n // block) for s, n in held.items()}, target), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=SLOTS.names)
+
+    # where each block goes, from the numbers of blocks alone: one row for each block
+    where = cut(sizes.select(source, "n").coalesce(1).mapInArrow(deal, SLOTS), "slots").withColumnRenamed("_key", source)
 
     before = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(source, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
-    # where each block goes, from the numbers of blocks alone: one row for each block
-    where = (
-        sized(table.select("_key", "_first", "_last", "_part", "_period").distinct())
-        .join(sized(table.select("_key", "_first", "_k", "_slot")), ["_key", "_first"])
-        .select(F.col("_key").alias(source), (F.col("_first") + F.col("_k")).alias("_from"), "_last", "_part", "_slot", "_period")
-        .select(source, F.explode(F.sequence("_from", "_last", "_part")).alias("block"), "_from", "_part", "_slot", "_period")
-        .select(source, "block", (F.col("_slot") + F.col("_period") * F.floor((F.col("block") - F.col("_from")) / F.col("_part"))).alias("slot"))
-    )
-    where = cut(where, "slots")
     within = Window.partitionBy(source, bucket).orderBy(order, "doc_id")
     return (
         rows.withColumn(i, F.row_number().over(within) - 1)

@@ -272,6 +272,32 @@ def test_period_is_fair():
     assert taken == list(range(2511))
 
 
+def test_schedule_meets_unrounded_targets():
+    """At every slot, also after sources have run out, each source is less than a block from its exact share."""
+    sources = {str(k): 3 + k % 5 for k in range(60)}
+    for blocks, weights in (({"a": 4000, "b": 2000}, {"a": 2, "b": 1}), ({"a": 20000, "b": 2}, {"a": 0.9999, "b": 0.0001}), ({"a": 900, "b": 40, **sources}, {"a": 0.7, "b": 0.1, **dict.fromkeys(sources, 1 / 300)})):
+        rows_ = mixing.schedule(blocks, weights)
+        order = sorted((slot + n * period, s) for s, first, last, k, part, slot, period in rows_ for n in range((last - first - k) // part + 1))
+        assert [slot for slot, _ in order] == list(range(sum(blocks.values())))
+        seen, share = Counter(), dict.fromkeys(blocks, 0.0)
+        for _, s in order:
+            seen[s] += 1
+            slot_left = 1.0
+            while slot_left > 1e-12 and (going := {x: weights[x] for x in blocks if share[x] < blocks[x] - 1e-9}):
+                total = sum(going.values())
+                step = min(slot_left, min((blocks[x] - share[x]) * total / w for x, w in going.items()))
+                share.update({x: share[x] + step * w / total for x, w in going.items()})
+                slot_left -= step
+            assert all(abs(seen[x] - share[x]) < 1 + 1e-6 for x in blocks)
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5500).alias("source"))
+    got = mixing.mix(docs, weights={"s0": 0.0}).collect()
+    assert len({(r.slot, r.place) for r in got}) == 6000 and {r.slot for r in got} == set(range(5500))
+    assert {r.slot for r in got if r.source == "s0"} == {5499}
+
+
 # 8: n-gram Jaccard join
 
 
