@@ -23,6 +23,8 @@ HEX = r"[0-9a-f]{32,}"  # maximal runs, so the same as all runs of which those o
 KINDS = ("assign", "access", "hex", "random")
 #: What the battery looks at: runs of an encoding's characters, long enough for the tests to have power.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Its parts, as long: after a name and '=', in a path, after a prefix, between any of the separators.
+PARTS = (r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+_-]{20,}", r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9+]{20,}")
 #: Encodings that are inferred, in order of preference: pattern and alphabet.
 ENCODINGS = (
     (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -125,8 +127,23 @@ def _combined(x: Column) -> Column:
     return F.struct(x["encoding"].alias("encoding"), F.greatest(p, F.lit(1e-60)).alias("p"))
 
 
-def stratum(encoding: Column, length: Column) -> Column:
-    return encoding * 8 + sum((F.when(length >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+def stratum(encoding: Column, length: Column, part: Column) -> Column:
+    return part * 64 + encoding * 8 + sum((F.when(length >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+
+
+def candidates(text: Column) -> Column:
+    """(start, end, match, part) of each run of TOKEN and of each of its parts, once."""
+    one = lambda x, at, part: F.struct((at + x["start"]).alias("start"), (at + x["end"]).alias("end"), x["match"].alias("match"), F.lit(part).alias("part"))
+    split = lambda x: F.filter(F.concat(*(spans(x["match"], p) for p in PARTS)), lambda y: F.length(y["match"]) < F.length(x["match"]))
+    parts = lambda x: F.when(x["match"].rlike("[/=_-]"), F.array_distinct(split(x))).otherwise(F.array().cast(NO_SPANS))
+    return let(spans(text, TOKEN), lambda runs: F.concat(F.transform(runs, lambda x: one(x, F.lit(0), 0)), F.flatten(F.transform(runs, lambda x: F.transform(parts(x), lambda y: one(y, x["start"], 1))))))
+
+
+def outermost(found: Column) -> Column:
+    """Of (start, end, match) those that lie in no other."""
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["match"].alias("match"))))
+    step = lambda acc, x: F.when(-x["less"] <= acc["upto"], acc).otherwise(F.struct((-x["less"]).alias("upto"), F.concat(acc["out"], F.array(F.struct(x["start"].alias("start"), (-x["less"]).alias("end"), x["match"].alias("match")))).alias("out")))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("upto"), F.array().cast(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> DataFrame:
@@ -135,18 +152,19 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> Da
     The battery's null hypothesis is "drawn at random", which holds for real secrets. In each stratum of
     encoding and length, Benjamini-Hochberg at `rate` over all candidates bounds the share of real secrets
     among those that are dismissed as language; what is not dismissed, and has p over `floor`, is reported.
+    Parts of runs are candidates in strata of their own; a part of what is reported is not reported again.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kind = lambda found, k: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
     assign = F.filter(spans(F.col("t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
     access = F.filter(spans(F.col("t"), ACCESS), lambda x: F.length(x["match"]) >= 16)
     tokens = F.transform(
-        spans(F.col("t"), TOKEN),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), battery(x["match"]).alias("b")),
+        candidates(F.col("t")),
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["part"].alias("part"), battery(x["match"]).alias("b")),
     )
     tokens = F.transform(
         tokens,
-        lambda x: F.struct(x["start"], x["end"], x["match"], stratum(x["b"]["encoding"], F.length(x["match"])).alias("stratum"), F.least(F.floor(-F.log10(x["b"]["p"]) * 10).cast("int"), F.lit(P_BINS)).alias("bin")),
+        lambda x: F.struct(x["start"], x["end"], x["match"], stratum(x["b"]["encoding"], F.length(x["match"]), x["part"]).alias("stratum"), F.least(F.floor(-F.log10(x["b"]["p"]) * 10).cast("int"), F.lit(P_BINS)).alias("bin")),
     )
     found = docs.select("doc_id", text.alias("t")).select(
         "doc_id",
@@ -163,14 +181,14 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> Da
         .groupBy("stratum")
         .agg(F.min("bin").alias("from_bin"))
     )
-    # a row for each stratum that has a limit: at most encodings times lengths, whatever the input
+    # a row for each stratum that has a limit: at most twice encodings times lengths, whatever the input
     limits = F.array(*(F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r.from_bin).alias("from_bin")) for r in dismissed.collect())).cast("array<struct<stratum:int,from_bin:int>>")
     most = int(-10 * math.log10(floor))
     random = F.filter(
         "tokens",
         lambda x: (x["bin"] < most) & ~F.exists(limits, lambda y: (y["stratum"] == x["stratum"]) & (x["bin"] >= y["from_bin"])),
     )
-    return found.select("doc_id", F.array_sort(F.concat("base", kind(random, 3))).alias("spans"))
+    return found.select("doc_id", F.array_sort(F.concat("base", kind(outermost(random), 3))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -77,6 +77,20 @@ def test_secrets_random_tokens(spark):
     assert sum(got[k].n_random for k in range(50)) >= 45 and sum(got[k].n_random for k in range(50, 100)) == 0
 
 
+def test_secrets_joined_to_words(spark):
+    """A random value in a path, after a name or after a prefix is found, the words joined to it alone are not."""
+    rng = random.Random(11)
+    base62, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    heads = [("com/download/files/archive/", 32, base62), ("com/reset/session/", 24, hexes), ("client_credential=", 24, base62), ("com/reset/session/", 32, base62 + "-_"), ("the-very-long-name-of-it=", 40, base62 + "+/")]
+    planted = [(f"{head}{''.join(rng.choice(abc) for _ in range(n))}", len(head)) for head, n, abc in heads for _ in range(30)]
+    texts = [f"see {x} end" for x, _ in planted] + ["see com/download/files/archive/thereforenevertheless/reset/session end"] * 30
+    got = rows(secret_scan.find_secrets(documents(spark, texts)))
+    for k in range(0, len(planted), 30):
+        caught = [any(s.kind == 3 and s.start <= 4 + at + 2 and s.end >= 4 + len(x) - 2 for s in got[k + j].spans) for j, (x, at) in enumerate(planted[k : k + 30])]
+        assert sum(caught) >= 27, (planted[k], sum(caught))
+    assert not any(s.kind == 3 for k in range(len(planted), len(texts)) for s in got[k].spans)
+
+
 # 2: quality classifier
 
 
