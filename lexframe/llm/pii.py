@@ -27,7 +27,15 @@ NUMERIC = frozenset("0123456789 .()+-")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile("[^0-9]+")
 #: The method's own kinds: what may follow a cue.
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Characters that each country's IBANs have.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+COUNTRIES = {c: n for n, some in IBAN_LENGTHS.items() for c in some.split()}
 SSN = re.compile(r"[\x20:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?[\x20:#=]{1,3}([0-9][0-9-]{5,18}[0-9])(?![0-9-])")
 URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[^\s]+")
@@ -60,6 +68,27 @@ def iban_valid(text: str) -> bool:
     return len(s) >= 15 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """The end of the valid IBAN at start, or 0: the word end at its country's length, else the last word end at
+    which the check holds. Before end there are only capitals, digits and single spaces."""
+    ends = [m.start() for m in WORD_END.finditer(text, start + 15, end + 1) if m.start() <= end]
+    length = COUNTRIES.get(text[start : start + 2])
+    ends.sort(key=lambda b: (b - start - text.count(" ", start, b) != length, -b))
+    return next((b for b in ends if iban_valid(text[start:b])), 0)
+
+
+def ibans(text: str, at: int) -> list[tuple[int, int, int]]:
+    """The valid IBANs from a place on, leftmost and not overlapping."""
+    out = []
+    while m := IBAN.search(text, at):
+        at = iban_end(text, m.start(), m.end())
+        if at:
+            out.append((m.start(), 4, at))
+        else:
+            at = m.start() + 1
+    return out
+
+
 def numbers(zone: str, at: int) -> list[tuple[int, int, int]]:
     """Base kinds within a maximal run of digits and what may stand between them."""
     out = []
@@ -80,6 +109,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
     address bounds the next from the left: matches are leftmost and do not overlap."""
     out: list[tuple[int, int, int]] = []
     email_end = zone_end = 0
+    ibans_found = False
     n = len(text)
     for last, (kind, width) in anchors().iter(text):
         start = last + 1 - width
@@ -110,9 +140,9 @@ def find(text: str) -> list[tuple[int, int, int]]:
             if a < start and (m := URL.match(text, start)):
                 out.append((a, 7, m.end()))
         elif kind == "iban":
-            m = IBAN.search(text, last + 1, last + 50)
-            if m and iban_valid(m[0]):
-                out.append((m.start(), 4, m.end()))
+            if not ibans_found:  # all that follow the first cue, however far
+                out += ibans(text, last + 1)
+                ibans_found = True
         elif kind == "ssn":
             m = SSN.match(text, last + 1)
             if m and m[1][:3] not in ("000", "666") and m[1][0] != "9" and m[1][4:6] != "00" and m[1][7:] != "0000":

@@ -180,6 +180,17 @@ def test_pii(spark, corpus):
     assert {s.kind for s in more[0].spans} >= {"iban", "ssn", "account"} and "url" in {s.kind for s in more[1].spans}
 
 
+def test_ibans():
+    found = lambda t: [t[a:b] for a, k, b in pii.find(t) if pii.KINDS[k] == "iban"]
+    de, gb, mt = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    assert found(f"IBAN {de} BIC COBADEFFXXX") == [de]
+    assert found(f"IBAN {gb} BIC") == [gb]
+    assert found(f"IBAN of the account holder in Malta {mt} and so on") == [mt]
+    assert found(f"IBAN {'of the firm that is named in the letter before ' * 3}{gb}.") == [gb]
+    assert found(f"IBAN: DE00370400440532013000, then {de}, {gb}") == [de, gb]
+    assert found("IBAN " + "A" * 40) == found(f"no cue {de}") == found(f"IBAN {de}x") == found(f"IBAN {de[:-1]}1") == []
+
+
 # 5: quality rules
 
 
