@@ -9,8 +9,8 @@ on the shingles' words.
 Everything is DataFrame functions. The sketch is broadcast only if its rows are few; else the join shuffles.
 
 Defined cases: null texts are empty; items of fewer than five words have no shingle and match nothing; a null
-doc_id or item_id is an id like any other; repeated rows of one id count as one document or item; empty tables
-give an empty result; other columns are ignored.
+doc_id or item_id is an id like any other; repeated rows of one id count as one document or item, but
+`decontaminate` takes each row for itself; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,10 +95,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents that contain no item; columns as they are."""
-    (name,) = unused(docs, "_bad")
-    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """The documents that contain no item, judged row by row; columns as they are. A row is known by the hash of
+    its doc_id and text, so rows that share an id, or have none, do not answer for each other."""
+    own, name = unused(docs, "_row", "_bad")
+    marked = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    bad = contaminated(marked.select(F.col(own).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(name)).distinct()
+    return marked.join(bad, F.col(own) == F.col(name), "left_anti").drop(own)
 
 
 #: The same pairs in DuckDB.

@@ -186,6 +186,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, class_id, n_links) for each row: th is the text's hash, class_id the least doc_id of the
     connected class, n_links the number of other rows at the threshold or over, copies too."""
+    return _labelled(docs, threshold).select("doc_id", "th", "class_id", "n_links")
+
+
+def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
+    """What `classes` gives, with the label of the class, null for texts without words."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     features = cut(map_docs(rows, _features, FEATURES, ["doc_id", "th"]), "features")
     texts = features.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.max("th").alias("th"))
@@ -212,17 +217,19 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     known = cut(texts.select("key", "copies").join(links, "key", "left").join(label, "key", "left").select("key", F.coalesce("label", "key").alias("label"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
     of_row = cut(features.select("doc_id", "th", "key").join(known, "key").select("doc_id", "th", "label", "n_links"), "rows")
     least = cut(of_row.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
-    found = of_row.join(least, "label").select("doc_id", "th", "class_id", "n_links")
-    return found.unionByName(features.filter("key is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    found = of_row.join(least, "label").select("doc_id", "th", "label", "class_id", "n_links")
+    return found.unionByName(features.filter("key is null").select("doc_id", "th", F.col("key").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents with one row of each class: that of the least doc_id. Columns as they are. Texts without
-    words all stay. Of rows with that id and equal texts one stays; a class of null ids only stays as it is."""
-    found = cut(classes(docs, threshold), "classes")
-    winners = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max("n_links").alias("links"))
+    """The documents with one row of each class: that of the least (doc_id, hash of the text), a null doc_id last.
+    Columns as they are. Texts without words all stay. Of rows with that id and equal texts one stays."""
+    found = cut(_labelled(docs, threshold), "classes")
+    same = found.filter("label is not null").groupBy("label", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("x")).select("x.doc_id", "x.th", (F.col("x.n") > 1).alias("many"))
+    wordless = found.filter("label is null").select("doc_id", "th", F.lit(False).alias("many")).distinct()
     columns, (own, id_, th, many) = docs.columns, unused(docs, "_th", "_id", "_t", "_many")
-    winners = cut(winners.select(F.col("doc_id").alias(id_), F.col("th").alias(th), ((F.col("n") > 1) & (F.col("links") > 0) & F.col("doc_id").isNotNull()).alias(many)), "winners")
+    winners = cut(first.unionByName(wordless).select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("many").alias(many)), "winners")
     marked = docs.withColumn(own, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th))
     single = marked.join(winners.filter(~F.col(many)), same, "left_semi").select(columns)

@@ -198,7 +198,13 @@ def quality(docs: DataFrame, **options: float) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, **options: float) -> DataFrame:
-    """The documents that pass; columns as they are. A doc_id that several rows share goes if one of them fails."""
-    (name,) = unused(docs, "_bad")
-    bad = quality(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """The documents that pass, judged row by row; columns as they are. A row is known by its doc_id, language,
+    source and the hash of its text, so rows that share an id, or have none, do not answer for each other."""
+    (own,) = unused(docs, "_th")
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "lang", "source", "text")
+    judged = verdicts(map_docs(rows, statistics, STATS, ["doc_id", "th", "lang", "source"]), **options)
+    bad = judged.filter(base_failed() | F.col("outlier")).select("doc_id", "th", "lang", "source").distinct()
+    names = dict(zip(bad.columns, unused(marked, "_id", "_t", "_lang", "_source"), strict=True))
+    same = [marked[own if c == "th" else c].eqNullSafe(F.col(n)) for c, n in names.items()]
+    return marked.join(bad.withColumnsRenamed(names), same, "left_anti").drop(own)

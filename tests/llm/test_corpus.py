@@ -444,6 +444,25 @@ def test_licenses(spark, corpus):
     assert "mit" in got[[k for k, t in enumerate(texts) if t and t.startswith("permission")][0]].labels
 
 
+# rows that share an id or have none
+
+
+def test_stages_judge_rows_not_ids(spark, corpus):
+    item = prose(random.Random(21), 40, 40)
+    long = max(corpus[:60], key=len)
+    near = long + " tail"
+    halves = item.split()[:22], item.split()[18:]
+    texts = [corpus[3], "a a", corpus[4], item, corpus[5], "a b a b a b a b a b a b", corpus[6] + " " + item, *map(" ".join, halves)]
+    for i in (None, 7):
+        docs = documents(spark, texts, [i] * len(texts)) if i else documents(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+        left = lambda df: sorted(texts.index(r.text) for r in df.collect())
+        assert left(outliers.keep_quality(docs)) == [0, 2, 3, 4, 6, 7, 8]
+        assert left(decontamination.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))) == [0, 1, 2, 4, 5, 7, 8]
+        same = documents(spark, [long] * 3 + [near, corpus[9], None, None]).withColumn("doc_id", F.lit(i).cast("long"))
+        kept = [r.text for r in jaccard_join.keep_one(same).collect()]
+        assert len(kept) == 4 and kept.count(None) == 2 and corpus[9] in kept and len({long, near} & set(kept)) == 1
+
+
 # all of them
 
 OWN = [(name, f) for name, f in queries.QUERIES.items() if name in queries.ORACLE_SQL]
