@@ -16,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; documents stay, n_chars is that of what is left."""
-    return line_templates.dropped(docs)
+    """Lines of recurring templates go, but for those of the first document that has them, so that a group of copies
+    is not emptied before the next stage keeps one; n_chars is that of what is left."""
+    return line_templates.dropped(docs, keep_first=True)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

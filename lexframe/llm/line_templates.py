@@ -1,18 +1,18 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's path in the tree is its number of tokens and its first three tokens; tokens with digits are variable
-fields (`<*>`). Below a leaf, a token stays if at least `min_docs` lines have it at that place, and is a
-variable field otherwise; what results is the line's template. A template of at least `min_docs` documents, of
-which half the tokens or more are constant, recurs: its lines are dropped, but for those of the first document
-(smallest doc_id) that has it, so a group of copies is not emptied as a whole.
+A line's path in the tree is its number of tokens and its leading tokens (three, or what it has); tokens with
+digits are variable fields (`<*>`). Below a leaf, a token stays if at least `min_docs` lines have it at that place,
+and is a variable field otherwise; what results is the line's template. A template of at least `min_docs` documents,
+of which half the tokens or more are constant, recurs: its lines are dropped. With `keep_first` those of the first
+document (smallest doc_id) that has it stay, so a group of copies is not emptied as a whole.
 
 The tree is a sequence of aggregations over hashes of lines, one row for each distinct line of a document, and
 only lines below leaves with lines enough go further. Counts are pre-aggregated; a line in a third of all
 documents is one row below its leaf.
 
-Defined cases: a null text is an empty one and stays null; lines without a token or with fewer than `least`
-tokens stay; a null doc_id counts for no document and is never the first; rows of one doc_id count as one
-document; other columns pass through; an empty table gives an empty result.
+Defined cases: a null text is an empty one and stays null; lines without a token stay; very long texts are taken
+whole; a null doc_id counts for no document and is never the first; rows of one doc_id count as one document, each
+with its own lines; other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import columns, cut, map_docs, sized, unused
 
-#: Documents from which a template recurs; leading tokens of a path; tokens a line needs; share of constants.
-MIN_DOCS, DEPTH, LEAST, CONSTANT = 10, 3, 4, 0.5
+#: Documents from which a template recurs; leading tokens of a path; share of constants.
+MIN_DOCS, DEPTH, CONSTANT = 10, 3, 0.5
 VARIABLE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 HASHES = columns("leaf bigint, line bigint")
@@ -50,15 +50,15 @@ def hashes(tokens: list[bytes]) -> tuple[int, int]:
 
 
 def _lines(raw: bytes) -> list[tuple[int, int]]:
-    return list({hashes(t) for x in set(raw.split(b"\n")) if len(t := masked(x)) >= LEAST})
+    return list({hashes(t) for x in set(raw.split(b"\n")) if (t := masked(x))})
 
 
 def _spelled(raw: bytes) -> list[tuple[int, int, list[str]]]:
-    found = {hashes(t): t for x in set(raw.split(b"\n")) if len(t := masked(x)) >= LEAST}
+    found = {hashes(t): t for x in set(raw.split(b"\n")) if (t := masked(x))}
     return [(*k, [x.decode() for x in t]) for k, t in found.items()]
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, keep_first: bool = False) -> DataFrame:
     """(doc_id, th, line): hashes of the lines to drop of each document."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     lines = cut(map_docs(rows, _lines, HASHES, ["doc_id", "th"]), "lines")
@@ -92,7 +92,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     held = cut(held, "held")
     holders = held.select("leaf", "template", "doc_id").distinct()  # counted in two steps: a hot template is spread over its documents
     first = holders.groupBy("leaf", "template").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
-    return held.join(sized(cut(first, "first")), ["leaf", "template"]).filter(~F.col("first").eqNullSafe(F.col("doc_id"))).select("doc_id", "th", "line")
+    drops = held.join(sized(cut(first, "first")), ["leaf", "template"])
+    if keep_first:
+        drops = drops.filter(~F.col("first").eqNullSafe(F.col("doc_id")))
+    return drops.select("doc_id", "th", "line")
 
 
 def drop_recurring(docs: DataFrame, **options: float) -> DataFrame:
@@ -113,7 +116,7 @@ def drop_recurring(docs: DataFrame, **options: float) -> DataFrame:
                 kept, gone, with_token = [], set(gone or ()), 0
                 for x in all_lines:
                     with_token += bool(x.split(None, 1))
-                    if not gone or len(t := masked(x)) < LEAST or hashes(t)[1] not in gone:
+                    if not gone or not (t := masked(x)) or hashes(t)[1] not in gone:
                         kept.append(x)
                 texts.append(None if raw is None else b"\n".join(kept).decode())
                 counts.append(with_token)
@@ -125,7 +128,8 @@ def drop_recurring(docs: DataFrame, **options: float) -> DataFrame:
 
 def dropped(docs: DataFrame, **options: float) -> DataFrame:
     """docs with text left of recurring lines; n_chars, if there is one, is that of what is left. A text that has
-    lost all its lines goes with its row; texts that were empty before stay."""
+    lost all its lines goes with its row; texts that were empty before stay. The option keep_first is for a later
+    stage that looks for copies: it finds one whole text of each group."""
     left = drop_recurring(docs, **options)
     left = left.filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
     if "n_chars" in docs.columns:
@@ -143,15 +147,15 @@ SQL = r"""
 WITH l AS (
   SELECT doc_id, n, line, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
-d AS (SELECT DISTINCT doc_id, t, t[1:3] AS lead, len(t) AS k FROM l WHERE len(t) >= 4),
+d AS (SELECT DISTINCT doc_id, t, t[1:3] AS lead, len(t) AS k FROM l WHERE len(t) > 0),
 c AS (SELECT lead, k, t, count(DISTINCT doc_id) AS n FROM d GROUP BY ALL),
 p AS (SELECT lead, k, t, n, unnest(t) AS w, unnest(range(k)) AS i FROM c),
 o AS (SELECT lead, k, i, w, sum(n) AS often FROM p GROUP BY ALL),
 m AS (SELECT lead, k, t, list(CASE WHEN often >= 10 THEN w ELSE '<*>' END ORDER BY i) AS template, count(*) FILTER (often >= 10 AND w <> '<*>') AS constants
       FROM p JOIN o USING (lead, k, i, w) GROUP BY ALL),
 h AS (SELECT doc_id, t, lead, k, template FROM d JOIN m USING (lead, k, t) WHERE constants >= 0.5 * k),
-f AS (SELECT lead, k, template, min(doc_id) AS first FROM h GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
-g AS (SELECT DISTINCT doc_id, t FROM h JOIN f USING (lead, k, template) WHERE doc_id <> first)
+f AS (SELECT lead, k, template FROM h GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT DISTINCT doc_id, t FROM h JOIN f USING (lead, k, template))
 SELECT l.doc_id, count(*) FILTER (len(l.t) > 0)::BIGINT AS n_lines, count(g.t)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (g.t IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.t = g.t GROUP BY l.doc_id

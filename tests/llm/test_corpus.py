@@ -383,13 +383,13 @@ def test_pruning_threshold():
 # 9: line dedup
 
 
-def brute_lines(texts, least=10):
+def brute_lines(texts, least=10, keep_first=False):
     held, lines = defaultdict(set), {}
     for k, t in enumerate(texts):
         lines[k] = (t or "").split("\n")
         for x in lines[k]:
             w = tuple("<*>" if re.search("[0-9]", y) else y for y in re.findall(r"[^\x20\x09-\x0D]+", x))
-            if len(w) >= 4:
+            if w:
                 held[w].add(k)
     often = Counter()
     for w, ks in held.items():
@@ -407,23 +407,39 @@ def brute_lines(texts, least=10):
         for x in ls:
             w = tuple("<*>" if re.search("[0-9]", y) else y for y in re.findall(r"[^\x20\x09-\x0D]+", x))
             t = template.get(of.get(w), set())
-            if not (len(t) >= least and k != min(t)):
+            if not (len(t) >= least and not (keep_first and k == min(t))):
                 kept.append(x)
         out[k] = (len(ls) - len(kept), "\n".join(kept))
     return out
 
 
 def test_lines(spark, corpus):
-    texts = [*corpus, *(f"log entry from host alpha{k} state ready\nlog entry from host beta state name{k}\n{corpus[k % 5]}" for k in range(15))]
+    short = [f"Page {k}\nAll rights reserved\nend\n{k}\n{corpus[k]}" for k in range(12)]
+    texts = [*corpus, *short, *(f"log entry from host alpha{k} state ready\nlog entry from host beta state name{k}\n{corpus[k % 5]}" for k in range(15))]
     want = brute_lines(texts)
     got = rows(line_templates.drop_recurring(documents(spark, texts).withColumns({"_gone": F.lit(1), "n_lines": F.lit(2)})))
     assert {k: (r.n_dropped, r.text or "") for k, r in got.items()} == want and sum(n for n, _ in want.values()) > 40
     assert {r.doc_id: r.kept_sha256 for r in line_templates.digest(documents(spark, texts)).collect()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, (_, t) in want.items()}
-    left = line_templates.dropped(documents(spark, texts))
-    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in left.collect()} >= set(range(60))
+    assert all(not {"All rights reserved", "end"} & set(want[len(corpus) + k][1].split("\n")) and str(k) in want[len(corpus) + k][1].split("\n") for k in range(12))
+    first = brute_lines(texts, keep_first=True)
+    left = line_templates.dropped(documents(spark, texts), keep_first=True)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r.doc_id: r.text or "" for r in left.collect()} == {k: t for k, (n, t) in first.items() if not n or t.strip()}
     assert line_templates.digest(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_cases(spark):
+    """Rows without an id count for nobody and lose recurring lines; rows of an id count once; long texts are whole."""
+    line = "this line stands in many documents"
+    rows_ = [(k, f"own {chr(97 + k)} words here\n{line}") for k in range(10)] + [(None, line + "\nx"), (3, line), (3, line), (50, "tail\n" * 3 + "filler of one text only\n" * 50_000 + line)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = line_templates.drop_recurring(docs).collect()
+    assert all(line not in r.text for r in got) and len(got) == len(rows_)
+    assert max(r.n_lines for r in got) == 50_004 and sum(r.n_dropped for r in got) == 14
+    nine = docs.filter("doc_id is null or doc_id < 9")
+    assert all(r.n_dropped == 0 for r in line_templates.drop_recurring(nine).collect())
+
+
 # 10: license scans
 
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -494,7 +510,7 @@ def test_pipeline(spark):
         if name == "quality rules":
             assert set(after) == {r.doc_id for r in outliers.quality(docs).filter("kept").collect()}
         elif name == "line dedup":
-            want = brute_lines([before[i].text for i in ids])
+            want = brute_lines([before[i].text for i in ids], keep_first=True)
             assert {i: r.text for i, r in after.items()} == {ids[k]: t for k, (n, t) in want.items() if not n or t.strip()}
         elif name == "n-gram jaccard join":
             assert set(after) == {ids[k] for k, (c, _) in brute_classes([before[i].text for i in ids]).items() if c == k}
