@@ -13,8 +13,10 @@ Numbers within a source come from counts by (source, hash bucket), their running
 bucket, so a source with a third of all rows is spread over buckets.
 
 Defined cases: a null source is a source of its own; null doc_ids have places like any other; repeated rows each
-have a place; sources without a given weight get `other`; sources of weight 0 come after all others; an empty table gives an empty result; a column of the
-input that is named like one of the result is replaced.
+have a place; texts are not looked at, so empty and very long ones are places like others; ties of deadlines go by
+the source's name, ties of a row's hash by doc_id; sources without a given weight get `other`; sources of weight 0
+come after all others; an empty table gives an empty result; a column of the input that is named like one of the
+result is replaced.
 """
 
 from __future__ import annotations
@@ -22,50 +24,22 @@ from __future__ import annotations
 import bisect
 import heapq
 import itertools
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import columns, cut, sized, unused
 
-#: Documents in a block; slots of a period of rounded weights; documents in a hash bucket, about.
-BLOCK, PERIOD, BUCKET = 16, 1000, 2000
+#: Documents in a block; documents in a hash bucket, about.
+BLOCK, BUCKET = 16, 2000
 #: Weights that are not given are the source's size to this power, as in temperature sampling.
 POWER = 0.5
 #: Rows that the dealing task writes at a time.
 PIECE = 50_000
 
 
-def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Integers of at least 1 that add up to a period (larger if there are more sources), by largest remainder."""
-    total, period = sum(weights.values()), max(period, 4 * len(weights))
-    exact = {s: (period - len(weights)) * w / total for s, w in weights.items()}
-    parts = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(parts.values())]:
-        parts[s] += 1
-    return parts
-
-
-def period_slots(parts: dict[str, int]) -> list[str]:
-    """One period of the schedule: the source of each slot, earliest deadline first."""
-    period = sum(parts.values())
-    waiting = [(0, s, 1) for s in sorted(parts)]  # release, source, number of the block
-    ready: list[tuple[int, str, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // parts[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j < parts[s]:
-            heapq.heappush(waiting, (j * period // parts[s], s, j + 1))
-    return out
-
-
 def exact(weights: dict[str, float]) -> dict[str, int]:
     """Integers in the proportions of the weights, without rounding."""
     ratios = {s: float(w).as_integer_ratio() for s, w in weights.items()}
@@ -81,18 +55,28 @@ def dealt(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[s
         parts = exact({s: weights[s] if weights[s] > 0 else 1 for s in keys})
         n, w = [some[s] for s in keys], [parts[s] for s in keys]
         # the ideal mix: after v of each unit of weight, the sources that ended by v have had all their blocks
-        order = sorted(range(len(keys)), key=lambda i: n[i] / w[i])
+        order = sorted(range(len(keys)), key=lambda i: Fraction(n[i], w[i]))
         ends = [n[i] / w[i] for i in order]
         ended = [0, *itertools.accumulate(n[i] for i in order)]
         going = [sum(w) - x for x in (0, *itertools.accumulate(w[i] for i in order))]
 
+        def phase(i: int, j: int) -> int:
+            """How many sources have ended when source i has done j blocks; the float is a guess, integers decide."""
+            k = bisect.bisect_right(ends, j / w[i])
+            while k < len(order) and n[order[k]] * w[i] <= j * w[order[k]]:
+                k += 1
+            while k and n[order[k - 1]] * w[i] > j * w[order[k - 1]]:
+                k -= 1
+            return k
+
         def begun(i: int, j: int) -> int:
             """The slot in which the ideal mix has done j blocks of source i."""
-            k = bisect.bisect_right(ends, j / w[i])
+            k = phase(i, j)
             return ended[k] + j * going[k] // w[i]
 
         def due(i: int, j: int) -> int:
-            k = bisect.bisect_right(ends, j / w[i])
+            """The end of that slot."""
+            k = phase(i, j)
             return ended[k] - (-j * going[k] // w[i])
 
         waiting, ready = [(0, i, 0) for i in range(len(keys))], []  # release, source, block; deadline, source, block
@@ -107,11 +91,6 @@ def dealt(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[s
         base += sum(n)
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int, int, int]]:
-    """What `dealt` gives as rows (source, first block, last block, k, part, slot, period), each of one block."""
-    return [(s, j, j, 0, 1, slot, 1) for s, j, slot in dealt(blocks, weights)]
-
-
 SLOTS = columns("_key string, block bigint, slot bigint")
 PLACES = ("block", "slot", "place")
 

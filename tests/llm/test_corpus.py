@@ -2,10 +2,12 @@
 empty tables, extra columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -267,53 +269,71 @@ def test_mixing(spark):
     rows_ = [(i, f"t{k}", "en", None if k % 50 == 0 else ("a" if k % 3 else f"s{k % 7}"), 1) for k, i in enumerate(ids)]
     docs = spark.createDataFrame(rows_, SCHEMA).withColumn("slot", F.lit("old"))
     got = mixing.mix(docs, weights={"a": 5.0, None: 1.0}, other=2.0, block=4).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((i or -1, t) for i, t, *_ in rows_) if None not in ids else len(got) == len(ids)
+    assert sorted((str(r.doc_id), r.text, str(r.source)) for r in got) == sorted((str(i), t, str(s)) for i, t, _, s, _ in rows_)
     assert len({(r.slot, r.place) for r in got}) == len(got)
     assert sorted({r.slot for r in got}) == list(range(max(r.slot for r in got) + 1))
-    sources = [s for _, s in sorted({(r.slot, r.source) for r in got}, key=lambda x: x[0])]
-    blocks = Counter(sources)
-    weights = {s: 5.0 if s == "a" else 1.0 if s is None else 2.0 for s in blocks}
-    parts = {s: w / sum(weights.values()) for s, w in weights.items()}
-    seen = Counter()
-    for slot, s in enumerate(sources, 1):
-        seen[s] += 1
-        if any(seen[x] == blocks[x] for x in blocks):  # a source has run out: a new phase
-            break
-        assert all(abs(seen[x] - slot * parts[x]) < 1.1 for x in parts), slot  # weights are held in thousandths
+    slots = sorted({(r.slot, r.source) for r in got}, key=lambda x: x[0])
+    blocks = Counter(s for _, s in slots)
+    weights = {s: Fraction(5 if s == "a" else 1 if s is None else 2) for s in blocks}
+    within_a_block([s for _, s in slots], blocks, weights)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_period_is_fair():
-    for weights in ({"a": 1, "b": 1}, {"a": 500, "b": 3, "c": 1, "d": 77}, {str(k): k + 1 for k in range(40)}):
-        parts = mixing.quantised(weights)
-        slots, period = mixing.period_slots(parts), sum(parts.values())
-        seen = Counter()
-        for t, s in enumerate(slots, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] * period - t * parts[x]) < period for x in parts)
-        assert seen == Counter(parts)
-    rows_ = mixing.schedule({"a": 2500, "b": 10, "c": 1}, {"a": 1, "b": 2, "c": 3})
-    taken = sorted(slot + n * period for _, first, last, k, part, slot, period in rows_ for n in range((last - first - k) // part + 1))
-    assert taken == list(range(2511))
+def within_a_block(order, blocks, weights):
+    """At every slot, also after sources have run out, each source is less than a block from its exact share."""
+    seen, share, going = Counter(), dict.fromkeys(blocks, Fraction(0)), set(blocks)
+    total = sum(weights[x] for x in going)
+    assert Counter(order) == Counter(blocks)
+    for t, s in enumerate(order):
+        seen[s] += 1
+        left = Fraction(1)
+        while left and going:
+            step = min(left, min((blocks[x] - share[x]) * total / weights[x] for x in going))
+            for x in going:
+                share[x] += step * weights[x] / total
+            left -= step
+            if done := {x for x in going if share[x] == blocks[x]}:
+                going -= done
+                total = sum(weights[x] for x in going)
+        assert all(abs(seen[x] - share[x]) < 1 for x in blocks), t
+
+
+def plain_edf(blocks, weights, slots):
+    """Earliest deadline first over all blocks at each slot, while no source has run out."""
+    total = sum(map(Fraction, weights.values()))
+    rate = {s: Fraction(w) / total for s, w in weights.items()}
+    done, out = dict.fromkeys(blocks, 0), []
+    while len(out) < slots and all(done[s] < blocks[s] for s in blocks):
+        t = len(out)
+        due = [(math.ceil((done[s] + 1) / rate[s]), s) for s in blocks if done[s] / rate[s] < t + 1]
+        out.append(min(due)[1])
+        done[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 50, 250, 2000])
+def test_targets_are_met_while_all_sources_last(n):
+    """One source at a half, the others alike: every prefix is within a block of the target, as EDF gives it."""
+    weights = {"a": 0.5, **{f"s{k}": 0.5 / (n - 1) for k in range(n - 1)}}
+    slots = 4 * n
+    blocks = {s: math.ceil(w * slots) + 2 for s, w in weights.items()}
+    got = [s for s, _, _ in mixing.dealt(blocks, weights)]
+    total, seen = sum(map(Fraction, weights.values())), Counter()
+    shares = {s: float(Fraction(w) / total) for s, w in weights.items()}
+    for t, s in enumerate(got[:slots], 1):
+        seen[s] += 1
+        if n < 100 or t % 11 == 0:
+            assert all(abs(seen[x] - t * p) < 1 + 1e-9 for x, p in shares.items()), t
+    want = plain_edf(blocks, weights, min(slots - n, 200_000 // n))
+    assert got[: len(want)] == want
 
 
 def test_schedule_meets_unrounded_targets():
-    """At every slot, also after sources have run out, each source is less than a block from its exact share."""
     sources = {str(k): 3 + k % 5 for k in range(60)}
-    for blocks, weights in (({"a": 4000, "b": 2000}, {"a": 2, "b": 1}), ({"a": 20000, "b": 2}, {"a": 0.9999, "b": 0.0001}), ({"a": 900, "b": 40, **sources}, {"a": 0.7, "b": 0.1, **dict.fromkeys(sources, 1 / 300)})):
-        rows_ = mixing.schedule(blocks, weights)
-        order = sorted((slot + n * period, s) for s, first, last, k, part, slot, period in rows_ for n in range((last - first - k) // part + 1))
-        assert [slot for slot, _ in order] == list(range(sum(blocks.values())))
-        seen, share = Counter(), dict.fromkeys(blocks, 0.0)
-        for _, s in order:
-            seen[s] += 1
-            slot_left = 1.0
-            while slot_left > 1e-12 and (going := {x: weights[x] for x in blocks if share[x] < blocks[x] - 1e-9}):
-                total = sum(going.values())
-                step = min(slot_left, min((blocks[x] - share[x]) * total / w for x, w in going.items()))
-                share.update({x: share[x] + step * w / total for x, w in going.items()})
-                slot_left -= step
-            assert all(abs(seen[x] - share[x]) < 1 + 1e-6 for x in blocks)
+    for blocks, weights in (({"a": 400, "b": 200}, {"a": 2, "b": 1}), ({"a": 3000, "b": 2}, {"a": 0.9999, "b": 0.0001}), ({"a": 400, "b": 40, **sources}, {"a": 0.7, "b": 0.1, **dict.fromkeys(sources, 1 / 300)})):
+        dealt = list(mixing.dealt(blocks, weights))
+        assert [slot for _, _, slot in dealt] == list(range(sum(blocks.values())))
+        within_a_block([s for s, _, _ in dealt], blocks, {s: Fraction(w) for s, w in weights.items()})
 
 
 def test_mixing_many_sources(spark):

@@ -55,24 +55,12 @@ def test_digests_follow_words(text):
     assert len(set(same.values())) == len(same)
 
 
-@few
-@given(st.dictionaries(st.text(max_size=3), st.floats(0.01, 100), min_size=1, max_size=12))
-def test_every_period_is_fair(weights):
-    parts = mixing.quantised(weights, 60)
-    slots, period, seen = mixing.period_slots(parts), sum(parts.values()), dict.fromkeys(parts, 0)
-    for t, s in enumerate(slots, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] * period - t * parts[x]) < period for x in parts)
-    assert seen == parts
-
-
 @few
 @given(st.dictionaries(st.text(max_size=2), st.integers(1, 300), min_size=1, max_size=5))
 def test_every_block_has_one_slot(blocks):
-    rows = mixing.schedule(blocks, {s: n**0.5 for s, n in blocks.items()})
-    placed = [((s, first + k + n * part), slot + n * period) for s, first, last, k, part, slot, period in rows for n in range((last - first - k) // part + 1)]
-    assert sorted(p for p, _ in placed) == sorted((s, j) for s, n in blocks.items() for j in range(n))
-    assert sorted(slot for _, slot in placed) == list(range(sum(blocks.values())))
+    rows = list(mixing.dealt(blocks, {s: n**0.5 for s, n in blocks.items()}))
+    assert sorted((s, j) for s, j, _ in rows) == sorted((s, j) for s, n in blocks.items() for j in range(n))
+    assert [slot for _, _, slot in rows] == list(range(sum(blocks.values())))
 
 
 @few
