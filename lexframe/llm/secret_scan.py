@@ -1,15 +1,30 @@
 """Secret scans: fixed credential patterns plus a battery of randomness tests with false-discovery control.
 
+The battery asks of a long token, and of its parts between separators, whether its characters could be drawn at
+random from the encoding that they are of. Four tests (chi-squared of the characters and of their classes, runs,
+serial correlation) are not independent, since they look at the same characters, so they are combined by Cauchy's
+method, which allows that.
+
+What is controlled is the share of language among the tokens reported. Its null distribution is taken from all texts:
+their words, joined with and without hyphens into tokens of each length, go through the same battery, and the p-value
+of a candidate is the share of such language tokens of its length that have its encoding and look at least as random.
+Benjamini-Hochberg over all candidates at `rate` says from which p-value on a candidate is reported.
+
 Everything is DataFrame functions. A document's spans are found once and written as a narrow table; the
-battery's thresholds come from a histogram of all candidates (strata x bins, a fixed number of rows).
+thresholds come from two histograms (encodings x lengths x bins, a fixed number of rows). Places are running sums in
+chunks, so the cost of a text grows with its length, however many matches it has.
 
-Defined cases: a null text is an empty one; null or repeated doc_ids pass through row by row; other columns
-are ignored; an empty table gives an empty result.
+Defined cases: a null text is an empty one; very long texts are scanned whole; null or repeated doc_ids pass through
+row by row; texts with fewer words than some hundred tokens are too few to tell language from chance, and nothing is
+reported as random from them; spans that begin together are listed in the order of KINDS, then by end; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,10 +34,10 @@ from .common import cut
 #: Fixed patterns of the base kinds, in the order in which ties at one start are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{32,}"  # maximal runs, so the same as all runs of which those of 32 or more stay
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"  # maximal runs, so the same as all runs of which those of 32 or more stay
 KINDS = ("assign", "access", "hex", "random")
 #: What the battery looks at: runs of an encoding's characters, long enough for the tests to have power.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Its parts, as long: after a name and '=', in a path, after a prefix, between any of the separators.
 PARTS = (r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+_-]{20,}", r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9+]{20,}")
 #: Encodings that are inferred, in order of preference: pattern and alphabet.
@@ -33,25 +48,37 @@ ENCODINGS = (
     (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: Length strata: each has its own error control, since short tokens are hard to tell from random ones.
-LENGTHS = (24, 32, 48, 80)
+#: What is not of a class: digits, small letters, capitals, signs.
+CLASSES = ("[^0-9]+", "[^a-z]+", "[^A-Z]+", "[0-9A-Za-z]+")
+#: Lengths from which a stratum begins: short tokens are hard to tell from random ones.
+LENGTHS = (20, 24, 32, 48, 80)
+#: Letters and hyphens that a language token of each length is made from, first as they are, then without hyphens.
+PIECES = (*LENGTHS, *(n * 3 // 2 for n in LENGTHS))
 P_BINS = 200
+CHUNK = 256
 NO_SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values, op over all before it, from 0: in chunks, so that no long array is copied for each."""
+    zero, empty = F.lit(0), F.array().cast("array<int>")
+    step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    start = lambda at: F.struct(at.alias("at"), empty.alias("out"))
+    cut_up = lambda v: F.transform(F.sequence(zero, F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK)))
+    heads = lambda chunks: F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, zero, op)), start(zero), step, lambda acc: acc["out"])
+    within = lambda chunks: F.flatten(F.zip_with(chunks, heads(chunks), lambda c, h: F.aggregate(c, start(h), step, lambda acc: acc["out"])))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut_up(v), within)).otherwise(empty))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern, leftmost and non-overlapping, as (start, end, match) in code points.
 
     The pieces between matches and the matches themselves tile the text, so their lengths give the places.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["piece"])).alias("start"), (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out"),
-    )
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(NO_SPANS))
+    sized = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("match")))
+    placed = lambda tiles: F.zip_with(tiles, running(F.transform(tiles, lambda x: x["gap"] + x["n"]), lambda a, b: a + b), lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["match"].alias("match")))
+    return F.when(text.rlike(pattern), let(F.filter(sized, lambda x: x["n"].isNotNull()), placed)).otherwise(F.array().cast(NO_SPANS))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -68,26 +95,42 @@ def log_tail(z: Column, sides: int = 1) -> Column:
     return let(z, lambda z: let(1 / (1 + 0.2316419 * F.abs(z)), lambda t: let(upper(z, t), lambda q: both(z, q))))
 
 
-def battery(token: Column) -> Column:
-    """(encoding, p): p is the chance that characters drawn uniformly from the inferred alphabet look at least
-    as odd. Chi-squared of the characters, chi-squared of the classes, runs above the middle, serial correlation."""
-    which = F.coalesce(*(F.when(token.rlike(p), F.lit(k)) for k, (p, _) in enumerate(ENCODINGS)))
+def encoding_of(token: Column) -> Column:
+    return F.coalesce(*(F.when(token.rlike(p), F.lit(k)) for k, (p, _) in enumerate(ENCODINGS)))
+
+
+def plain(token: Column, encoding: Column) -> Column:
+    """The token in its alphabet's characters."""
+    return F.translate(F.regexp_replace(F.when(encoding == 0, F.lower(token)).otherwise(token), "=+$", ""), "-_=", "+/+")
+
+
+def class_z(s: Column, encoding: Column) -> Column:
+    """Chi-squared of the numbers of digits, small letters, capitals and signs, as a normal value (Wilson and Hilferty)."""
+    n = F.length(s).cast("double")
+    seen = [F.length(F.regexp_replace(s, p, "")) for p in CLASSES]
+    shares = [[len(re.sub(p, "", abc)) / len(abc) for p in CLASSES] for _, abc in ENCODINGS]
+    expected = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in shares)), encoding + 1)
+    odd = sum((F.when(expected(k) > 0, F.pow(seen[k] - n * expected(k), 2) / (n * expected(k))).otherwise(0.0) for k in range(len(CLASSES))), F.lit(0.0))
+    free = F.element_at(F.array(*(F.lit(float(max(1, sum(e > 0 for e in x) - 1))) for x in shares)), encoding + 1)
+    return (F.pow(odd / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+
+
+def battery(s: Column, encoding: Column, z_class: Column) -> Column:
+    """p: the chance that characters drawn uniformly from the inferred alphabet look at least as odd. Chi-squared of
+    the characters, chi-squared of the classes, runs above the middle, serial correlation."""
     alphabets = F.array(*(F.lit(a) for _, a in ENCODINGS))
-    plain = lambda w: F.translate(F.regexp_replace(F.when(w == 0, F.lower(token)).otherwise(token), "=+$", ""), "-_=", "+/+")
-    inferred = let(which, lambda w: F.struct(w.alias("encoding"), F.element_at(alphabets, w + 1).alias("abc"), plain(w).alias("s")))
-    return let(let(let(let(inferred, _counted), _moments), _scores), _combined)
+    x = F.struct(encoding.alias("encoding"), F.element_at(alphabets, encoding + 1).alias("abc"), s.alias("s"), z_class.alias("z_class"))
+    return let(let(let(let(x, _counted), _moments), _scores), _combined)
 
 
 def _counted(x: Column) -> Column:
-    """Numbers of the alphabet's characters, of its classes, and the places of the token's characters in it."""
+    """Numbers of the alphabet's characters and the places of the token's characters in it."""
     letters = F.filter(F.split(x["abc"], ""), lambda c: c != "")
     count = lambda c: (F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit("")))).cast("double")
-    share = lambda text, pattern: (F.length(F.regexp_replace(text, pattern, "")) / F.length(text)).cast("double")
-    classes = F.array(*(F.struct(share(x["s"], p).alias("o"), share(x["abc"], p).alias("e")) for p in ("[^0-9]", "[^a-z]", "[^A-Z]", "[0-9A-Za-z]")))
     places = F.transform(F.split(x["s"], ""), lambda c: F.instr(x["abc"], c).cast("double") - 1)
     return F.struct(
-        x["encoding"].alias("encoding"), F.length(x["s"]).cast("double").alias("n"), F.length(x["abc"]).cast("double").alias("k"),
-        F.transform(letters, count).alias("counts"), F.filter(classes, lambda c: c["e"] > 0).alias("classes"), F.filter(places, lambda v: v >= 0).alias("v"),
+        x["z_class"].alias("z_class"), F.length(x["s"]).cast("double").alias("n"), F.length(x["abc"]).cast("double").alias("k"),
+        F.transform(letters, count).alias("counts"), F.filter(places, lambda v: v >= 0).alias("v"),
     )
 
 
@@ -98,96 +141,119 @@ def total(values: Column, of: Callable[[Column], Column]) -> Column:
 def _moments(x: Column) -> Column:
     v, m = x["v"], F.size(x["v"])
     squares = total(x["counts"], lambda c: c * c)
-    odd = total(x["classes"], lambda c: (c["o"] - c["e"]) * (c["o"] - c["e"]) / c["e"])
     pairs = F.zip_with(F.slice(v, 1, m - 1), F.slice(v, 2, m - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.struct(
-        x["encoding"].alias("encoding"), x["n"].alias("n"), x["k"].alias("k"), v.alias("v"), pairs.alias("pairs"),
-        (x["k"] / x["n"] * squares - x["n"]).alias("chi"), (x["n"] * odd).alias("odd"), F.greatest(F.size(x["classes"]) - 1, F.lit(1)).cast("double").alias("free"),
+        x["z_class"].alias("z_class"), x["n"].alias("n"), x["k"].alias("k"), v.alias("v"), pairs.alias("pairs"), (x["k"] / x["n"] * squares - x["n"]).alias("chi"),
         (total(v, lambda y: y) / m).alias("mean"), total(v, lambda y: F.when(y >= x["k"] / 2, 1.0).otherwise(0.0)).alias("high"), m.cast("double").alias("m"),
     )
 
 
 def _scores(x: Column) -> Column:
-    free, n, m, high = x["free"], x["n"], x["m"], x["high"]
+    n, m, high = x["n"], x["m"], x["high"]
     expected = 2 * high * (m - high) / m + 1
     runs = 1 + total(x["pairs"], lambda y: F.when((y["a"] >= x["k"] / 2) != (y["b"] >= x["k"] / 2), 1.0).otherwise(0.0))
     return F.struct(
-        x["encoding"].alias("encoding"), m.alias("m"), expected.alias("expected"), runs.alias("runs"), ((expected - 1) * (expected - 2) / (m - 1)).alias("spread"),
+        x["z_class"].alias("z_class"), m.alias("m"), expected.alias("expected"), runs.alias("runs"), ((expected - 1) * (expected - 2) / (m - 1)).alias("spread"),
         ((x["chi"] - (x["k"] - 1)) / F.sqrt(2 * (x["k"] - 1) * (1 - 1 / n))).alias("z_chi"),
-        ((F.pow(x["odd"] / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))).alias("z_class"),
         total(x["v"], lambda y: (y - x["mean"]) * (y - x["mean"])).alias("var"), total(x["pairs"], lambda y: (y["a"] - x["mean"]) * (y["b"] - x["mean"])).alias("serial"),
     )
 
 
 def _combined(x: Column) -> Column:
+    """Cauchy's combination of the tests' p-values, which need not be independent."""
     z_runs = F.when(x["spread"] > 1e-9, F.abs(x["runs"] - x["expected"]) / F.sqrt(x["spread"])).otherwise(10.0)
     z_serial = F.when(x["var"] > 1e-9, F.abs(x["serial"] / x["var"] + 1 / x["m"]) * F.sqrt(x["m"])).otherwise(10.0)
-    half = -(log_tail(x["z_chi"]) + log_tail(x["z_class"]) + log_tail(z_runs, 2) + log_tail(z_serial, 2))
-    p = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))  # Fisher: chi-squared of 8 degrees
-    return F.struct(x["encoding"].alias("encoding"), F.greatest(p, F.lit(1e-60)).alias("p"))
+    logs = F.array(log_tail(x["z_chi"]), log_tail(x["z_class"]), log_tail(z_runs, 2), log_tail(z_serial, 2))
+    # tan(pi (1/2 - p)) is 1 / (pi p) for small p; a p of nearly 1 must not outweigh a small one
+    tails = F.transform(logs, lambda q: let(F.least(F.exp(q), F.lit(0.99)), lambda p: F.when(p < 1e-8, 1 / (math.pi * F.greatest(p, F.lit(1e-60)))).otherwise(F.tan((0.5 - p) * math.pi))))
+    return let(total(tails, lambda t: t) / 4, lambda t: F.when(t > 1e7, 1 / (math.pi * t)).otherwise(0.5 - F.atan(t) / math.pi))
+
+
+def stratum(token: Column, encoding: Column) -> Column:
+    return (sum((F.when(F.length(token) >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0)) * 8 + encoding).cast("int")
+
 
+def bin_of(s: Column, encoding: Column, z_class: Column, floor: float) -> Column:
+    """Ten bins for each power of ten of p. The class test alone, where it gives a fifth of the floor or less, puts p
+    below the floor, whatever the other three say (each adds -32 at least to Cauchy's sum); such tokens have the last bin."""
+    p = lambda q: F.least(F.floor(-F.log10(q) * 10).cast("int"), F.lit(P_BINS))
+    return F.when(log_tail(z_class) <= math.log(floor / 5), P_BINS).otherwise(let(battery(s, encoding, z_class), p))
 
-def stratum(encoding: Column, length: Column, part: Column) -> Column:
-    return part * 64 + encoding * 8 + sum((F.when(length >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+
+def cell(token: Column, floor: float) -> Column:
+    """(stratum, bin) of a token."""
+    classed = lambda e: let(plain(token, e), lambda s: let(class_z(s, e), lambda z: bin_of(s, e, z, floor)))
+    return let(encoding_of(token), lambda e: F.struct(stratum(token, e).alias("stratum"), classed(e).alias("bin")))
 
 
 def candidates(text: Column) -> Column:
-    """(start, end, match, part) of each run of TOKEN and of each of its parts, once."""
-    one = lambda x, at, part: F.struct((at + x["start"]).alias("start"), (at + x["end"]).alias("end"), x["match"].alias("match"), F.lit(part).alias("part"))
+    """The runs of TOKEN and the parts of each, once: arrays of (start, end, match), a run's first."""
+    moved = lambda x, at: F.struct((at + x["start"]).alias("start"), (at + x["end"]).alias("end"), x["match"].alias("match"))
     split = lambda x: F.filter(F.concat(*(spans(x["match"], p) for p in PARTS)), lambda y: F.length(y["match"]) < F.length(x["match"]))
     parts = lambda x: F.when(x["match"].rlike("[/=_-]"), F.array_distinct(split(x))).otherwise(F.array().cast(NO_SPANS))
-    return let(spans(text, TOKEN), lambda runs: F.concat(F.transform(runs, lambda x: one(x, F.lit(0), 0)), F.flatten(F.transform(runs, lambda x: F.transform(parts(x), lambda y: one(y, x["start"], 1))))))
+    return F.transform(spans(text, TOKEN), lambda x: F.concat(F.array(x), F.transform(parts(x), lambda y: moved(y, x["start"]))))
+
+
+def language(texts: DataFrame) -> DataFrame:
+    """Tokens (column x) made of the words of the texts (column t): of each length of the strata, joined by hyphens
+    and without."""
+    joined = F.regexp_replace(F.regexp_replace("t", TOKEN, " "), "[^A-Za-z]+", "-")
+    blocks = texts.select(F.explode_outer(F.regexp_extract_all(joined, F.lit(f"[A-Za-z-]{{{LENGTHS[0]},{sum(PIECES)}}}"), F.lit(0))).alias("b"))
+    places = zip(PIECES, (1, *(1 + n for n in itertools.accumulate(PIECES))), strict=False)
+    pieces = [F.substring("b", at, n) for n, at in places]
+    made = pieces[: len(LENGTHS)] + [F.left(F.replace(x, F.lit("-"), F.lit("")), F.lit(n)) for x, n in zip(pieces[len(LENGTHS) :], LENGTHS, strict=True)]
+    return blocks.select(F.explode(F.array(*made)).alias("x")).filter(F.length("x").isin(*LENGTHS))
+
+
+def histogram(tokens: DataFrame, floor: float) -> DataFrame:
+    """(stratum, bin, count) of the tokens (column x), worked out by columns, as there are many."""
+    x, e, s, z = (F.col(c) for c in "xesz")
+    classed = tokens.withColumn("e", encoding_of(x)).withColumn("s", plain(x, e)).withColumn("z", class_z(s, e))
+    return classed.select(stratum(x, e).alias("stratum"), bin_of(s, e, z, floor).alias("bin")).groupBy("stratum", "bin").count()
+
+
+def limits(seen: DataFrame, null: DataFrame, rate: float) -> DataFrame:
+    """The greatest bin that is reported of each stratum, from the histograms (stratum, bin, count) of the candidates
+    and of language. p is the share of a length's language tokens with that encoding and at most that bin."""
+    length = F.floor(F.col("stratum") / 8)
+    cells = seen.withColumn("kind", F.lit(1)).unionByName(null.withColumn("kind", F.lit(0)))
+    of_length, as_random = Window.partitionBy(length), Window.partitionBy("stratum").orderBy("bin").rangeBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("kind") == 0, F.col("count")).otherwise(0)
+    p = (1 + F.sum(own).over(as_random)) / (1 + F.sum(own).over(of_length))
+    # some thousand rows at most, whatever the input: one window over all of them
+    ranked = cells.withColumn("p", p).filter("kind = 1").withColumns({"rank": F.sum("count").over(Window.orderBy("p").rangeBetween(Window.unboundedPreceding, 0)), "m": F.sum("count").over(Window.partitionBy())})
+    last = ranked.withColumn("last", F.max(F.when(F.col("p") <= rate * F.col("rank") / F.col("m"), F.col("p"))).over(Window.partitionBy()))
+    return last.filter(F.col("p") <= F.col("last")).groupBy("stratum").agg(F.max("bin").alias("upto"))
 
 
 def outermost(found: Column) -> Column:
     """Of (start, end, match) those that lie in no other."""
     ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["match"].alias("match"))))
-    step = lambda acc, x: F.when(-x["less"] <= acc["upto"], acc).otherwise(F.struct((-x["less"]).alias("upto"), F.concat(acc["out"], F.array(F.struct(x["start"].alias("start"), (-x["less"]).alias("end"), x["match"].alias("match")))).alias("out")))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("upto"), F.array().cast(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
+    reach = lambda xs: F.zip_with(xs, running(F.transform(xs, lambda x: -x["less"]), lambda a, b: F.greatest(a, b)), lambda x, upto: F.struct(x["start"].alias("start"), (-x["less"]).alias("end"), x["match"].alias("match"), upto.alias("upto")))
+    outer = lambda xs: F.filter(reach(xs), lambda x: x["end"] > x["upto"])
+    return F.transform(let(ordered, outer), lambda x: F.struct(x["start"], x["end"], x["match"]))
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> DataFrame:
     """doc_id and spans: array of (start, kind, end, match), kind an index of KINDS.
 
-    The battery's null hypothesis is "drawn at random", which holds for real secrets. In each stratum of
-    encoding and length, Benjamini-Hochberg at `rate` over all candidates bounds the share of real secrets
-    among those that are dismissed as language; what is not dismissed, and has p over `floor`, is reported.
-    Parts of runs are candidates in strata of their own; a part of what is reported is not reported again.
+    Of the tokens reported as random, the expected share of language is at most `rate`; none is reported whose
+    battery says that a random token looks so with a chance of at most `floor`. A part of what is reported is not
+    reported again.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kind = lambda found, k: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
     assign = F.filter(spans(F.col("t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 8)
     access = F.filter(spans(F.col("t"), ACCESS), lambda x: F.length(x["match"]) >= 16)
-    tokens = F.transform(
-        candidates(F.col("t")),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["part"].alias("part"), battery(x["match"]).alias("b")),
-    )
-    tokens = F.transform(
-        tokens,
-        lambda x: F.struct(x["start"], x["end"], x["match"], stratum(x["b"]["encoding"], F.length(x["match"]), x["part"]).alias("stratum"), F.least(F.floor(-F.log10(x["b"]["p"]) * 10).cast("int"), F.lit(P_BINS)).alias("bin")),
-    )
-    found = docs.select("doc_id", text.alias("t")).select(
-        "doc_id",
-        F.concat(kind(assign, 0), kind(access, 1), kind(spans(F.col("t"), HEX), 2)).alias("base"),
-        tokens.alias("tokens"),
-    )
-    found = cut(found, "secrets")
-    histogram = found.select(F.explode("tokens").alias("x")).groupBy(F.col("x.stratum").alias("stratum"), F.col("x.bin").alias("bin")).count()
-    # Benjamini-Hochberg on bins: from small p (large bin) on, the last bin whose p is at most rate * rank / m
-    by, smaller = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy(F.col("bin").desc())
-    dismissed = (
-        histogram.withColumns({"m": F.sum("count").over(by), "rank": F.sum("count").over(smaller)})
-        .filter(F.pow(10.0, -F.col("bin") / 10) <= rate * F.col("rank") / F.col("m"))
-        .groupBy("stratum")
-        .agg(F.min("bin").alias("from_bin"))
-    )
-    # a row for each stratum that has a limit: at most twice encodings times lengths, whatever the input
-    limits = F.array(*(F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r.from_bin).alias("from_bin")) for r in dismissed.collect())).cast("array<struct<stratum:int,from_bin:int>>")
+    tokens = F.transform(candidates(F.col("t")), lambda run: F.transform(run, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), cell(x["match"], floor).alias("cell"))))
+    texts = docs.select("doc_id", text.alias("t"))
+    found = cut(texts.select("doc_id", F.concat(kind(assign, 0), kind(access, 1), kind(spans(F.col("t"), HEX), 2)).alias("base"), F.flatten(tokens).alias("tokens")), "secrets")
+    seen = found.select(F.explode("tokens").alias("x")).groupBy("x.cell.stratum", "x.cell.bin").count()
+    null = histogram(language(texts), floor)
+    # a row for each stratum that has a limit: at most encodings times lengths, whatever the input
+    upto = F.array(*(F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r.upto).alias("upto")) for r in limits(cut(seen, "seen"), cut(null, "language"), rate).collect())).cast("array<struct<stratum:int,upto:int>>")
     most = int(-10 * math.log10(floor))
-    random = F.filter(
-        "tokens",
-        lambda x: (x["bin"] < most) & ~F.exists(limits, lambda y: (y["stratum"] == x["stratum"]) & (x["bin"] >= y["from_bin"])),
-    )
+    random = F.filter("tokens", lambda x: (x["cell"]["bin"] < most) & F.exists(upto, lambda y: (y["stratum"] == x["cell"]["stratum"]) & (x["cell"]["bin"] <= y["upto"])))
     return found.select("doc_id", F.array_sort(F.concat("base", kind(outermost(random), 3))).alias("spans"))
 
 
