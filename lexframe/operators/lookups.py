@@ -51,31 +51,6 @@ def run(df: DataFrame, lookup: Lookup) -> DataFrame:
     return df.limit(1) if lookup.one else df
 
 
-def sql(lookup: Lookup, money: set[str], dates: set[str]) -> str:
-    """The same in SQL, money as double and dates as text."""
-
-    def literal(v: object) -> str:
-        return str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
-
-    def where(name: str, op: str, value: object) -> str:
-        if op == "is null":
-            return f"{name} IS NULL"
-        if op == "in":
-            return f"{name} IN ({', '.join(map(literal, value))})"
-        if op == "contains":
-            return f"contains(lower({name}), lower({literal(value)}))"
-        return f"{name} = {literal(value)}"
-
-    filters = f" WHERE {' AND '.join(where(*c) for c in lookup.conditions)}" if lookup.conditions else ""
-    if lookup.exists:
-        return f"SELECT count(*) > 0 AS found FROM {lookup.table}{filters}"
-    shown = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in money else f"CAST({c} AS VARCHAR) AS {c}" if c in dates else c for c in lookup.columns)
-    rest = [c for c in lookup.columns if c not in {s for s, _ in lookup.sort}]
-    sort = f" ORDER BY {', '.join([f'{c} {"DESC NULLS FIRST" if d else "ASC NULLS LAST"}' for c, d in lookup.sort] + rest)}" if lookup.sort else ""
-    inner = f"SELECT {', '.join(lookup.columns)} FROM {lookup.table}{filters}{sort}{' LIMIT 1' if lookup.one else ''}"
-    return f"SELECT {shown} FROM ({inner}) AS q"
-
-
 ENTRY = ("matter_id", "staff_id", "part", "line", "entry_date", "entry_type", "hours", "rate", "amount", "billed", "billable")
 MATTER = ("id", "client_id", "matter_name", "short_name", "matter_type", "status", "is_pro_bono", "retainer_amount", "created_at")
 CLIENT = ("id", "first_name", "last_name", "email", "status")

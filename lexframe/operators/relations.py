@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar
 from ..sources.shared import fresh_path
@@ -85,7 +85,33 @@ def filter_matters(matters: DataFrame, show: str, query: str) -> DataFrame:
 
 def sorted_matters(matters: DataFrame) -> DataFrame:
     """Open before closed, then by name."""
-    return matters.orderBy(F.when(scalar.is_closed(F.col("status")), 1).otherwise(0), F.lower(scalar.display_name(F.col("short_name"), F.col("matter_name"))), "id")
+    return matters.orderBy(*matters_order())
+
+
+def matters_order() -> list[Column]:
+    return [F.when(scalar.is_closed(F.col("status")), 1).otherwise(0), F.lower(scalar.display_name(F.col("short_name"), F.col("matter_name"))), F.col("id")]
+
+
+def placed(rows: DataFrame, order: list[Column], within: str | None = None) -> DataFrame:
+    """rows with their place (from 1) in an order, of all or within the rows of one value. Rows are dealt into ranges
+    of the order and numbered in each; the ranges' sizes give the rest, so no task sees more than a range."""
+    spark, by = rows.sparkSession, [*([F.col(within)] if within else []), *order]
+    path = fresh_path(spark, "ranges")
+    rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = ranged.join(F.broadcast(offsets), "_range").withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*by)) + F.col("_before"))
+    if within:
+        first = numbered.groupBy(within).agg((F.min("place") - 1).alias("_first"))
+        numbered = numbered.join(first, within).withColumn("place", F.col("place") - F.col("_first"))
+    return numbered.select(*rows.columns, "place")
+
+
+def exist(keys: DataFrame, rows: DataFrame, on: str) -> DataFrame:
+    """keys with `found`: whether rows has the key."""
+    return keys.join(rows.select(on).distinct().withColumn("found", F.lit(True)), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def recent_matters(matters: DataFrame, n: int = 8) -> DataFrame:

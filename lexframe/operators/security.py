@@ -17,6 +17,17 @@ class Principal:
     uid: str | None = None
 
 
+def principals(logins: DataFrame, roles: DataFrame) -> DataFrame:
+    """logins (uid) with role, client_id and staff_id of the user's row of roles; null where there is none."""
+    return logins.join(roles.select("uid", "role", "client_id", "staff_id").filter("uid is not null"), "uid", "left")
+
+
+def principal(uid: str, roles: DataFrame) -> Principal:
+    """Who the login is; a login without a role is nobody."""
+    row = roles.filter(F.col("uid") == uid).select("role", "client_id", "staff_id").first()
+    return Principal(row.role, row.client_id, row.staff_id, uid) if row else Principal("none", uid=uid)
+
+
 def require(principal: Principal, roles: tuple[str, ...]) -> None:
     if principal.role not in roles:
         raise PermissionError(f"role {principal.role} is not one of {', '.join(roles)}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .finance import latest_version
+from .quality import DOMAINS, outside_domain
 
 #: Child tables that go with a row, and references that become null.
 CASCADE = {
@@ -28,6 +29,24 @@ def insert(table: DataFrame, rows: DataFrame, violations: DataFrame | None = Non
     return table.unionByName(rows, allowMissingColumns=True)
 
 
+def violations(name: str, rows: DataFrame, key: list[str]) -> DataFrame | None:
+    """Rows of a domain table whose enumerations have other values; None for a table without any."""
+    found = None
+    for table, column in DOMAINS:
+        if table == name and column in rows.columns:
+            bad = outside_domain(rows, table, column, key)
+            found = bad if found is None else found.unionByName(bad)
+    return found
+
+
+def append(path: str, name: str, rows: DataFrame, key: list[str]) -> None:
+    """Add rows to a domain table's folder, if they break no rule; else nothing is written."""
+    broken = violations(name, rows, key)
+    if broken is not None and broken.limit(1).count():
+        raise Refused(broken)
+    rows.write.mode("append").parquet(path)
+
+
 def update(table: DataFrame, patch: DataFrame, key: str = "id", touched: str | None = None) -> DataFrame:
     """Values of the patch where they are not null. An empty patch is refused. `touched` (a timestamp's text)
     goes into updated_at of the rows that the patch names."""

@@ -13,36 +13,36 @@ from ..streaming import ledger as streams
 from . import ingest
 from .queries import ORACLE_SQL, QUERIES, Tables, query
 
-SEEDS = ", ".join(f"('{slug}', {types!r})" for slug, types in seeds.OBJECTIONS)
+QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+SEEDS = ", ".join(f"('{slug}', {types!r}, {QUOTED(text)})" for slug, types, text in seeds.OBJECTIONS)
 TODAY = "2026-01-05"
 
 
 # seeds and configuration
 
 
-@query(f"SELECT slug, len(applies_to)::BIGINT AS n, 1 AS offices FROM (VALUES {SEEDS}) v(slug, applies_to)")
+@query(f"SELECT slug, len(applies_to)::BIGINT AS n, text FROM (VALUES {SEEDS}) v(slug, applies_to, text)")
 def scan_lookup_seed(t: Tables) -> DataFrame:
     rows = seeds.objections(t("offices").sparkSession)
     loaded = seeds.add_missing(rows.filter("slug < 'n'"), rows)
-    return loaded.select("slug", F.size("applies_to").cast("long").alias("n"), F.lit(1).alias("offices"))
+    return loaded.select("slug", F.size("applies_to").cast("long").alias("n"), "text")
 
 
-@query(f"SELECT unnest({list(seeds.PRIVILEGES)!r}) AS slug")
+@query(f"SELECT slug, text FROM (VALUES {', '.join(f"('{slug}', {QUOTED(text)})" for slug, text in seeds.PRIVILEGES)}) v(slug, text) ORDER BY slug")
 def privileges_all(t: Tables) -> DataFrame:
     return seeds.privileges(t("offices").sparkSession).orderBy("slug")
 
 
-@query(f"SELECT d.id, slug FROM (VALUES {SEEDS}) v(slug, applies_to), discovery_requests d WHERE list_has_any(applies_to, [d.request_type, '*']) AND d.id < 40")
+@query(f"SELECT d.id, slug, text FROM (VALUES {SEEDS}) v(slug, applies_to, text), discovery_requests d WHERE list_has_any(applies_to, [d.request_type, '*'])")
 def objections_for_type(t: Tables) -> DataFrame:
-    d = t("discovery_requests").filter("id < 40").select("id", "request_type")
-    rows = F.broadcast(seeds.objections(d.sparkSession))  # ten rows
-    return d.join(rows, F.arrays_overlap("applies_to", F.array("request_type", F.lit("*")))).select("id", "slug")
+    rows = seeds.objections(t("offices").sparkSession).select("slug", "text", F.explode("applies_to").alias("kind"))
+    d = t("discovery_requests").select("id", F.explode(F.array("request_type", F.lit("*"))).alias("kind"))
+    return d.join(F.broadcast(rows), "kind").select("id", "slug", "text")  # ten seed rows
 
 
-@query("SELECT 'response_days' AS name, 30.0::DOUBLE AS value UNION ALL SELECT 'refresh_trigger_pct', 0.4::DOUBLE")
+@query("""SELECT * FROM (VALUES ('stripe_publishable_key', '""'), ('firm_name', '"Your Law Firm - Override in .env"'), ('time_increment_options', '[0.1, 0.25, 0.5, 1.0]'), ('version', '"2026.04.05"')) v(name, value)""")
 def src_config(t: Tables) -> DataFrame:
-    rows = [(k, float(seeds.CONFIG[k])) for k in ("response_days", "refresh_trigger_pct")]
-    return t("offices").sparkSession.createDataFrame(rows, "name string, value double")
+    return seeds.public_config(t("offices").sparkSession)
 
 
 @query("SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda p: length(trim(p)) >= 20), chr(10) || chr(10))) AS digest FROM raw_text")
@@ -77,8 +77,11 @@ def concat_counsel_ui(t: Tables) -> DataFrame:
 @query("SELECT id, status FROM matters UNION ALL SELECT id + 10000000, 'intake' FROM matters WHERE id % 10 = 0")
 def sink_insert(t: Tables) -> DataFrame:
     m = t("matters").select("id", "status")
+    path = fresh_path(m.sparkSession, "matters")
+    m.write.parquet(path)
     new = m.filter("id % 10 = 0").select((F.col("id") + 10000000).alias("id"), F.lit("intake").alias("status"))
-    return writes.insert(m, new, quality.outside_domain(new, "matters", "status", ["id"]))
+    writes.append(path, "matters", new, ["id"])
+    return m.sparkSession.read.parquet(path)
 
 
 PATCHED = "SELECT id, CASE WHEN id % 10 = 0 AND id % 20 <> 0 THEN 'archived' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN 'Renamed' ELSE matter_name END AS matter_name"
@@ -124,7 +127,10 @@ FROM matters m JOIN p ON p.id = m.id WHERE m.id % 10 = 0""")
 def sink_audit(t: Tables) -> DataFrame:
     before = t("matters").select("id", "status")
     after = writes.update(before, _patch(t).select("id", "status"))
-    return writes.audit("matter.update", "matter", before.filter("id % 10 = 0"), after.filter("id % 10 = 0"), "uid-1")
+    path = fresh_path(before.sparkSession, "audit")
+    for part in ("id % 20 = 0", "id % 20 = 10"):  # the log grows with every request
+        writes.append(path, "audit_log", writes.audit("matter.update", "matter", before.filter(part), after.filter(part), "uid-1"), ["entity_id"])
+    return before.sparkSession.read.parquet(path)
 
 
 @query("SELECT id, 'matters/' || matter_id || '/discovery/' || id || '.pdf' AS path FROM discovery_requests")
@@ -144,9 +150,28 @@ def _outline(t: Tables) -> DataFrame:
     return ingest.outline(items)
 
 
-@query(OUTLINE)
+TEXTS = {slug: text for slug, *_, text in (*seeds.PRIVILEGES, *seeds.OBJECTIONS)}
+FULL = f"""WITH s AS (SELECT discovery_request_id, request_number, 'No. ' || request_number || chr(10) || 'Request: part ' || part || CASE WHEN part % 2 = 0 THEN chr(10) || 'Interpretations: as of ' || line || '; in full' ELSE '' END
+  || CASE WHEN part % 3 = 0 THEN chr(10) || 'Privileges: Work Product: ' || {QUOTED(TEXTS["work-product"])} ELSE '' END
+  || CASE WHEN part % 5 = 0 THEN chr(10) || 'Objections: Vague: ' || {QUOTED(TEXTS["vague"])} || '; Overbroad: ' || {QUOTED(TEXTS["overbroad"])} ELSE '' END
+  || CASE WHEN trim(coalesce(response, '')) <> '' THEN chr(10) || 'Response: ' || response ELSE '' END AS s FROM (SELECT *, request_number AS line FROM discovery_request_items) q)
+SELECT discovery_request_id, string_agg(s, chr(10) || chr(10) ORDER BY request_number, s) AS outline FROM s GROUP BY discovery_request_id"""
+
+
+@query(FULL)
 def sink_docx(t: Tables) -> DataFrame:
-    return _outline(t)
+    """The text of each response document, with interpretations and the standard privileges and objections."""
+    n = F.col("part")
+    named = lambda field, *slugs: F.array(*(F.struct(F.lit(x).alias(field), F.lit(TEXTS[x]).alias("text")) for x in slugs))
+    items = t("discovery_request_items").withColumns(
+        {
+            "source_text": F.concat(F.lit("part "), n.cast("string")),
+            "interpretations": F.when(n % 2 == 0, F.array(F.concat(F.lit("as of "), F.col("request_number").cast("string")), F.lit("in full"))),
+            "privileges": F.when(n % 3 == 0, named("privilege_name", "work-product")),
+            "objections": F.when(n % 5 == 0, named("objection_name", "vague", "overbroad")),
+        }
+    )
+    return ingest.outline(items)
 
 
 @query(OUTLINE)
@@ -328,12 +353,11 @@ def role_gate_route(t: Tables) -> DataFrame:
     return t("user_roles").groupBy("role").agg(F.count("*").alias("n")).withColumn("allowed", gate[F.col("role")])
 
 
-@query("SELECT CASE WHEN s_suppkey % 7 <> 0 THEN 'attorney' ELSE 'none' END AS role, count(*) AS n FROM supplier GROUP BY 1")
+@query("SELECT s.id, r.role, r.staff_id::DOUBLE AS staff_id, r.client_id::DOUBLE AS client_id FROM staff s LEFT JOIN user_roles r ON r.uid = s.uid UNION ALL SELECT -c.c_custkey, r.role, r.staff_id, r.client_id FROM customer c LEFT JOIN user_roles r ON r.uid = 'cid-' || c.c_custkey")
 def udf_auth(t: Tables) -> DataFrame:
-    """The role of each login, as a principal holds it."""
-    known = t("user_roles").filter("client_id is null").select("uid", F.lit("attorney").alias("role"))
-    logins = t("staff").select("uid")
-    return logins.join(known, "uid", "left").groupBy(F.coalesce("role", F.lit("none")).alias("role")).agg(F.count("*").alias("n"))
+    """Role, staff and client of each login, of staff and of clients; null for a login that nobody has."""
+    logins = t("staff").select("id", "uid").unionByName(t("clients").select((-F.col("id")).alias("id"), F.concat(F.lit("cid-"), F.col("id").cast("string")).alias("uid")))
+    return security.principals(logins, t("user_roles")).select("id", "role", F.col("staff_id").cast("double").alias("staff_id"), F.col("client_id").cast("double").alias("client_id"))
 
 
 # streams: the files are read as a stream, to the end
@@ -362,15 +386,17 @@ def _stream_trust_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(streams.trust_balances(ledger), "complete").withColumn("trust", F.col("trust").cast("double"))
 
 
+#: A day's counts are given when the watermark, a day behind the latest event, has passed its end.
 def _stream_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _events(spark, sf_dir).select(F.col("ts"), F.col("event_type").alias("action"))
-    return _drained(streams.audit_counts(log, "ts"), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "action", "n")
+    return _drained(streams.audit_counts(log, "ts"), "append").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "action", "n")
 
 
 QUERIES["stream_trust_balance"] = _stream_trust_balance
 ORACLE_SQL["stream_trust_balance"] = ORACLE_SQL["agg_trust_balance"]
 QUERIES["stream_audit_counts"] = _stream_audit_counts
-ORACLE_SQL["stream_audit_counts"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS action, count(*) AS n FROM events GROUP BY ALL"
+ORACLE_SQL["stream_audit_counts"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS action, count(*) AS n FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY GROUP BY ALL"""
 
 
 @query("SELECT matter_id, sum(CASE WHEN transaction_type = 'deposit' THEN amount ELSE -amount END)::DOUBLE AS trust, count(*) AS n FROM trust_ledger GROUP BY matter_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalar
 from ..operators import conflicts, finance, lookups, quality, relations, security
 from ..sources import adapter
-from . import ingest
+from . import ingest, lookup_sql
 
 Tables = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable:
 
 def _lookup(name: str, lookup: lookups.Lookup) -> None:
     QUERIES[name] = lambda spark, sf_dir: shown(lookups.run(adapter.load(spark, sf_dir, lookup.table), lookup))
-    ORACLE_SQL[name] = adapter.sql(lookups.sql(lookup, adapter.MONEY | adapter.NULLABLE, adapter.DATES))
+    ORACLE_SQL[name] = adapter.sql(lookup_sql.text(name, lookup.columns, adapter.MONEY | adapter.NULLABLE, adapter.DATES))
 
 
 for _name, _spec in lookups.LOOKUPS.items():
@@ -186,10 +186,10 @@ def dq_pro_bono_zero(t: Tables) -> DataFrame:
     return finance.pro_bono_zero(t("billing_entries"), t("matters")).select("matter_id", "part", "line", "staff_id", "entry_type", "entry_date", "rate", "amount")
 
 
-@query("""SELECT matter_id, part, line, staff_id, coalesce(b.billed OR c.id IS NOT NULL, b.billed) AS billed FROM billing_entries b LEFT JOIN (SELECT id FROM billing_cycles WHERE status = 'open' AND matter_id < 200) c ON c.id = b.billing_cycle_id""")
+@query("""SELECT matter_id, part, line, staff_id, coalesce(b.billed OR c.id IS NOT NULL, b.billed) AS billed FROM billing_entries b LEFT JOIN (SELECT id FROM billing_cycles WHERE status = 'open') c ON c.id = b.billing_cycle_id""")
 def pipe_close_cycle(t: Tables) -> DataFrame:
     cycles = t("billing_cycles")
-    entries, _, _ = finance.close_cycle(t("billing_entries"), cycles, cycles.filter("matter_id < 200").select("id"), 3)
+    entries, _, _ = finance.close_cycle(t("billing_entries"), cycles, cycles.select("id"), 3)
     return entries.select("matter_id", "part", "line", "staff_id", "billed")
 
 
@@ -289,9 +289,10 @@ def proj_raw_head_tail(t: Tables) -> DataFrame:
     return t("raw_text").select("doc_id", F.sha2(scalar.head_tail(F.col("text")), 256).alias("digest"))
 
 
-@query("SELECT entity_type, entity_id, count(*) AS n FROM audit_log GROUP BY entity_type, entity_id HAVING count(*) > 0")
+@query("SELECT id, EXISTS (SELECT 1 FROM audit_log a WHERE a.entity_type = 'matter' AND a.entity_id = m.id) AS found FROM matters m")
 def agg_exists(t: Tables) -> DataFrame:
-    return t("audit_log").groupBy("entity_type", "entity_id").agg(F.count("*").alias("n")).filter("n > 0")
+    logged = t("audit_log").filter("entity_type = 'matter'").select(F.col("entity_id").alias("id"))
+    return relations.exist(t("matters").select("id"), logged, "id")
 
 
 @query("SELECT count(*) FILTER (status NOT IN ('closed', 'archived')) AS open, count(*) AS total, count(*) FILTER (is_pro_bono) AS pro_bono FROM matters")
@@ -304,11 +305,10 @@ def agg_staff_linked(t: Tables) -> DataFrame:
     return relations.staff_linked(t("staff"))
 
 
-@query("SELECT id, row_number() OVER (ORDER BY CASE WHEN status IN ('closed', 'archived') THEN 1 ELSE 0 END, lower(coalesce(short_name, matter_name)), id) AS place FROM matters ORDER BY place LIMIT 100")
+@query("SELECT id, row_number() OVER (ORDER BY CASE WHEN status IN ('closed', 'archived') THEN 1 ELSE 0 END, lower(coalesce(short_name, matter_name)), id) AS place FROM matters")
 def sort_matters_ui(t: Tables) -> DataFrame:
-    top = relations.sorted_matters(t("matters")).limit(100)  # a page of the sorted list, numbered
-    closed, name = F.when(scalar.is_closed(F.col("status")), 1).otherwise(0), F.lower(scalar.display_name(F.col("short_name"), F.col("matter_name")))
-    return top.select("id", F.row_number().over(relations.Window.orderBy(closed, name, "id")).cast("long").alias("place"))
+    rows = t("matters").select("id", "status", "short_name", "matter_name")
+    return relations.placed(rows, relations.matters_order()).select("id", "place")
 
 
 @query("SELECT id, matter_name, CAST(created_at AS VARCHAR) AS created_at FROM matters ORDER BY matters.created_at DESC, id LIMIT 8")
@@ -370,10 +370,9 @@ def agg_hit_count(t: Tables) -> DataFrame:
     return _hits(t).groupBy("search").agg(F.count("*").alias("n"), (F.count("*") > 0).alias("has_conflict"))
 
 
-@query(TRIGRAM + " SELECT search, entity_id, source, row_number() OVER (PARTITION BY search ORDER BY sim DESC, source, entity_id) AS place FROM hits QUALIFY place <= 10")
+@query(TRIGRAM + " SELECT search, entity_id, source, row_number() OVER (PARTITION BY search ORDER BY sim DESC, source, entity_id) AS place FROM hits")
 def sort_similarity(t: Tables) -> DataFrame:
-    ranked = _hits(t).withColumn("place", F.row_number().over(relations.Window.partitionBy("search").orderBy(F.desc("sim"), "source", "entity_id")).cast("long"))
-    return ranked.filter("place <= 10").select("search", "entity_id", "source", "place")
+    return relations.placed(_hits(t).select("search", "entity_id", "source", "sim"), [F.desc("sim"), F.col("source"), F.col("entity_id")], "search").drop("sim")
 
 
 @query(f"WITH {SUBJECTS} SELECT source, entity_id, name FROM s")

@@ -117,6 +117,50 @@ def test_conflicts(spark):
     assert conflicts.searched_names("a", " b, ,c") == ["a", "b", "c"]
 
 
+def test_many_searches(spark):
+    """Names that share a beginning: pairs that are met are few beside all pairs, and none over the threshold is lost."""
+    people = spark.range(1500).select(F.col("id"), F.concat(F.lit("customer"), F.lit("")).alias("first_name"), F.lpad(F.hash("id").cast("string").substr(-6, 6), 6, "0").alias("last_name"))
+    subjects = conflicts.subjects(people, spark.createDataFrame([], "id long, full_name string"))
+    names = subjects.select(F.concat(F.col("name"), F.lit("1")).alias("search")).distinct()
+    n = names.count() * subjects.count()
+    for threshold in (0.3, 0.8):
+        x, y = scalar.trigrams(F.lower("search")), scalar.trigrams(F.col("name"))
+        shared = F.size(F.array_intersect(x, y))
+        every = names.crossJoin(subjects).filter(scalar.ratio32(shared, F.size(x) + F.size(y) - shared) > threshold)
+        got = conflicts.search_trigram(names, subjects, threshold)
+        assert got.count() == every.count()
+    assert conflicts.candidates(names, subjects, 0.8).count() < 0.1 * n
+    asked = subjects.select(F.col("name").substr(4, 20).alias("search")).distinct()
+    found = conflicts.search_substring(asked, subjects, few=0)
+    pairs = asked.crossJoin(subjects).filter(F.contains("name", F.col("search"))).select("search", "source", "entity_id", "name")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_places(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 7).alias("k"), (F.col("id") * 37 % 101).alias("v"))
+    got = sorted((r.place, r.v, r.id) for r in relations.placed(rows, [F.desc("v"), F.col("id")]).collect())
+    assert [(v, i) for _, v, i in got] == sorted(((v, i) for _, v, i in got), key=lambda x: (-x[0], x[1])) and [p for p, *_ in got] == list(range(1, 3001))
+    within = relations.placed(rows, [F.desc("v"), F.col("id")], "k").collect()
+    for k in range(7):
+        own = sorted((r.place, -r.v, r.id) for r in within if r.k == k)
+        assert [x[1:] for x in own] == sorted(x[1:] for x in own) and [x[0] for x in own] == list(range(1, len(own) + 1))
+    assert relations.placed(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_append_and_principals(spark, tmp_path):
+    path = str(tmp_path / "matters")
+    good = spark.createDataFrame([(1, "intake")], "id long, status string")
+    writes.append(path, "matters", good, ["id"])
+    writes.append(path, "matters", good.withColumn("id", F.lit(2).cast("long")), ["id"])
+    with pytest.raises(writes.Refused):
+        writes.append(path, "matters", good.withColumn("status", F.lit("lost")), ["id"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    roles = spark.createDataFrame([("u1", "client", 5, None), ("u2", "admin", None, 9), (None, "client", 7, None)], "uid string, role string, client_id long, staff_id long")
+    assert security.principal("u1", roles) == security.Principal("client", 5, None, "u1") and security.principal("zz", roles).role == "none"
+    found = security.principals(spark.createDataFrame([("u2",), ("zz",), (None,)], "uid string"), roles).collect()
+    assert {(r.uid, r.role, r.staff_id) for r in found} == {("u2", "admin", 9), ("zz", None, None), (None, None, None)}
+
+
 def test_seeds(spark):
     table = seeds.objections(spark)
     count = lambda kind: table.filter(F.arrays_overlap("applies_to", F.array(F.lit(kind), F.lit("*")))).count()
@@ -254,9 +298,11 @@ def test_streams_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("balances").collect()} == {tuple(r) for r in finance.trust_balance(ledger).collect()}
+    late = log.limit(1).withColumn("created_at", F.lit("2999-01-01").cast("date")).withColumn("action", F.lit("end"))
+    late.write.mode("append").parquet(str(tmp_path / "log"))  # an event so late that all windows close
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
     q = streams.audit_counts(stream).writeStream.outputMode("append").format("memory").queryName("counts").start()
     q.processAllAvailable()
     q.stop()
-    want = {(r.action, r.n) for r in streams.audit_counts(log).collect()}
-    assert {(r.action, r.n) for r in spark.table("counts").collect()} <= want
+    want = sorted((r.start, r.action, r.n) for r in streams.audit_counts(log).collect())
+    assert sorted((r.start, r.action, r.n) for r in spark.table("counts").collect()) == want and len(want) > 20
