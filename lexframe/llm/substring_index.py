@@ -8,16 +8,19 @@ immutable runs, bucketed and sorted by hash:
 * window runs: digests (96 bits over the words) of the 50-word windows of shared anchors, first document.
 
 A batch is merge-joined with the anchor runs. For anchors that the index or the batch has already, the 50-word
-windows are digested and merge-joined with the window runs: that verifies a candidate on its whole window. When an anchor is
-met the second time, its first document's windows are fetched; later ones find them in a window run. Runs of a
-level are compacted into one of the next level when there are `fanout` of them.
+windows are digested and merge-joined with the window runs: that verifies a candidate on its whole window. When an
+anchor is met the second time, its first document's windows are fetched from its text; later ones find them in a
+window run. Runs of a level are compacted into one of the next level when there are `fanout` of them, and deleted.
+
+The runs of an index lie in one folder with a manifest, so a later session can open it and add the next batch. The
+manifest is written when a batch is done: a job that is lost leaves the index as it was.
 
 Hashes are pre-aggregated before every shuffle to one row each, so one passage in a third of all rows is one
 row of a run; what is joined row by row is split by the engine's skew join. No pair of documents is made.
 
 Defined cases: a null text is an empty one; a row with a null doc_id keeps all words and counts for nobody;
-rows of one doc_id do not count against each other; fewer than 50 words make no window; other columns are
-ignored; an empty table gives an empty result.
+rows of one doc_id do not count against each other; fewer than 50 words make no window; very long texts are taken
+whole; ids are of any type that has an order; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import columns, cut, map_docs, shared_dir, sized, window_hashes, word_hashes
+from .common import columns, cut, map_docs, remove, shared_dir, sized, window_hashes, word_hashes
 
 WIDTH, ANCHOR = 50, 20
 #: Neighbouring anchors' places within one window.
@@ -39,8 +42,11 @@ SPAN = WIDTH - ANCHOR + 1
 SEGMENT = 1 << 15
 _SECOND = np.random.default_rng(20240301).integers(0, 2**63, WIDTH, np.int64).astype(np.uint64) | np.uint64(1)
 FEATURES = columns("n_words bigint, all_sha256 string, h array<bigint>")
-WINDOWS = columns("doc_id bigint, th bigint, a array<bigint>, b array<int>, start array<int>")
-RESULT = columns("doc_id bigint, th bigint, n_removed bigint, kept_sha256 string")
+WINDOWS = columns("th bigint, a array<bigint>, b array<int>, start array<int>")
+RESULT = columns("th bigint, n_removed bigint, kept_sha256 string")
+MANIFEST = "version bigint, kind string, level int, name string, buckets int, fanout int, id_type string"
+#: Ids that are drawn to cut the documents into batches of about equal numbers.
+DRAWN = 1000
 
 
 def winnowed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,54 +83,111 @@ def digests(raw: bytes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a.view(np.int64), b.astype(np.uint32).view(np.int32), start.astype(np.int32)
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, th, hs, text -> a row of arrays for each document."""
+def _with_id(schema: T.StructType, rows: DataFrame) -> T.StructType:
+    return T.StructType([rows.schema["doc_id"], *schema.fields])
+
+
+def windows_of(rows: DataFrame) -> DataFrame:
+    """From doc_id, th, hs (wanted anchors) and text a row of arrays for each document: WINDOWS."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(WINDOWS)
-    for batch in batches:
-        ids, ths, texts = batch.column(0), batch.column(1), batch.column(3).cast(pa.binary())
-        for at in range(0, batch.num_rows, 100):
-            n = min(100, batch.num_rows - at)
-            found = [digests(texts[i].as_py() or b"", batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(at, at + n)]
-            columns = [pa.array([x[k] for x in found], schema.field(k + 2).type) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([ids.slice(at, n), ths.slice(at, n), *columns], schema=schema)
+    out = _with_id(WINDOWS, rows)
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ths, texts = batch.column(0).cast(schema.field(0).type), batch.column(1), batch.column(3).cast(pa.binary())
+            for at in range(0, batch.num_rows, 100):
+                n = min(100, batch.num_rows - at)
+                found = [digests(texts[i].as_py() or b"", batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(at, at + n)]
+                made = [pa.array([x[k] for x in found], schema.field(k + 2).type) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), ths.slice(at, n), *made], schema=schema)
 
+    return rows.select("doc_id", "th", "hs", "text").mapInArrow(run, out)
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, th, starts, text -> what is left of each document."""
+
+def left_of(rows: DataFrame) -> DataFrame:
+    """From doc_id, th, starts (of windows to remove) and text what is left of each document: RESULT."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(RESULT)
-    for batch in batches:
-        removed, shas = [], []
-        for i in range(batch.num_rows):
-            words = (batch.column(3)[i].as_py() or "").encode().split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            starts = np.unique(batch.column(2)[i].values.to_numpy(zero_copy_only=False))
-            edge[starts] += 1
-            edge[starts + WIDTH] -= 1
-            covered = np.cumsum(edge)[:-1] > 0
-            removed.append(int(covered.sum()))
-            shas.append(hashlib.sha256(b" ".join(w for w, gone in zip(words, covered.tolist(), strict=True) if not gone)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], schema=schema)
+    out = _with_id(RESULT, rows)
+    schema = to_arrow_schema(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, shas = [], []
+            for i in range(batch.num_rows):
+                words = (batch.column(3)[i].as_py() or "").encode().split()
+                edge = np.zeros(len(words) + 1, np.int64)
+                starts = np.unique(batch.column(2)[i].values.to_numpy(zero_copy_only=False))
+                edge[starts] += 1
+                edge[starts + WIDTH] -= 1
+                covered = np.cumsum(edge)[:-1] > 0
+                removed.append(int(covered.sum()))
+                shas.append(hashlib.sha256(b" ".join(w for w, gone in zip(words, covered.tolist(), strict=True) if not gone)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.field(0).type), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], schema=schema)
 
-class FingerprintIndex:
-    """Runs of anchors and windows, by level. `add` judges a batch against all documents added before and
-    those of the batch with a smaller doc_id; batches must come in the order of doc_id."""
+    return rows.select("doc_id", "th", "starts", "text").mapInArrow(run, out)
 
-    def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        self.runs: dict[str, list[list[str]]] = {"anchors": [[]], "windows": [[]]}
 
-    KEYS = {"anchors": ["h"], "windows": ["a", "b"]}
+class FingerprintIndex:
+    """Runs of anchors and windows, by level, in the folder `root`. `add` judges a batch against all documents added
+    before and those of the batch with a smaller doc_id; batches must come in the order of doc_id."""
+
+    KEYS = {"anchors": {"h": "bigint"}, "windows": {"a": "bigint", "b": "int"}}
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int, fanout: int, version: int, id_type: str, runs: dict[str, list[list[str]]]) -> None:
+        self.spark, self.root, self.buckets, self.fanout, self.version, self.id_type, self.runs = spark, root, buckets, fanout, version, id_type, runs
+        self.gone: list[str] = []
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str | None = None, fanout: int = 2, buckets: int | None = None) -> FingerprintIndex:
+        """An empty index, in a folder of its own unless one is named. The number of buckets is the index's own."""
+        index = cls(spark, root or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout, -1, "", {k: [[]] for k in cls.KEYS})
+        index._commit()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index as the last finished batch left it."""
+        manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+        rows = manifest.join(F.broadcast(manifest.agg(F.max("version").alias("version"))), "version").collect()  # a row for each run
+        head = next(r for r in rows if r.kind == "index")
+        runs = {k: [sorted(r.name for r in rows if r.kind == k and r.level == n) for n in range(1 + max((r.level for r in rows if r.kind == k), default=0))] for k in cls.KEYS}
+        index = cls(spark, root, head.buckets, head.fanout, head.version, head.id_type, runs)
+        for kind, levels in runs.items():
+            for name in (x for level in levels for x in level):
+                index._attach(kind, name)
+        return index
+
+    def _attach(self, kind: str, name: str) -> None:
+        keys = ", ".join(self.KEYS[kind])
+        fields = ", ".join(f"`{c}` {t}" for c, t in {**self.KEYS[kind], "first": self.id_type, "last": self.id_type}.items())
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+
+    def _commit(self) -> None:
+        """Write the manifest's next version, then delete what it no longer names."""
+        self.version += 1
+        rows = [("index", 0, "")] + [(kind, n, name) for kind, levels in self.runs.items() for n, level in enumerate(levels) for name in level]
+        rows = [(self.version, *r, self.buckets, self.fanout, self.id_type) for r in rows]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{self.root}/manifest")
+        for name in self.gone:
+            self._delete(name)
+        self.gone = []
+
+    def _delete(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        """Delete the index, tables and files."""
+        for name in (x for levels in self.runs.values() for level in levels for x in level):
+            self._delete(name)
+        remove(self.spark, self.root)
 
     def _write(self, kind: str, run: DataFrame) -> str:
         name = f"lexframe_{kind}_{uuid.uuid4().hex}"
-        keys = self.KEYS[kind]
+        keys = list(self.KEYS[kind])
         run.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
@@ -137,6 +200,7 @@ class FingerprintIndex:
             for other in levels[k][1:]:
                 rows = rows.unionByName(self.spark.table(other))
             merged = self._write(kind, rows.groupBy(*self.KEYS[kind]).agg(F.min("first").alias("first"), F.max("last").alias("last")))
+            self.gone += levels[k]
             levels[k] = []
             k += 1
             if k == len(levels):
@@ -145,7 +209,7 @@ class FingerprintIndex:
 
     def _prior(self, kind: str, name: str) -> DataFrame | None:
         """What the runs so far have of the hashes of a new run: first and last document of each."""
-        keys, own = self.KEYS[kind], self.spark.table(name)
+        keys, own = list(self.KEYS[kind]), self.spark.table(name)
         found = [self.spark.table(run).join(own.select(*keys), keys) for level in self.runs[kind] for run in level]
         if not found:
             return None
@@ -158,12 +222,15 @@ class FingerprintIndex:
         """Hashes of the new run that more than one document has, counting the runs before."""
         own, prior = self.spark.table(name), self._prior(kind, name)
         if prior is None:
-            return own.filter("first < last").withColumns({"p_first": F.lit(None).cast("long"), "p_last": F.lit(None).cast("long")})
-        return own.join(prior, self.KEYS[kind], "left").filter("first < last or p_first is not null")
+            none = F.lit(None).cast(self.id_type)
+            return own.filter("first < last").withColumns({"p_first": none, "p_last": none})
+        return own.join(prior, list(self.KEYS[kind]), "left").filter("first < last or p_first is not null")
 
     def add(self, batch: DataFrame, so_far: DataFrame) -> DataFrame:
-        """batch and so_far (all documents to the end of the batch) have doc_id, th and text. Returns for each
-        row of the batch doc_id, n_words, n_removed and kept_sha256."""
+        """batch and so_far (all documents to the end of the batch) have doc_id, th and text; of so_far only the texts
+        are read whose anchors are met the second time. Returns for each row of the batch doc_id, n_words, n_removed
+        and kept_sha256."""
+        self.id_type = self.id_type or batch.schema["doc_id"].dataType.simpleString()
         features = cut(map_docs(batch, _features, FEATURES, ["doc_id", "th"]), "features")
         anchors = features.filter("doc_id is not null").select("doc_id", F.explode("h").alias("h"))
         run = self._write("anchors", anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
@@ -174,8 +241,7 @@ class FingerprintIndex:
         fetched = shared.filter("p_first = p_last").select(F.col("p_first").alias("doc_id"), "h")  # met once so far
         wanted = cut(own.unionByName(fetched).groupBy("doc_id").agg(F.collect_list("h").alias("hs")), "wanted")
         texts = so_far.join(sized(wanted.select("doc_id")), "doc_id", "left_semi").select("doc_id", "th", "text")
-        asked = texts.join(wanted, "doc_id").select("doc_id", "th", "hs", "text")
-        packed = cut(asked.mapInArrow(_emit_windows, WINDOWS), "windows")
+        packed = cut(windows_of(texts.join(wanted, "doc_id")), "windows")
 
         # hashes go before places: one row for each window
         windows = packed.select("doc_id", "th", F.explode(F.arrays_zip("a", "b", "start")).alias("x")).select("doc_id", "th", "x.a", "x.b", "x.start")
@@ -183,11 +249,12 @@ class FingerprintIndex:
         firsts = self._shared("windows", run).select("a", "b", F.least("first", F.coalesce("p_first", "first")).alias("first"))
         firsts = cut(firsts, "firsts")
         self._push("windows", run)
+        self._commit()
 
         removed = windows.join(firsts, ["a", "b"]).filter("first < doc_id").groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
         removed = cut(removed, "removed")
         old = batch.join(sized(removed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "th", "text")
-        left = old.join(removed, ["doc_id", "th"]).select("doc_id", "th", "starts", "text").mapInArrow(_apply, RESULT).dropDuplicates(["doc_id", "th"])
+        left = left_of(old.join(removed, ["doc_id", "th"])).dropDuplicates(["doc_id", "th"])
         return cut(
             features.drop("h")
             .join(left, ["doc_id", "th"], "left")
@@ -197,18 +264,20 @@ class FingerprintIndex:
 
 
 def dedup_substrings(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """All documents, in `batches` batches of about equal numbers by doc_id, through one index."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    ends = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("p")).first().p if batches > 1 else []
-    ends = sorted(set(ends or []))
-    index, out = FingerprintIndex(rows.sparkSession, fanout), None
+    """All documents, in `batches` batches of about equal numbers by doc_id, through one index, which goes afterwards."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    drawn = rows.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DRAWN).collect() if batches > 1 else []
+    drawn = sorted(r.doc_id for r in drawn)
+    ends = sorted({drawn[len(drawn) * k // batches - 1] for k in range(1, batches) if len(drawn) * k >= batches})
+    index, out = FingerprintIndex.create(rows.sparkSession, fanout=fanout), None
     for k in range(len(ends) + 1):
-        upto = F.col("doc_id") <= ends[k] if k < len(ends) else F.lit(True)
-        after = F.col("doc_id") > ends[k - 1] if k else F.lit(True)
+        upto = F.col("doc_id") <= F.lit(ends[k]) if k < len(ends) else F.lit(True)
+        after = F.col("doc_id") > F.lit(ends[k - 1]) if k else F.lit(True)
         last = k == len(ends)
         batch = rows.filter((upto & after) | F.col("doc_id").isNull() if last and k else upto & after)
         part = index.add(batch, rows.filter(upto))
         out = part if out is None else out.unionByName(part)
+    index.drop()
     return out
 
 
