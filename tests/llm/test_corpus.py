@@ -245,12 +245,76 @@ def test_ibans():
     assert found(f"IBAN of the account holder in Malta {mt} and so on") == [mt]
     assert found(f"IBAN {'of the firm that is named in the letter before ' * 3}{gb}.") == [gb]
     assert found(f"IBAN: DE00370400440532013000, then {de}, {gb}") == [de, gb]
+    assert found(f"iban {de.lower()} and {gb.lower()}, then") == [de.lower(), gb.lower()]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]
+    assert found(f"IBAN {de[:10]}  {de[10:]}") == found("IBAN ZZ89370400440532013000") == []
     assert found("IBAN " + "A" * 40) == found(f"no cue {de}") == found(f"IBAN {de}x") == found(f"IBAN {de[:-1]}1") == []
 
 
+def test_pii_cases(spark):
+    """Null, empty and repeated rows, clashing columns, a very long text with many matches, an empty table."""
+    mail = "a.b@example.com"
+    rows_ = [(1, mail), (1, mail), (None, mail), (None, None), (2, ""), (3, ("word " * 20 + mail + " ") * 20_000)]
+    docs = spark.createDataFrame([(*r, "x", 9) for r in rows_], "doc_id long, text string, spans string, n_email long")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_email, r.spans[:12]) for r in pii.digest(docs).collect())
+    assert got == sorted([(1, 1, "email:0:15")] * 2 + [(-1, 1, "email:0:15"), (-1, 0, ""), (2, 0, ""), (3, 20_000, "email:100:11")])
+    assert pii.digest(docs.limit(0)).count() == 0
+
+
 # 5: quality rules
 
 
+def brute_mcd(x, noise, above):
+    """Closest rows by sorting, step after step, from medians alone; pseudo-rows of the estimate above in each."""
+    factor = outliers.scale()
+    center, cov = np.median(x, 0), np.diag(np.maximum(((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349) ** 2, noise))
+    for _ in range(30):
+        d = np.einsum("ij,ij->i", (x - center) @ np.linalg.inv(cov), x - center)
+        part = np.zeros(len(x))
+        need = outliers.SHARE * len(x)
+        for i in np.argsort(d, kind="stable"):
+            part[i] = min(1.0, max(0.0, need))
+            need -= 1
+        k = outliers.PRIOR
+        n, center = part.sum() + k, (part @ x + k * above[0]) / (part.sum() + k)
+        products = (x * part[:, None]).T @ x + k * (above[1] / factor + np.outer(above[0], above[0]))
+        cov = outliers.floored(factor * (products / n - np.outer(center, center)), noise)
+    return center, cov
+
+
+def test_estimates_against_sorting(spark):
+    """Decisions by language and source equal those of plain numpy, but for rows at the very limit; a source of few rows
+    has an estimate too, and a planted outlier of each is found."""
+    rng = np.random.default_rng(4)
+    stats, groups = [], [("en", "a", 260), ("en", "b", 90), ("en", "c", 6), ("de", "a", 120), (None, None, 40)]
+    for lang, source, n in groups:
+        for k in range(n):
+            words = int(rng.lognormal(5 + 0.3 * (source == "b"), 0.5)) + 10
+            odd = k == 3
+            stats.append((lang, source, words, int(words * (5.2 + rng.normal(0, 0.2))), 200 * odd, 0, int(rng.poisson(0.5)), words // 12 + 1, int(rng.poisson(words / 12)) + 1, 90 * odd))
+    fields = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint, n_marks bigint"
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(stats)], f"doc_id bigint, lang string, source string, {fields}")
+    got = rows(outliers.verdicts(table))
+    x = np.array([[float(r[f"x{k}"]) / outliers.UNIT for k in range(7)] for r in table.select(*outliers.vector()).collect()])
+    noise = np.array([[float(r[f"v{k}"]) / outliers.NOISE_UNIT for k in range(7)] for r in table.select(*outliers.vector()).collect()])
+    of = lambda test: np.array([test(r) for r in stats])
+    every = brute_mcd(x, noise.mean(0), (np.median(x, 0), np.diag(np.square(outliers.WIDE))))
+    cutoff, close = outliers.quantile(1 - outliers.CHANCE, 7), 0
+    for lang, source, _ in groups:
+        own = of(lambda r: r[0] == lang)
+        language = brute_mcd(x[own], noise[own].mean(0), every)
+        own = of(lambda r: r[:2] == (lang, source))
+        center, cov = brute_mcd(x[own], noise[own].mean(0), language)
+        for i in np.flatnonzero(own):
+            d = (x[i] - center) @ np.linalg.inv(cov) @ (x[i] - center)
+            close += got[i].outlier != (d > cutoff)
+            assert got[i].outlier == (d > cutoff) or 0.6 < d / cutoff < 1.6, (i, d, got[i].distance)
+        assert got[np.flatnonzero(own)[3]].outlier
+    assert close <= 0.01 * len(stats)
+    assert sum(r.outlier for r in got.values()) <= len(groups) + 0.02 * len(stats)
+    assert abs(outliers.quantile(0.95, 7) - 14.067) < 1e-3 and abs(outliers.scale() - 1.3247) < 1e-3
+
+
 def base_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
