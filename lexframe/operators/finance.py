@@ -37,8 +37,9 @@ def pro_bono_zero(entries: DataFrame, matters: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.when(zero, F.lit(0).cast(t)).otherwise(F.col(c)) for c, t in (("rate", "decimal(10,2)"), ("amount", MONEY))}).drop("is_pro_bono")
 
 
-def matter_balance(matters: DataFrame, ledger: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row a matter: trust, unbilled, balance and its status. Both sides are aggregated before they are joined."""
+def matter_balance(matters: DataFrame, ledger: DataFrame, entries: DataFrame, *also: Column) -> DataFrame:
+    """One row a matter: trust, unbilled, balance and its status, and other columns of the matter. Both sides are
+    aggregated before they are joined."""
     joined = matters.join(trust_balance(ledger).withColumnRenamed("matter_id", "id"), "id", "left").join(unbilled_total(entries).withColumnRenamed("matter_id", "id"), "id", "left")
     trust, unbilled = F.coalesce("trust", F.lit(0).cast(MONEY)), F.coalesce("unbilled", F.lit(0).cast(MONEY))
     return joined.select(
@@ -47,13 +48,16 @@ def matter_balance(matters: DataFrame, ledger: DataFrame, entries: DataFrame) ->
         scalar.round2(unbilled).cast("double").alias("unbilled"),
         scalar.round2(trust - unbilled).cast("double").alias("balance"),
         scalar.balance_status(trust - unbilled, F.col("retainer_amount"), F.col("refresh_trigger_pct")).alias("status"),
+        *also,
     )
 
 
 def matter_summary(matters: DataFrame, clients: DataFrame, ledger: DataFrame, entries: DataFrame) -> DataFrame:
-    balance = matter_balance(matters, ledger, entries).withColumnRenamed("status", "balance_status").withColumnRenamed("matter_id", "id")
+    """Matters with client and balance; the matters are read and joined once."""
+    rows = matter_balance(matters, ledger, entries, F.col("client_id"), F.col("matter_name"), F.col("status").alias("matter_status"))
+    rows = rows.withColumnsRenamed({"status": "balance_status", "matter_status": "status", "matter_id": "id"})
     who = clients.select(F.col("id").alias("client_id"), scalar.name_to_text(F.col("first_name"), F.col("last_name")).alias("client_name"), F.col("email").alias("client_email"))
-    return matters.select("id", "client_id", "matter_name", "status").join(who, "client_id").join(balance, "id")
+    return rows.join(who, "client_id").select("id", "client_id", "matter_name", "status", "client_name", "client_email", "trust", "unbilled", "balance", "balance_status")
 
 
 def unbilled_entries(entries: DataFrame, matters: DataFrame, staff: DataFrame) -> DataFrame:
