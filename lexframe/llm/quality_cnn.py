@@ -4,12 +4,15 @@ Filters of learned weights slide over the bytes of overlapping chunks that cover
 value for a filter is the mean of its rectified responses, a document's is the largest over its chunks, and a
 logistic unit combines these into one probability.
 
-Training takes a bounded sample of labelled rows on the driver (`per_class` of each label, chosen by hash);
-scoring runs in Arrow batches with the weights in the closure (some 10 KB), without a shuffle.
+Training takes a bounded sample of labelled rows on the driver: `per_class` of each label, chosen by hash, and of a
+text of more than `TRAIN_CHARS` characters a stretch of so many from a place chosen by hash. Scoring takes whole texts, in Arrow
+batches with the weights in the closure (some 10 KB), without a shuffle.
 
 Defined cases: a null text is an empty one and gets the score of the bias and the values of no response;
-null doc_ids are never training rows; labels that are null are left out; a table without labels of both kinds
-scores 0.5 throughout; other columns are ignored; an empty table gives an empty result.
+null doc_ids are never training rows; labels that are null are left out; repeated rows are scored each, and one of
+them (the least text) is trained on; of several labels of an id the least counts; ties of the sample go by doc_id; a
+table without labels of both kinds scores 0.5 throughout; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import columns, map_docs
 FILTERS, WIDTH, HALF_CHUNK = 8, 4, 128
 #: Bytes that are worked on at once; a multiple of half a chunk, so long documents need no more memory.
 SEGMENT = 256 * HALF_CHUNK
+#: Characters of a text that training looks at: with `per_class` this bounds what the driver holds.
+TRAIN_CHARS = 20_000
 
 
 class Network:
@@ -127,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    spare = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
+    stretch = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    rows = docs.select("doc_id", stretch.alias("text")).join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return train([(r.text or "").encode() for r in rows], [r.quality for r in rows])
 
 

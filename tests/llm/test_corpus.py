@@ -146,6 +146,21 @@ def test_classifier(spark):
     assert quality_cnn.classify(docs.limit(0), labels).count() == 0
 
 
+def test_classifier_cases(spark):
+    """Repeated rows have one score, a very long text is scored whole, clashing columns are left alone."""
+    rng = random.Random(15)
+    good, bad = [prose(rng, 80) for _ in range(40)], ["$$$ ### buy now xxx !!! %%% " * 10 for _ in range(40)]
+    long = "word and " * 200_000
+    texts = [*good, *bad, good[0], good[0], long, long + bad[0]]
+    docs = documents(spark, texts, [*range(80), 500, 500, 501, 502]).withColumns({"score": F.lit("x"), "quality": F.lit(9)})
+    labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(80)] + [(501, 1, 0), (501, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_cnn.classify(docs, labels).collect()
+    of = lambda i: [r.score for r in got if r.doc_id == i]
+    assert len(got) == len(texts) and of(500) == of(0) * 2 and len(of(501)) == 1
+    net = quality_cnn.fit(docs, labels)
+    assert of(501) == [net.score(long.encode())] and of(502) == [net.score((long + bad[0]).encode())] and of(502) != of(501)
+
+
 def test_classifier_gradient():
     net, raw = quality_cnn.Network(), ("the quick brown fox jumps over " * 30).encode()
     grads = [np.zeros_like(x, dtype=np.float64) for x in (net.table, net.bias, net.out, net.out_bias)]
