@@ -297,6 +297,33 @@ def brute_mcd(x, noise, above):
     return center, cov
 
 
+def brute_ratios(x, noise, names):
+    """Each row's squared distance from the estimate of its language and source, over the limit."""
+    every, out = brute_mcd(x, noise.mean(0), (np.median(x, 0), np.diag(np.square(outliers.WIDE)))), np.zeros(len(x))
+    for lang in {n[0] for n in names}:
+        own = np.array([n[0] == lang for n in names])
+        language = brute_mcd(x[own], noise[own].mean(0), every)
+        for name in {n for n in names if n[0] == lang}:
+            own = np.array([n == name for n in names])
+            center, cov = brute_mcd(x[own], noise[own].mean(0), language)
+            out[own] = np.einsum("ij,ij->i", (x[own] - center) @ np.linalg.inv(cov), x[own] - center)
+    return out / outliers.quantile(1 - outliers.CHANCE, 7)
+
+
+def brute_quality(docs):
+    """Of each text whether the base rules fail it, and its distance over the limit."""
+    stats = [base_stats(r.text or "") for r in docs]
+    lines = np.array([len([x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]) for r in docs])
+    capitals = np.array([len(re.findall("[A-ZÀ-ÖØ-Þ]", r.text or "")) for r in docs])
+    marks = np.array([len(re.findall(r"""[!?;:"'()\[\]{}@_=+/\\~^`]""", r.text or "")) for r in docs])
+    n, chars, symbols, dup, twice = (np.array(x, float) for x in zip(*stats))
+    c, w, k = chars + 100, n + 16, lines + 4
+    x = np.round(np.stack([np.log1p(n), 2 * np.log1p(chars / np.maximum(n, 1)), np.sqrt(symbols / c), np.sqrt(dup / k), np.sqrt(twice / w), np.sqrt(capitals / c), np.sqrt(marks / c)], 1) * 512) / 512
+    noise = np.stack([1 / (n + 1), 0.4 / (n + 1), 1 / c, 1 / k, 5 / w, 1 / c, 1 / c], 1)
+    ratio = brute_ratios(x, noise, [(r.lang, r.source) for r in docs])
+    return [(s[0] < 10 or 100 * s[4] > 20 * s[0], d) for s, d in zip(stats, ratio)]
+
+
 def test_estimates_against_sorting(spark):
     """Decisions by language and source equal those of plain numpy, but for rows at the very limit; a source of few rows
     has an estimate too, and a planted outlier of each is found."""
@@ -312,19 +339,12 @@ def test_estimates_against_sorting(spark):
     got = rows(outliers.verdicts(table))
     x = np.array([[float(r[f"x{k}"]) / outliers.UNIT for k in range(7)] for r in table.select(*outliers.vector()).collect()])
     noise = np.array([[float(r[f"v{k}"]) / outliers.NOISE_UNIT for k in range(7)] for r in table.select(*outliers.vector()).collect()])
-    of = lambda test: np.array([test(r) for r in stats])
-    every = brute_mcd(x, noise.mean(0), (np.median(x, 0), np.diag(np.square(outliers.WIDE))))
-    cutoff, close = outliers.quantile(1 - outliers.CHANCE, 7), 0
+    ratio, close = brute_ratios(x, noise, [r[:2] for r in stats]), 0
+    for i in range(len(stats)):
+        close += got[i].outlier != (ratio[i] > 1)
+        assert got[i].outlier == (ratio[i] > 1) or 0.6 < ratio[i] < 1.6, (i, ratio[i], got[i].distance)
     for lang, source, _ in groups:
-        own = of(lambda r: r[0] == lang)
-        language = brute_mcd(x[own], noise[own].mean(0), every)
-        own = of(lambda r: r[:2] == (lang, source))
-        center, cov = brute_mcd(x[own], noise[own].mean(0), language)
-        for i in np.flatnonzero(own):
-            d = (x[i] - center) @ np.linalg.inv(cov) @ (x[i] - center)
-            close += got[i].outlier != (d > cutoff)
-            assert got[i].outlier == (d > cutoff) or 0.6 < d / cutoff < 1.6, (i, d, got[i].distance)
-        assert got[np.flatnonzero(own)[3]].outlier
+        assert got[[i for i, r in enumerate(stats) if r[:2] == (lang, source)][3]].outlier
     assert close <= 0.01 * len(stats)
     assert sum(r.outlier for r in got.values()) <= len(groups) + 0.02 * len(stats)
     assert abs(outliers.quantile(0.95, 7) - 14.067) < 1e-3 and abs(outliers.scale() - 1.3247) < 1e-3
@@ -690,7 +710,9 @@ def test_pipeline(spark):
         assert out.count() == len(after)
         ids = sorted(before)
         if name == "quality rules":
-            assert set(after) == {r.doc_id for r in outliers.quality(docs).filter("kept").collect()}
+            judged = dict(zip(ids, brute_quality([before[i] for i in ids])))
+            assert all((i in after) == (not failed and d <= 1) or not failed and 0.6 < d < 1.6 for i, (failed, d) in judged.items())
+            assert 0 < len(set(ids) - set(after)) < 0.4 * len(ids)
         elif name == "line dedup":
             want = brute_lines([before[i].text for i in ids], keep_first=True)
             assert {i: r.text for i, r in after.items()} == {ids[k]: t for k, (n, t) in want.items() if not n or t.strip()}
@@ -700,6 +722,8 @@ def test_pipeline(spark):
             assert set(after) == {i for i in ids if not any(contains(before[i].text, x) for x in bench)}
         else:
             assert set(after) == set(before) and {"block", "slot", "place"} <= set(out.columns)
+            slots, sizes = {r.slot: r.source for r in after.values()}, Counter(r.source for r in after.values())
+            within_a_block([slots[k] for k in range(len(slots))], Counter(slots.values()), {s: Fraction(n**0.5) for s, n in sizes.items()})
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
         docs = spark.createDataFrame(list(after.values()), out.schema)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(after)
