@@ -1,18 +1,17 @@
-"""Writes on immutable tables: snapshot in, snapshot out. Rules are checked before anything is written."""
+"""Writes. A table is a folder of batches; a batch is written aside, judged there, and moved in by one rename, so a
+reader sees all of it or nothing. Other writes make a new snapshot, which can take the table's place the same way. One
+writer at a time: two batches that are judged beside each other do not know of each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
 
-from .finance import latest_version
-from .quality import DOMAINS, outside_domain
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Child tables that go with a row, and references that become null.
-CASCADE = {
-    "matters": ("matter_staff", "billing_splits", "opposing_parties", "matter_rate_overrides", "matter_children", "matter_opposing_counsel", "matter_pleadings", "matter_claims"),
-    "matter_pleadings": ("matter_claims",),
-}
-KEYS = {"matters": "matter_id", "matter_pleadings": "pleading_id"}
+from ..sources.shared import exists, move, remove, written
+from . import integrity
+from .finance import latest_version
 
 
 class Refused(ValueError):
@@ -29,22 +28,40 @@ def insert(table: DataFrame, rows: DataFrame, violations: DataFrame | None = Non
     return table.unionByName(rows, allowMissingColumns=True)
 
 
-def violations(name: str, rows: DataFrame, key: list[str]) -> DataFrame | None:
-    """Rows of a domain table whose enumerations have other values; None for a table without any."""
-    found = None
-    for table, column in DOMAINS:
-        if table == name and column in rows.columns:
-            bad = outside_domain(rows, table, column, key)
-            found = bad if found is None else found.unionByName(bad)
-    return found
-
-
-def append(path: str, name: str, rows: DataFrame, key: list[str]) -> None:
-    """Add rows to a domain table's folder, if they break no rule; else nothing is written."""
-    broken = violations(name, rows, key)
-    if broken is not None and broken.limit(1).count():
-        raise Refused(broken)
-    rows.write.mode("append").parquet(path)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A table's batches; each is a folder in the table's."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+
+
+def append(path: str, name: str, rows: DataFrame, key: list[str] | None = None, parents: integrity.Tables | None = None) -> None:
+    """Add rows to a domain table's folder, if they break no rule of the table; else nothing is written. `parents` are the
+    tables that the rows refer to; `key` are the columns that name a row in the violations."""
+    spark = rows.sparkSession
+    aside = f"{path}.staged-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    try:
+        batch = spark.read.schema(rows.schema).parquet(aside)
+        held = read(spark, path) if exists(spark, path) else None
+        broken = written(integrity.violations(name, batch, held, parents or {}, key), "violations")
+        if broken.limit(1).count():
+            raise Refused(broken)
+        move(spark, aside, f"{path}/batch-{uuid.uuid4().hex}")
+    finally:
+        if exists(spark, aside):
+            remove(spark, aside)
+
+
+def replace(path: str, table: DataFrame) -> None:
+    """A new snapshot takes the table's place. It is written aside while the old one is read. If the job is lost between
+    the two renames the old one lies beside, named .old; nothing is lost."""
+    spark, token = table.sparkSession, uuid.uuid4().hex
+    aside, old = f"{path}.staged-{token}", f"{path}.old-{token}"
+    table.write.parquet(f"{aside}/batch-{token}")
+    if exists(spark, path):
+        move(spark, path, old)
+    move(spark, aside, path)
+    if exists(spark, old):
+        remove(spark, old)
 
 
 def update(table: DataFrame, patch: DataFrame, key: str = "id", touched: str | None = None) -> DataFrame:
@@ -60,24 +77,18 @@ def update(table: DataFrame, patch: DataFrame, key: str = "id", touched: str | N
     return joined.select(table.columns)
 
 
-def delete(tables: dict[str, DataFrame], name: str, ids: DataFrame, key: str = "id") -> dict[str, DataFrame]:
-    """The tables without the rows and, along the references, without their children."""
-    out = dict(tables)
-    out[name] = tables[name].join(ids.select(key), key, "left_anti")
-    for child in CASCADE.get(name, ()):
-        if child in out:
-            gone = ids.select(F.col(key).alias(KEYS[name]))
-            if child in CASCADE and "id" in out[child].columns:
-                dead = out[child].join(gone, KEYS[name], "left_semi").select("id")
-                out |= delete(out, child, dead)
-            out[child] = out[child].join(gone, KEYS[name], "left_anti")
-    return out
-
-
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows replace those of the same key; of several new ones for a key the greatest stays."""
-    both = table.withColumn("_version", F.lit(0)).unionByName(rows.withColumn("_version", F.lit(1)))
-    return latest_version(both, keys, ["_version"]).drop("_version")
+def delete(tables: dict[str, DataFrame], name: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows and what hangs on them. Deletes that a row stands against are left out; see
+    `integrity.delete` for which, and for what became of each row."""
+    return integrity.delete(tables, name, ids).tables
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """Rows replace those of the same key. Of several new ones for a key that with the greatest version stays; without a
+    version column, the greatest row."""
+    both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    order = ["_new", *([version] if version else [])]
+    return latest_version(both, keys, order).select(table.columns)
 
 
 def audit(action: str, entity_type: str, before: DataFrame, after: DataFrame, uid: str, key: str = "id") -> DataFrame:

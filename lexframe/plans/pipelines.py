@@ -3,10 +3,13 @@ from the tables by rule, so SQL can say what must come out without parsing any t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
-from ..operators import entries as billing, finance, quality, relations, security, writes
+from ..operators import entries as billing, finance, integrity, quality, relations, security, writes
 from ..sources import adapter, seeds
 from ..sources.shared import fresh_path
 from ..streaming import ledger as streams
@@ -74,14 +77,41 @@ def concat_counsel_ui(t: Tables) -> DataFrame:
 # writes
 
 
-@query("SELECT id, status FROM matters UNION ALL SELECT id + 10000000, 'intake' FROM matters WHERE id % 10 = 0")
+ADDED = """WITH two AS (SELECT id, CASE client_id WHEN 1 THEN 2 ELSE 1 END AS other, CASE WHEN id % 40 = 0 THEN 40 ELSE 50 END AS pct FROM matters WHERE id % 20 = 0)
+SELECT 'matters' AS name, CAST(id AS VARCHAR) AS key, status AS what FROM matters UNION ALL SELECT 'matters', CAST(id + 10000000 AS VARCHAR), 'intake' FROM matters WHERE id % 10 = 0
+UNION ALL SELECT 'matters', CAST(id AS VARCHAR), 'unique_id' FROM matters WHERE id % 50 = 0
+UNION ALL SELECT 'matters', CAST(id + 20000000 AS VARCHAR), unnest(['client_id_refers_to_clients', 'retainer_not_negative', 'matters.status']) FROM matters WHERE id % 50 = 0
+UNION ALL SELECT 'matters', CAST(id % 2 + 30000000 AS VARCHAR), 'unique_id' FROM matters WHERE id % 50 = 0
+UNION ALL SELECT 'billing_splits', id || '/' || client_id, '60.00' FROM matters WHERE id % 20 = 0 UNION ALL SELECT 'billing_splits', id || '/' || other, 'splits_within_100' FROM two WHERE pct = 50"""
+
+
+@query(ADDED)
 def sink_insert(t: Tables) -> DataFrame:
-    m = t("matters").select("id", "status")
-    path = fresh_path(m.sparkSession, "matters")
-    m.write.parquet(path)
-    new = m.filter("id % 10 = 0").select((F.col("id") + 10000000).alias("id"), F.lit("intake").alias("status"))
-    writes.append(path, "matters", new, ["id"])
-    return m.sparkSession.read.parquet(path)
+    """Batches that are written, and batches that are refused as a whole, with the rules that their rows break."""
+    m = t("matters").select("id", "client_id", "matter_type", "status", "retainer_amount")
+    spark, clients, n = m.sparkSession, t("clients"), F.col("id")
+    path, splits, refused = fresh_path(spark, "matters"), fresh_path(spark, "splits"), []
+
+    def put(where: str, name: str, rows: DataFrame, parents: dict[str, DataFrame]) -> None:
+        try:
+            writes.append(where, name, rows, parents=parents)
+        except writes.Refused as e:
+            refused.append(e.violations.select(F.lit(name).alias("name"), "key", F.col("rule").alias("what")))
+
+    known, some = {"clients": clients}, m.filter("id % 50 = 0")
+    put(path, "matters", m, known)
+    put(path, "matters", m.filter("id % 10 = 0").withColumns({"id": n + 10000000, "status": F.lit("intake")}), known)
+    put(path, "matters", some, known)  # keys that the table has
+    put(path, "matters", some.withColumns({"id": n + 20000000, "client_id": -n - 1, "retainer_amount": F.lit(-1).cast("decimal(12,2)"), "status": F.lit("lost")}), known)
+    put(path, "matters", some.withColumn("id", n % 2 + 30000000), known)  # keys that the batch has twice
+    both, pct = {"clients": clients, "matters": writes.read(spark, path)}, lambda x: F.expr(x).cast("decimal(5,2)").alias("split_pct")
+    of = m.filter("id % 20 = 0").withColumnRenamed("id", "matter_id")
+    put(splits, "billing_splits", of.select("matter_id", "client_id", pct("60")), both)
+    put(splits, "billing_splits", of.select("matter_id", F.expr("CASE client_id WHEN 1 THEN 2L ELSE 1L END").alias("client_id"), pct("CASE WHEN matter_id % 40 = 0 THEN 40 ELSE 50 END")), both)
+
+    held = writes.read(spark, path).select(F.lit("matters").alias("name"), n.cast("string").alias("key"), F.col("status").alias("what"))
+    shares = writes.read(spark, splits).select(F.lit("billing_splits").alias("name"), F.concat_ws("/", "matter_id", "client_id").alias("key"), F.col("split_pct").cast("string").alias("what"))
+    return reduce(DataFrame.unionByName, [held, shares, *refused])
 
 
 PATCHED = "SELECT id, CASE WHEN id % 10 = 0 AND id % 20 <> 0 THEN 'archived' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN 'Renamed' ELSE matter_name END AS matter_name"
@@ -92,9 +122,17 @@ def _patch(t: Tables) -> DataFrame:
     return t("matters").filter("id % 10 = 0").select("id", named.alias("status"), F.lit("Renamed").alias("matter_name"))
 
 
+def _replaced(table: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What is in a table's folder when a changed snapshot has taken its place."""
+    path = fresh_path(table.sparkSession, "table")
+    writes.replace(path, table)
+    writes.replace(path, change(writes.read(table.sparkSession, path)))
+    return writes.read(table.sparkSession, path)
+
+
 @query(PATCHED + " FROM matters")
 def sink_update(t: Tables) -> DataFrame:
-    return writes.update(t("matters").select("id", "status", "matter_name"), _patch(t))
+    return _replaced(t("matters").select("id", "status", "matter_name"), lambda m: writes.update(m, _patch(t)))
 
 
 @query("SELECT id, CASE WHEN id % 10 = 0 THEN '2026-01-05' ELSE CAST(created_at AS VARCHAR) END AS updated_at FROM matters")
@@ -103,15 +141,39 @@ def dq_updated_at(t: Tables) -> DataFrame:
     return writes.update(rows, _patch(t), touched=TODAY).select("id", "updated_at")
 
 
-GONE = "(SELECT id FROM matters WHERE id % 10 = 0)"
-
-
-@query(f"SELECT 'matters' AS name, count(*) AS n FROM matters WHERE id NOT IN {GONE} UNION ALL SELECT 'billing_splits', count(*) FROM billing_splits WHERE matter_id NOT IN {GONE} UNION ALL SELECT 'matter_claims', count(*) FROM matter_claims WHERE matter_id NOT IN {GONE} AND pleading_id NOT IN (SELECT id FROM matter_pleadings WHERE matter_id IN {GONE})")
+#: What the deletes below find in each table: those of matters 10, 20, ... of which some have entries, cycles, money or
+#: agreements that stand against them.
+DELETED = """WITH r AS (SELECT id FROM matters WHERE id % 10 = 0),
+no AS (SELECT id FROM r WHERE id IN (SELECT matter_id FROM billing_entries WHERE matter_id % 4 = 0) OR id IN (SELECT matter_id FROM billing_cycles WHERE matter_id % 9 = 0)
+  OR id IN (SELECT matter_id FROM trust_ledger WHERE matter_id % 3 = 0) OR id IN (SELECT matter_id FROM fee_agreements WHERE matter_id % 7 = 0)),
+m AS (SELECT id FROM r WHERE id NOT IN (SELECT id FROM no)), p AS (SELECT id FROM matter_pleadings WHERE matter_id IN (SELECT id FROM m)), q AS (SELECT id FROM discovery_requests WHERE matter_id IN (SELECT id FROM m)),
+e AS (SELECT 'matters' AS name, CAST(id AS VARCHAR) AS key, 'refused' AS effect FROM no UNION ALL SELECT 'matters', CAST(id AS VARCHAR), 'deleted' FROM m
+UNION ALL SELECT 'matter_staff', matter_id || '/' || staff_id || '/' || role, 'deleted' FROM matter_staff WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'billing_splits', matter_id || '/' || client_id, 'deleted' FROM billing_splits WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'opposing_parties', CAST(id AS VARCHAR), 'deleted' FROM opposing_parties WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'matter_rate_overrides', matter_id || '/' || staff_id, 'deleted' FROM matter_rate_overrides WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'matter_events', CAST(id AS VARCHAR), 'deleted' FROM matter_events WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'discovery_requests', CAST(id AS VARCHAR), 'deleted' FROM q
+UNION ALL SELECT 'discovery_request_items', discovery_request_id || '/' || request_number, 'deleted' FROM discovery_request_items WHERE matter_id IN (FROM m) OR discovery_request_id IN (FROM q)
+UNION ALL SELECT 'discovery_responses', CAST(id AS VARCHAR), 'deleted' FROM discovery_responses WHERE request_id IN (FROM q)
+UNION ALL SELECT 'matter_children', CAST(id AS VARCHAR), 'deleted' FROM matter_children WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'matter_opposing_counsel', matter_id || '/' || counsel_id, 'deleted' FROM matter_opposing_counsel WHERE matter_id IN (FROM m)
+UNION ALL SELECT 'matter_pleadings', CAST(id AS VARCHAR), CASE WHEN matter_id IN (FROM m) THEN 'deleted' ELSE 'set null' END FROM matter_pleadings WHERE matter_id IN (FROM m) OR amends_pleading_id IN (FROM p)
+UNION ALL SELECT 'matter_claims', CAST(pleading_id AS VARCHAR), 'deleted' FROM matter_claims WHERE pleading_id IN (FROM p) OR matter_id IN (FROM m))
+SELECT name, key, effect, count(*) AS n FROM e GROUP BY name, key, effect"""
+AGAINST = {"billing_entries": 4, "billing_cycles": 9, "trust_ledger": 3, "fee_agreements": 7}
+OF_MATTERS = (
+    "matters", "matter_staff", "billing_splits", "opposing_parties", "matter_rate_overrides", "matter_events", "discovery_requests", "discovery_request_items", "discovery_responses", "matter_children",
+    "matter_opposing_counsel", "matter_pleadings", "matter_claims",
+)
+
+
+@query(DELETED)
 def sink_delete(t: Tables) -> DataFrame:
-    names = ("matters", "billing_splits", "matter_pleadings", "matter_claims")
-    left = writes.delete({n: t(n) for n in names}, "matters", t("matters").filter("id % 10 = 0").select("id"))
-    counts = [left[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names if n != "matter_pleadings"]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """What becomes of every row of the tables around a matter when every tenth matter is deleted."""
+    tables = {**{n: t(n) for n in OF_MATTERS}, **{n: t(n).filter(F.col("matter_id") % k == 0) for n, k in AGAINST.items()}}
+    done = integrity.delete(tables, "matters", t("matters").filter("id % 10 = 0").select("id"))
+    return done.effects.groupBy("name", "key", "effect").agg(F.count("*").alias("n"))
 
 
 @query("SELECT matter_id, staff_id, (CASE WHEN matter_id % 12 = 0 THEN 1 ELSE rate END)::DOUBLE AS rate FROM matter_rate_overrides UNION ALL SELECT matter_id, staff_id + 500, 2.0 FROM matter_rate_overrides WHERE matter_id % 18 = 0")
@@ -119,7 +181,7 @@ def sink_upsert_override(t: Tables) -> DataFrame:
     o = t("matter_rate_overrides")
     money = lambda n: F.lit(n).cast("decimal(10,2)").alias("rate")
     new = o.filter("matter_id % 12 = 0").select("matter_id", "staff_id", money(1)).unionByName(o.filter("matter_id % 18 = 0").select("matter_id", (F.col("staff_id") + 500).alias("staff_id"), money(2)))
-    return writes.upsert(o, new, ["matter_id", "staff_id"])
+    return _replaced(o, lambda rows: writes.upsert(rows, new, ["matter_id", "staff_id"]))
 
 
 @query(f"""WITH p AS ({PATCHED} FROM matters) SELECT 'matter.update' AS action, 'matter' AS entity_type, m.id AS entity_id, 'uid-1' AS uid, '{{"id":' || m.id || ',"status":"' || m.status || '"}}' AS before_json, '{{"id":' || m.id || ',"status":"' || p.status || '"}}' AS after_json
@@ -130,7 +192,7 @@ def sink_audit(t: Tables) -> DataFrame:
     path = fresh_path(before.sparkSession, "audit")
     for part in ("id % 20 = 0", "id % 20 = 10"):  # the log grows with every request
         writes.append(path, "audit_log", writes.audit("matter.update", "matter", before.filter(part), after.filter(part), "uid-1"), ["entity_id"])
-    return before.sparkSession.read.parquet(path)
+    return writes.read(before.sparkSession, path)
 
 
 @query("SELECT id, 'matters/' || matter_id || '/discovery/' || id || '.pdf' AS path FROM discovery_requests")

@@ -154,7 +154,13 @@ def test_append_and_principals(spark, tmp_path):
     writes.append(path, "matters", good.withColumn("id", F.lit(2).cast("long")), ["id"])
     with pytest.raises(writes.Refused):
         writes.append(path, "matters", good.withColumn("status", F.lit("lost")), ["id"])
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    with pytest.raises(writes.Refused) as told:
+        writes.append(path, "matters", good.unionByName(good.withColumn("id", F.lit(7).cast("long"))), ["id"])
+    assert [tuple(r) for r in told.value.violations.collect()] == [("unique_id", "1")]
+    assert sorted(r.id for r in writes.read(spark, path).collect()) == [1, 2]
+    writes.replace(path, writes.read(spark, path).withColumn("status", F.lit("closed")))
+    assert {tuple(r) for r in writes.read(spark, path).collect()} == {(1, "closed"), (2, "closed")}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["matters"]  # nothing is left aside
     roles = spark.createDataFrame([("u1", "client", 5, None), ("u2", "admin", None, 9), (None, "client", 7, None)], "uid string, role string, client_id long, staff_id long")
     assert security.principal("u1", roles) == security.Principal("client", 5, None, "u1") and security.principal("zz", roles).role == "none"
     found = security.principals(spark.createDataFrame([("u2",), ("zz",), (None,)], "uid string"), roles).collect()
