@@ -45,11 +45,24 @@ def candidates(names: DataFrame, subjects: DataFrame, threshold: float) -> DataF
     return met.filter(lengths & (F.element_at(F.array_intersect("_prefix", "_t"), 1) == F.col("gram"))).drop("gram", "_prefix")
 
 
-def search_trigram(names: DataFrame, subjects: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """names (column search) against subjects: search, source, entity_id, matched_name, sim over the threshold."""
+def scanned(searched: DataFrame, subjects: DataFrame, threshold: float) -> DataFrame:
+    """The same pairs and columns for a few searches: they are broadcast, and every subject is read once and split once."""
+    held = subjects.withColumn("_t", scalar.trigrams(F.col("name")))
+    n = F.size("_q")
+    return held.join(F.broadcast(searched), (F.size("_t") >= threshold * n - 1e-6) & (threshold * F.size("_t") - 1e-6 <= n))
+
+
+def search_trigram(names: DataFrame, subjects: DataFrame, threshold: float = 0.3, few: int = FEW) -> DataFrame:
+    """names (column search) against subjects: search, source, entity_id, matched_name, sim over the threshold. A few are
+    compared in one scan, more meet their subjects on rare trigrams."""
     k = F.size(F.array_intersect("_q", "_t"))
     sim = scalar.ratio32(k, F.size("_q") + F.size("_t") - k)
-    found = candidates(names, subjects, threshold).withColumn("sim", sim)
+    searched = names.select("search").distinct()
+    if searched.limit(few + 1).count() <= few:
+        grams = searched.withColumn("_q", scalar.trigrams(F.lower("search"))).filter(F.size("_q") > 0)
+        found = scanned(grams, subjects, threshold).withColumn("sim", sim)
+    else:
+        found = candidates(names, subjects, threshold).withColumn("sim", sim)
     return found.filter(F.col("sim") > threshold).select("search", "source", "entity_id", F.col("name").alias("matched_name"), "sim")
 
 

@@ -131,6 +131,4 @@ LOOKUPS: dict[str, Lookup] = {
     "limit_one": Lookup("matters", MATTER, (("client_id", "=", 12),), (("created_at", DOWN),), one=True),
     "sort_single": Lookup("billing_cycles", CYCLE, sort=(("period_start", DOWN),)),
     "sort_null_rule": Lookup("matter_pleadings", ("id", "filed_date"), sort=(("filed_date", UP),)),
-    "rls_client_self": Lookup("clients", CLIENT, (("id", "=", 12),)),
-    "rls_client_matters": Lookup("matters", MATTER, (("client_id", "=", 12),)),
 }

@@ -64,8 +64,6 @@ ROWS = {
     "limit_one": "matters WHERE client_id = 12 ORDER BY created_at DESC NULLS FIRST, id LIMIT 1",
     "sort_single": "billing_cycles ORDER BY period_start DESC NULLS FIRST",
     "sort_null_rule": "matter_pleadings ORDER BY filed_date ASC NULLS LAST",
-    "rls_client_self": "clients WHERE id = 12",
-    "rls_client_matters": "matters WHERE client_id = 12",
 }
 #: Look-ups that say only whether there is a row.
 EXISTS = {

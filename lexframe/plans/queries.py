@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
-from ..operators import conflicts, finance, lookups, quality, relations, security
+from ..operators import conflicts, finance, lookups, quality, relations, security, surface
 from ..sources import adapter
+from ..sources.shared import fresh_path
 from . import ingest, lookup_sql
 
 Tables = Callable[[str], DataFrame]
@@ -36,6 +37,27 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def _tables(sf_dir: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, name: adapter.load(spark, sf_dir, name)
+
+
+_sessions: dict[tuple[str, str], SparkSession] = {}
+
+
+def _practice(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """The session of these tables: it is set up once, and any number of texts run in it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _sessions:
+        _sessions[at] = surface.opened(spark, _tables(sf_dir), ledger="retainers")
+    return _sessions[at]
+
+
+def text_query(name: str, text: str, sql: str) -> None:
+    """Register what a SQL text gives in a session that has the practice's tables, functions and views."""
+    QUERIES[name] = lambda spark, sf_dir: shown(_practice(spark, sf_dir).sql(text))
+    ORACLE_SQL[name] = adapter.sql(sql)
+
+
 def _lookup(name: str, lookup: lookups.Lookup) -> None:
     QUERIES[name] = lambda spark, sf_dir: shown(lookups.run(adapter.load(spark, sf_dir, lookup.table), lookup))
     ORACLE_SQL[name] = adapter.sql(lookup_sql.text(name, lookup.columns, adapter.MONEY | adapter.NULLABLE, adapter.DATES))
@@ -63,15 +85,10 @@ def matter_balance(t: Tables) -> DataFrame:
     return finance.matter_balance(t("matters"), t("retainers"), finance.pro_bono_zero(t("billing_entries"), t("matters")))
 
 
-@query(f"WITH {PLAIN} SELECT matter_id, {SHOWN}, status FROM balance WHERE matter_id = 42")
-def udtf_get_matter_balance(t: Tables) -> DataFrame:
-    one = lambda name: t(name).filter("matter_id = 42")
-    return finance.matter_balance(t("matters").filter("id = 42"), one("retainers"), one("billing_entries"))
+text_query("udtf_get_matter_balance", "SELECT * FROM get_matter_balance(42)", f"WITH {PLAIN} SELECT matter_id, {SHOWN}, status FROM balance WHERE matter_id = 42")
 
 
-@query(f"WITH {PLAIN} SELECT matter_id, {SHOWN}, status FROM balance")
-def join_matter_balance_lateral(t: Tables) -> DataFrame:
-    return finance.matter_balance(t("matters"), t("retainers"), t("billing_entries"))
+text_query("join_matter_balance_lateral", "SELECT b.* FROM matters m, LATERAL get_matter_balance(m.id) b", f"WITH {PLAIN} SELECT matter_id, {SHOWN}, status FROM balance")
 
 
 @query("SELECT matter_id, sum(CASE WHEN transaction_type = 'deposit' THEN amount ELSE -amount END)::DOUBLE AS trust FROM trust_ledger GROUP BY matter_id")
@@ -105,15 +122,11 @@ def fn_balance_status(t: Tables) -> DataFrame:
     return finance.matter_balance(t("matters"), t("retainers"), t("billing_entries")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PLAIN} SELECT m.id, m.client_id, matter_name, m.status, lower(trim(first_name || ' ' || last_name)) AS client_name, email AS client_email, {SHOWN}, b.status AS balance_status FROM matters m JOIN clients c ON c.id = m.client_id JOIN balance b ON b.matter_id = m.id")
-def view_matter_summary(t: Tables) -> DataFrame:
-    return finance.matter_summary(t("matters"), t("clients"), t("retainers"), t("billing_entries"))
+text_query("view_matter_summary", "SELECT * FROM v_matter_summary", f"WITH {PLAIN} SELECT m.id, m.client_id, matter_name, m.status, lower(trim(first_name || ' ' || last_name)) AS client_name, email AS client_email, {SHOWN}, b.status AS balance_status FROM matters m JOIN clients c ON c.id = m.client_id JOIN balance b ON b.matter_id = m.id")
 
 
-@query("""SELECT b.matter_id, matter_name, client_id, b.staff_id, lower(trim(first_name || ' ' || last_name)) AS staff_name, role AS staff_role, entry_type, part, line, round(coalesce(amount, hours * rate), 2)::DOUBLE AS computed_amount
+text_query("view_unbilled_entries", "SELECT * FROM v_unbilled_entries", """SELECT b.matter_id, matter_name, client_id, b.staff_id, lower(trim(first_name || ' ' || last_name)) AS staff_name, role AS staff_role, entry_type, part, line, round(coalesce(amount, hours * rate), 2)::DOUBLE AS computed_amount
 FROM billing_entries b JOIN matters m ON m.id = b.matter_id JOIN staff s ON s.id = b.staff_id WHERE NOT billed AND billable""")
-def view_unbilled_entries(t: Tables) -> DataFrame:
-    return finance.unbilled_entries(t("billing_entries"), t("matters"), t("staff"))
 
 
 PROGRESS = """SELECT i.matter_id, request_type, count(*) FILTER (i.status = 'pending_client') AS pending_client, count(*) FILTER (i.status = 'pending_review') AS pending_review,
@@ -121,9 +134,7 @@ PROGRESS = """SELECT i.matter_id, request_type, count(*) FILTER (i.status = 'pen
 FROM discovery_request_items i JOIN discovery_requests d ON d.id = i.discovery_request_id JOIN matters m ON m.id = i.matter_id GROUP BY i.matter_id, request_type, matter_name"""
 
 
-@query(PROGRESS)
-def view_discovery_progress(t: Tables) -> DataFrame:
-    return finance.discovery_progress(t("discovery_request_items"), t("discovery_requests"), t("matters"))
+text_query("view_discovery_progress", "SELECT * FROM v_discovery_progress", PROGRESS)
 
 
 @query("SELECT request_type, count(*) FILTER (i.status = 'pending_client') AS pending_client, count(*) AS total FROM discovery_request_items i JOIN discovery_requests d ON d.id = i.discovery_request_id GROUP BY request_type")
@@ -150,9 +161,7 @@ def fn_resolve_rate(t: Tables) -> DataFrame:
     return _rates(t, t("billing_entries").filter("entry_type = 'time'"))
 
 
-@query(RATE.replace("{where}", " WHERE matter_id = 42"))
-def udf_resolve_billing_rate(t: Tables) -> DataFrame:
-    return _rates(t, t("billing_entries").filter("matter_id = 42"))
+text_query("udf_resolve_billing_rate", "SELECT matter_id, staff_id, resolve_billing_rate(matter_id, staff_id) AS rate FROM (SELECT DISTINCT matter_id, staff_id FROM billing_entries WHERE matter_id = 42)", RATE.replace("{where}", " WHERE matter_id = 42"))
 
 
 @query("SELECT m.id, s.role, (CASE s.role WHEN 'attorney' THEN card_attorney WHEN 'paralegal' THEN card_paralegal END)::DOUBLE AS card FROM matters m JOIN matter_staff a ON a.matter_id = m.id JOIN staff s ON s.id = a.staff_id")
@@ -345,14 +354,10 @@ def join_conflict_trigram(t: Tables) -> DataFrame:
     return _hits(t)
 
 
-@query(TRIGRAM + " SELECT source, entity_id, matched_name, sim FROM hits WHERE search = 'customer 000000012'")
-def udtf_search_conflicts(t: Tables) -> DataFrame:
-    return conflicts.search_trigram(_searches(t).filter("search = 'customer 000000012'"), _subjects(t)).drop("search")
+text_query("udtf_search_conflicts", "SELECT * FROM search_conflicts('customer 000000012', 0.3)", TRIGRAM + " SELECT source, entity_id, matched_name, sim FROM hits WHERE search = 'customer 000000012'")
 
 
-@query(TRIGRAM + " SELECT source, entity_id, matched_name, max(sim) AS sim, max_by(search, {'sim': sim, 'search': search}) AS search FROM hits GROUP BY source, entity_id, matched_name")
-def udtf_search_conflicts_multi(t: Tables) -> DataFrame:
-    return conflicts.best_of_many(_hits(t))
+text_query("udtf_search_conflicts_multi", f"SELECT source, entity_id, matched_name, max_sim AS sim, matched_input AS search FROM search_conflicts_multi(array({', '.join(repr(x) for x, in SEARCHES)}))", TRIGRAM + " SELECT source, entity_id, matched_name, max(sim) AS sim, max_by(search, {'sim': sim, 'search': search}) AS search FROM hits GROUP BY source, entity_id, matched_name")
 
 
 @query(TRIGRAM + " SELECT source, entity_id, matched_name, max(sim) AS sim FROM hits GROUP BY source, entity_id, matched_name")
@@ -433,9 +438,7 @@ def fn_name_to_text(t: Tables) -> DataFrame:
     return t("clients").select("id", scalar.name_to_text(F.col("first_name"), F.col("last_name")).alias("name"))
 
 
-@query("SELECT id, lower(trim(first_name || ' ' || last_name)) AS name FROM staff")
-def udf_name_to_text(t: Tables) -> DataFrame:
-    return t("staff").select("id", scalar.name_struct_to_text(F.struct("first_name", "last_name")).alias("name"))
+text_query("udf_name_to_text", "SELECT id, name_to_text(named_struct('first_name', first_name, 'last_name', last_name)) AS name FROM staff", "SELECT id, lower(trim(first_name || ' ' || last_name)) AS name FROM staff")
 
 
 @query("SELECT id, first_name || ' ' || last_name AS name FROM staff")
@@ -681,6 +684,47 @@ def rls_client_responses(t: Tables) -> DataFrame:
     return security.writable_responses(t("discovery_responses"), CLIENT, {"matters": t("matters"), "discovery_requests": t("discovery_requests")})
 
 
+#: Principals under whom the same SQL is run, and what their role lets them see of clients and matters.
+FIVE = {"admin": security.Principal("admin", staff_id=2), "paralegal": security.Principal("paralegal", staff_id=1), "client 12": CLIENT, "client 13": security.Principal("client", client_id=13), "nobody": security.Principal("none")}
+
+
+def _under_five(name: str, text: str, sql: str) -> None:
+    """Register what one SQL text gives under each principal. sql: the same, where {staff} is whether the principal is of
+    the staff and {client} its client."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = None
+        for who, principal in FIVE.items():
+            rows = security.session(spark, _tables(sf_dir), principal).sql(text).withColumn("who", F.lit(who))
+            rows = surface.given(rows, spark, fresh_path(spark, "seen"))  # each in a session of its own
+            found = rows if found is None else found.unionByName(rows)
+        return shown(found)
+
+    of = lambda p: sql.replace("{staff}", str(p.role in security.STAFF)).replace("{client}", str(p.client_id or "NULL"))
+    QUERIES[name] = run
+    ORACLE_SQL[name] = adapter.sql(" UNION ALL ".join(f"SELECT q.*, '{who}' AS who FROM ({of(p)}) q" for who, p in FIVE.items()))
+
+
+_under_five("rls_client_self", "SELECT id, email, status FROM clients", "SELECT id, email, status FROM clients WHERE {staff} OR id = {client}")
+SEEN = BALANCE.replace("FROM retainers", "FROM trust_ledger WHERE {staff}").replace("FROM {entries} WHERE", "FROM billing_entries WHERE {staff} AND")
+_under_five(  # clients see neither the ledger nor what is not billed, so a balance is 0 for them
+    "rls_client_matters",
+    "SELECT m.id, m.matter_name, b.trust, b.balance, b.status FROM matters m, LATERAL get_matter_balance(m.id) b WHERE m.status = 'active'",
+    f"WITH {SEEN} SELECT m.id, m.matter_name, round(b.trust, 2)::DOUBLE AS trust, round(b.balance, 2)::DOUBLE AS balance, b.status FROM matters m JOIN balance b ON b.matter_id = m.id WHERE m.status = 'active' AND ({{staff}} OR client_id = {{client}})",
+)
+
+
+@query("""SELECT 'hidden' AS reason, id FROM discovery_responses WHERE is_final OR request_id NOT IN (SELECT id FROM discovery_requests WHERE matter_id IN (SELECT id FROM matters WHERE client_id = 12))
+UNION ALL SELECT 'changed', id FROM discovery_responses WHERE NOT is_final AND id % 2 = 0 AND request_id IN (SELECT id FROM discovery_requests WHERE matter_id IN (SELECT id FROM matters WHERE client_id = 12))
+UNION ALL SELECT 'written', id FROM discovery_responses WHERE NOT is_final AND id % 2 <> 0 AND request_id IN (SELECT id FROM discovery_requests WHERE matter_id IN (SELECT id FROM matters WHERE client_id = 12))""")
+def rls_write_checks(t: Tables) -> DataFrame:
+    """A client changes every response, and makes every second one final: which rows are refused, and why."""
+    rows, tables = t("discovery_responses"), {"matters": t("matters"), "discovery_requests": t("discovery_requests")}
+    patch = rows.select("id", (F.col("id") % 2 == 0).alias("is_final"))
+    refused = security.refused_updates("discovery_responses", rows, patch, CLIENT, tables)
+    return refused.unionByName(patch.join(refused, "id", "left_anti").select("id", F.lit("written").alias("reason")))
+
+
 def _role_gate(name: str, table: str, role: str, sql: str, **who: object) -> None:
     """A query of what a role sees of a table: how many rows, by whether it may write."""
 

@@ -129,6 +129,9 @@ def test_many_searches(spark):
         every = names.crossJoin(subjects).filter(scalar.ratio32(shared, F.size(x) + F.size(y) - shared) > threshold)
         got = conflicts.search_trigram(names, subjects, threshold)
         assert got.count() == every.count()
+    some = names.orderBy("search").limit(40)
+    by_scan, by_grams = (sorted(map(tuple, conflicts.search_trigram(some, subjects, 0.3, few=n).collect())) for n in (100, 0))
+    assert by_scan == by_grams and by_scan
     assert conflicts.candidates(names, subjects, 0.8).count() < 0.1 * n
     asked = subjects.select(F.col("name").substr(4, 20).alias("search")).distinct()
     found = conflicts.search_substring(asked, subjects, few=0)
