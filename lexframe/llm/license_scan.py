@@ -34,7 +34,13 @@ NOTICES = (
     ("gnu general public license version [2]", "gpl-2"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
+    ("gnu general public license [v3]", "gpl-3"),
+    ("gnu general public license [v2]", "gpl-2"),
+    ("gnu general public license as published by the free software foundation either version [3]", "gpl-3"),
+    ("gnu general public license as published by the free software foundation either version [2]", "gpl-2"),
     ("mozilla public license version [2 0]", "mpl-2"),
+    ("mozilla public license v [2 0]", "mpl-2"),
+    ("apache license v [2 0]", "apache-2"),
     ("redistribution and use in source and binary forms", "bsd"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),

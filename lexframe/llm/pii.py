@@ -1,6 +1,9 @@
 """PII by anchor expansion: one Aho-Corasick pass finds at-signs, schemes, digits and identifier cues; local
 parsers expand each anchor to its boundaries and validate it.
 
+Anchors come in order of place, and each parser begins where the last span of its kind ends, so the cost grows with the
+text, and no two spans of a kind overlap. Cues are found in any case.
+
 Per row, in Arrow batches; no shuffle, no state. Addresses are those of mail, hosts and URLs with credentials; postal
 addresses have no anchor and are not looked for. Defined cases: a null text is an empty one; very long texts are
 scanned whole; null or repeated doc_ids pass through row by row; spans that begin together are listed in the order of
@@ -20,27 +23,28 @@ from .common import columns, map_docs
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "url")
 #: Fixed forms of the base kinds; a match lies in a run of the characters that its kind may have.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_AFTER = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match of IP begins a run of digits: where it fails there, it fails further on in the run too.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMERIC = frozenset("0123456789 .()+-")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile("[^0-9]+")
 #: The method's own kinds: what may follow a cue.
-IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?=(?:\x20?[A-Za-z0-9]){11})")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?=(?:\x20?[A-Za-z0-9]){11})")
 #: Characters that each country's IBANs have.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
-    23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 COUNTRIES = {c: n for n, some in IBAN_LENGTHS.items() for c in some.split()}
 SSN = re.compile(r"[\x20:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?[\x20:#=]{1,3}([0-9][0-9-]{5,18}[0-9])(?![0-9-])")
+ACCOUNT = re.compile(r"(?:\x20?(?i:number|no\.?|nr\.?|#))?[\x20:#=]{1,3}([0-9][0-9-]{5,18}[0-9])(?![0-9-])")
 URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[^\s]+")
-CUES = {"IBAN": "iban", "iban": "iban", "Iban": "iban", "SSN": "ssn", "ssn": "ssn", "social security": "ssn", "Social Security": "ssn", "account": "account", "Account": "account", "ACCOUNT": "account", "acct": "account", "Acct": "account"}
+CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @functools.cache
@@ -115,10 +119,10 @@ def find(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) by start, then kind. Anchors come in order of place, so the end of the last run or
     address bounds the next from the left: matches are leftmost and do not overlap."""
     out: list[tuple[int, int, int]] = []
-    email_end = zone_end = 0
+    email_end = zone_end = url_end = 0
     ibans_found = False
     n = len(text)
-    for last, (kind, width) in anchors().iter(text):
+    for last, (kind, width) in anchors().iter(text.encode().translate(_LOWER).decode()):
         start = last + 1 - width
         if kind == "digit":
             if start < zone_end:
@@ -141,11 +145,14 @@ def find(text: str) -> list[tuple[int, int, int]]:
                 out.append((a, 0, m.end()))
                 email_end = m.end()
         elif kind == "url":
+            if start < url_end:
+                continue
             a = start
-            while a and text[a - 1].isascii() and text[a - 1].isalpha():
+            while a > url_end and text[a - 1].isascii() and text[a - 1].isalpha():
                 a -= 1
             if a < start and (m := URL.match(text, start)):
                 out.append((a, 7, m.end()))
+                url_end = m.end()
         elif kind == "iban":
             if not ibans_found:  # all that follow the first cue, however far
                 out += ibans(text, last + 1)

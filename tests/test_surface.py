@@ -85,4 +85,4 @@ def test_write_policies(spark):
     assert security.refused_updates("discovery_responses", rows, patch.filter("id < 999"), security.Principal("attorney"), tables).count() == 0
     assert security.refused_updates("staff", rows, patch, security.Principal("attorney"), tables).count() == 4
     with pytest.raises(ValueError, match="matters"):
-        security.secure(rows, "billing_cycles", client, {})
+        security.secure(rows.withColumn("matter_id", F.col("id")), "fee_agreements", client, {})
