@@ -111,5 +111,11 @@ def searched_names(full_name: str, others: str) -> list[str]:
     return [x for x in [full_name, *(y.strip() for y in others.split(","))] if x.strip()]
 
 
+def names_to_search(full_name: Column, others: Column) -> Column:
+    """The same, of columns: an array of the names to search for."""
+    parts = F.transform(F.split(F.coalesce(others, F.lit("")), ","), lambda x: F.trim(x))
+    return F.filter(F.concat(F.array(full_name), parts), lambda x: F.trim(x) != "")
+
+
 def redacted(hits: DataFrame) -> DataFrame:
     return hits.select("source", "entity_id", F.lit("name").alias("matched_field"))

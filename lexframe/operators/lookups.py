@@ -71,7 +71,6 @@ LOOKUPS: dict[str, Lookup] = {
     "audit_by_entity": Lookup("audit_log", AUDIT, (("entity_type", "=", "matter"), ("entity_id", "=", 8)), (("created_at", UP),)),
     "audit_by_uid": Lookup("audit_log", AUDIT, (("uid", "=", "uid-7"),), (("created_at", DOWN),)),
     "audit_by_action": Lookup("audit_log", AUDIT, (("action", "=", "purchase"),), (("created_at", DOWN),)),
-    "pipe_audit_history": Lookup("audit_log", AUDIT, (("entity_type", "=", "billing_entry"), ("entity_id", "=", 11)), (("created_at", UP),)),
     "cycles_by_matter": Lookup("billing_cycles", CYCLE, (("matter_id", "=", 12),), (("period_start", DOWN),)),
     "cycle_open": Lookup("billing_cycles", CYCLE, (("matter_id", "=", 12), ("status", "=", "open")), (("id", UP),), one=True),
     "cycles_closed": Lookup("billing_cycles", CYCLE, (("matter_id", "=", 12), ("status", "=", "closed")), (("period_start", DOWN),)),

@@ -9,7 +9,6 @@ ROWS = {
     "audit_by_entity": "audit_log WHERE entity_type = 'matter' AND entity_id = 8 ORDER BY created_at ASC NULLS LAST",
     "audit_by_uid": "audit_log WHERE uid = 'uid-7' ORDER BY created_at DESC NULLS FIRST",
     "audit_by_action": "audit_log WHERE action = 'purchase' ORDER BY created_at DESC NULLS FIRST",
-    "pipe_audit_history": "audit_log WHERE entity_id = 11 AND entity_type = 'billing_entry' ORDER BY created_at ASC NULLS LAST",
     "cycles_by_matter": "billing_cycles WHERE matter_id = 12 ORDER BY period_start DESC NULLS FIRST",
     "cycle_open": "billing_cycles WHERE matter_id = 12 AND status = 'open' ORDER BY id LIMIT 1",
     "cycles_closed": "billing_cycles WHERE matter_id = 12 AND status = 'closed' ORDER BY period_start DESC NULLS FIRST",

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
-from ..operators import entries as billing, finance, integrity, quality, relations, security, writes
-from ..sources import adapter, seeds
+from ..operators import entries as billing, finance, history, integrity, quality, relations, security, writes
+from ..sources import adapter, pages, seeds
 from ..sources.shared import fresh_path
 from ..streaming import ledger as streams
 from . import ingest
@@ -24,16 +24,25 @@ TODAY = "2026-01-05"
 # seeds and configuration
 
 
-@query(f"SELECT slug, len(applies_to)::BIGINT AS n, text FROM (VALUES {SEEDS}) v(slug, applies_to, text)")
+@query(f"SELECT slug, text, (SELECT count(*) FROM discovery_requests d WHERE list_has_any(applies_to, [d.request_type, '*'])) AS requests FROM (VALUES {SEEDS}) v(slug, applies_to, text)")
 def scan_lookup_seed(t: Tables) -> DataFrame:
-    rows = seeds.objections(t("offices").sparkSession)
+    """The seed rows, loaded over a table that has some of them, and how many requests each applies to."""
+    rows = seeds.objections(t("discovery_requests").sparkSession)
     loaded = seeds.add_missing(rows.filter("slug < 'n'"), rows)
-    return loaded.select("slug", F.size("applies_to").cast("long").alias("n"), "text")
+    kinds = t("discovery_requests").groupBy("request_type").agg(F.count("*").alias("n"))
+    kinds = kinds.select(F.explode(F.array("request_type", F.lit("*"))).alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n"))
+    applied = loaded.select("slug", "text", F.explode("applies_to").alias("kind")).join(kinds, "kind", "left")
+    return applied.groupBy("slug", "text").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"))
 
 
-@query(f"SELECT slug, text FROM (VALUES {', '.join(f"('{slug}', {QUOTED(text)})" for slug, text in seeds.PRIVILEGES)}) v(slug, text) ORDER BY slug")
+@query(f"SELECT slug, text, (SELECT count(*) FROM discovery_request_items i WHERE i.part % 7 = k) AS cited FROM (VALUES {', '.join(f"('{slug}', {QUOTED(text)}, {k})" for k, (slug, text) in enumerate(seeds.PRIVILEGES))}) v(slug, text, k) ORDER BY slug")
 def privileges_all(t: Tables) -> DataFrame:
-    return seeds.privileges(t("offices").sparkSession).orderBy("slug")
+    """All privileges by slug, and how many responses cite each (every seventh part cites the first, and so on)."""
+    items = t("discovery_request_items")
+    slug = F.get(F.lit([slug for slug, _ in seeds.PRIVILEGES]), (F.col("part") % 7).cast("int"))
+    cited = items.select(slug.alias("slug")).groupBy("slug").agg(F.count("*").alias("cited"))
+    rows = seeds.privileges(items.sparkSession).join(cited, "slug", "left")
+    return rows.withColumn("cited", F.coalesce("cited", F.lit(0))).orderBy("slug")
 
 
 @query(f"SELECT d.id, slug, text FROM (VALUES {SEEDS}) v(slug, applies_to, text), discovery_requests d WHERE list_has_any(applies_to, [d.request_type, '*'])")
@@ -43,20 +52,35 @@ def objections_for_type(t: Tables) -> DataFrame:
     return d.join(F.broadcast(rows), "kind").select("id", "slug", "text")  # ten seed rows
 
 
-@query("""SELECT * FROM (VALUES ('stripe_publishable_key', '""'), ('firm_name', '"Your Law Firm - Override in .env"'), ('time_increment_options', '[0.1, 0.25, 0.5, 1.0]'), ('version', '"2026.04.05"')) v(name, value)""")
+@query("""SELECT id AS office, v.name, CASE v.name WHEN 'firm_name' THEN '"' || o.name || '"' ELSE value END AS value FROM offices o,
+(VALUES ('stripe_publishable_key', '""'), ('firm_name', ''), ('time_increment_options', '[0.1, 0.25, 0.5, 1.0]'), ('version', '"2026.04.05"')) v(name, value)""")
 def src_config(t: Tables) -> DataFrame:
-    return seeds.public_config(t("offices").sparkSession)
+    """The public configuration of each office, which goes by its own name."""
+    return seeds.public_config_of(t("offices").select(F.col("id").alias("office"), F.col("name").alias("firm_name")), "office")
 
 
-@query("SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda p: length(trim(p)) >= 20), chr(10) || chr(10))) AS digest FROM raw_text")
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM raw_text)
+SELECT doc_id, sha256(array_to_string(list_filter(p, lambda x: length(trim(x)) >= 20), chr(10) || chr(10))) AS digest, len(list_filter(p, lambda x: length(trim(x)) >= 20))::BIGINT AS pages FROM p WHERE len(list_filter(p, lambda x: length(trim(x)) >= 20)) > 0
+UNION ALL SELECT doc_id, 'short pages', len(list_filter(p, lambda x: length(trim(x)) < 20)) + 1 FROM p""")
 def src_pdf_text(t: Tables) -> DataFrame:
-    return t("raw_text").select("doc_id", F.sha2(scalar.page_text(F.split("text", "\n")), 256).alias("digest"))
-
-
-@query("SELECT unnest(['dashboard', 'billing', 'help']) AS item")
+    """Documents as files, a line for a page, read back: the text of their pages, and how many pages go to recognition
+    (one more than there are short lines: what follows the last form feed)."""
+    spark = t("raw_text").sparkSession
+    path = fresh_path(spark, "files")
+    pages.write_pages(t("raw_text").select("doc_id", F.split("text", "\n").alias("pages")), path, "doc_id", "pages")
+    text, short = pages.read_pages(spark, path)
+    counts = text.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    whole = pages.joined(text, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest")).join(counts, "doc_id")
+    return whole.unionByName(short.groupBy("doc_id").agg(F.lit("short pages").alias("digest"), F.count("*").alias("pages"))).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("""SELECT auth_email, item FROM user_roles, (VALUES ('dashboard', 'client attorney paralegal admin'), ('billing', 'attorney paralegal'), ('admin', 'admin'), ('help', 'client attorney paralegal admin')) v(item, roles) WHERE list_contains(string_split(roles, ' '), role)""")
 def ui_nav_items(t: Tables) -> DataFrame:
-    items = t("offices").sparkSession.createDataFrame([("dashboard", None), ("billing", ["attorney", "paralegal"]), ("admin", ["admin"]), ("help", [])], "item string, roles array<string>")
-    return relations.nav_items(items, "attorney").select("item")
+    """What each login's menu shows, by its role."""
+    users = t("user_roles").select("auth_email", "role")
+    items = users.sparkSession.createDataFrame([("dashboard", None), ("billing", ["attorney", "paralegal"]), ("admin", ["admin"]), ("help", [])], "item string, roles array<string>")
+    menus = [relations.nav_items(items, r).select(F.lit(r).alias("role"), "item") for r in quality.DOMAINS["user_roles", "role"]]
+    return users.join(F.broadcast(reduce(DataFrame.unionByName, menus)), "role").select("auth_email", "item")  # four roles, four items
 
 
 @query("SELECT id, name, sex FROM matter_children WHERE sex IS NOT NULL AND sex <> '' AND name <> ''")
@@ -195,6 +219,35 @@ def sink_audit(t: Tables) -> DataFrame:
     return writes.read(before.sparkSession, path)
 
 
+#: The audit trail with the entity before and after each entry, made from it by rule; some entries create, some delete.
+TRAIL = """trail AS (SELECT id, entity_type, entity_id, created_at, action, uid, id % 5 <> 0 AS b, id % 11 <> 0 AS a FROM audit_log)"""
+
+
+def _trail(t: Tables) -> DataFrame:
+    n, note = F.col("id"), F.when(F.col("id") % 3 != 0, "n").alias("note")
+    before = F.to_json(F.struct((n % 7).alias("k"), "action", note))
+    after = F.to_json(F.struct((n % 3).alias("k"), "action", "uid"))
+    return t("audit_log").select("id", "entity_type", "entity_id", "created_at", F.when(n % 5 != 0, before).alias("before_json"), F.when(n % 11 != 0, after).alias("after_json"))
+
+
+@query(f"""WITH {TRAIL}, c AS (SELECT id, entity_type, entity_id, CAST(created_at AS VARCHAR) AS created_at, unnest([
+ {{'field': 'k', 'old': CASE WHEN b THEN CAST(id % 7 AS VARCHAR) END, 'new': CASE WHEN a THEN CAST(id % 3 AS VARCHAR) END}}, {{'field': 'action', 'old': CASE WHEN b THEN action END, 'new': CASE WHEN a THEN action END}},
+ {{'field': 'note', 'old': CASE WHEN b AND id % 3 <> 0 THEN 'n' END, 'new': NULL}}, {{'field': 'uid', 'old': NULL, 'new': CASE WHEN a THEN uid END}}], recursive := true) FROM trail)
+SELECT * FROM c WHERE old IS DISTINCT FROM new""")
+def pipe_audit_history(t: Tables) -> DataFrame:
+    return history.changes(_trail(t), "id", "entity_type", "entity_id", "created_at")
+
+
+@query(f"""WITH {TRAIL}, m AS (SELECT DISTINCT entity_type, entity_id, unnest([DATE '2024-01-10', DATE '2024-02-01', DATE '2030-01-01']) AS "at" FROM trail),
+s AS (SELECT entity_type, entity_id, "at", arg_max(trail, {{'created_at': created_at, 'id': id}}) AS s FROM trail JOIN m USING (entity_type, entity_id) WHERE created_at <= "at" GROUP BY ALL)
+SELECT entity_type, entity_id, CAST("at" AS VARCHAR) AS "at", CASE WHEN s.a THEN '{{"k":' || s.id % 3 || ',"action":"' || s.action || '","uid":"' || s.uid || '"}}' END AS after_json FROM s""")
+def audit_state_at(t: Tables) -> DataFrame:
+    """What every entity was at three dates."""
+    log = _trail(t)
+    dates = F.explode(F.array(*(F.lit(d).cast("date") for d in ("2024-01-10", "2024-02-01", "2030-01-01")))).alias("at")
+    return history.states(log, log.select("entity_type", "entity_id").distinct().select("*", dates))
+
+
 @query("SELECT id, 'matters/' || matter_id || '/discovery/' || id || '.pdf' AS path FROM discovery_requests")
 def sink_storage(t: Tables) -> DataFrame:
     return t("discovery_requests").select("id", scalar.stored_path(F.col("matter_id"), "discovery", F.col("id")).alias("path"))
@@ -425,16 +478,16 @@ def udf_auth(t: Tables) -> DataFrame:
 # streams: the files are read as a stream, to the end
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written when it has read all its input."""
+def _drained(stream: DataFrame) -> DataFrame:
+    """What an appending stream has written when it has read all its input; a batch done again takes its own place."""
     spark = stream.sparkSession
     out, marks = fresh_path(spark, "stream"), fresh_path(spark, "marks")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,13 +498,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_trust_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("CASE event_type WHEN 'click' THEN 'withdrawal' WHEN 'error' THEN 'refund' ELSE 'deposit' END")
     ledger = _events(spark, sf_dir).filter("event_type <> 'view'").select(F.col("user_id").alias("matter_id"), kind.alias("transaction_type"), F.col("value").cast("decimal(12,2)").alias("amount"))
-    return _drained(streams.trust_balances(ledger), "complete").withColumn("trust", F.col("trust").cast("double"))
+    out, marks = fresh_path(spark, "balances"), fresh_path(spark, "marks")
+    streams.upsert(streams.trust_balances(ledger), out, marks).awaitTermination()
+    return streams.newest(spark, out, ["matter_id"]).withColumn("trust", F.col("trust").cast("double"))
 
 
 #: A day's counts are given when the watermark, a day behind the latest event, has passed its end.
 def _stream_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _events(spark, sf_dir).select(F.col("ts"), F.col("event_type").alias("action"))
-    return _drained(streams.audit_counts(log, "ts"), "append").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "action", "n")
+    return _drained(streams.audit_counts(log, "ts")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "action", "n")
 
 
 QUERIES["stream_trust_balance"] = _stream_trust_balance

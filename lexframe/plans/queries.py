@@ -418,10 +418,12 @@ def fn_similarity(t: Tables) -> DataFrame:
     return _subjects(t).select("source", "entity_id", scalar.similarity(F.col("name"), F.lit("customer 000000077")).alias("sim"))
 
 
-@query(f"WITH {SUBJECTS} SELECT unnest(['customer 000000012', 'a', 'b c']) AS search")
+@query("SELECT id, unnest([lower(trim(first_name || ' ' || last_name)), 'a', email]) AS search FROM clients")
 def concat_names(t: Tables) -> DataFrame:
-    names = conflicts.searched_names("customer 000000012", " a , ,b c")
-    return t("clients").sparkSession.createDataFrame([(n,) for n in names], "search string")
+    """What is searched for when a client comes in: the name, and the other names that came with it."""
+    others = F.concat(F.lit(" a , ,"), "email", F.lit(" "))
+    names = conflicts.names_to_search(scalar.name_to_text(F.col("first_name"), F.col("last_name")), others)
+    return t("clients").select("id", F.explode(names).alias("search"))
 
 
 @query("SELECT id, list_filter(list_transform(string_split(first_name || ', ' || last_name || ',, x ', ','), lambda x: trim(x)), lambda x: x <> '')[2] AS second, len(list_filter(list_transform(string_split(first_name || ', ' || last_name || ',, x ', ','), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM clients")

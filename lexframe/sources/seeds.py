@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Privileges and their texts.
 PRIVILEGES = (
@@ -41,6 +41,12 @@ def public_config(spark: SparkSession, **own: object) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in values.items()], "name string, value string")
 
 
+def public_config_of(own: DataFrame, key: str) -> DataFrame:
+    """(key, name, value as JSON) for each installation: a row of own has its key, and its values under their names."""
+    values = [F.struct(F.lit(k).alias("name"), (F.to_json(F.array(own[k])).substr(F.lit(2), F.length(F.to_json(F.array(own[k]))) - 2) if k in own.columns else F.lit(json.dumps(v))).alias("value")) for k, v in PUBLIC_CONFIG.items()]
+    return own.select(key, F.explode(F.array(*values)).alias("x")).select(key, "x.*")
+
+
 def privileges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRIVILEGES), "slug string, text string")
 
