@@ -4,9 +4,10 @@ Filters of learned weights slide over the bytes of overlapping chunks that cover
 value for a filter is the mean of its rectified responses, a document's is the largest over its chunks, and a
 logistic unit combines these into one probability.
 
-Training takes a bounded sample of labelled rows on the driver: `per_class` of each label, chosen by hash, and of a
-text of more than `TRAIN_CHARS` characters a stretch of so many from a place chosen by hash. Scoring takes whole texts, in Arrow
-batches with the weights in the closure (some 10 KB), without a shuffle.
+Training takes a bounded sample of labelled rows: `per_class` of each label, chosen by hash. Their whole texts are written
+once to the shared folder and come to the driver one after the other, in another order each epoch, so what it holds is
+a part of the sample and not all of it. Scoring takes whole texts, in Arrow batches with the weights in the closure
+(some 10 KB), without a shuffle.
 
 Defined cases: a null text is an empty one and gets the score of the bias and the values of no response;
 null doc_ids are never training rows; labels that are null are left out; repeated rows are scored each, and one of
@@ -17,16 +18,17 @@ result.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns, map_docs
+from .common import columns, cut, map_docs
 
 FILTERS, WIDTH, HALF_CHUNK = 8, 4, 128
 #: Bytes that are worked on at once; a multiple of half a chunk, so long documents need no more memory.
 SEGMENT = 256 * HALF_CHUNK
-#: Characters of a text that training looks at: with `per_class` this bounds what the driver holds.
-TRAIN_CHARS = 20_000
 
 
 class Network:
@@ -91,32 +93,32 @@ class Network:
                 grads[0][k, :, f] += g * np.bincount(piece[k : k + b - a][on], minlength=256)
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float = 0.02, batch: int = 32) -> Network:
-    """Adam over minibatches in a fixed order; both labels count alike whatever their numbers."""
-    net, rng = Network(), np.random.default_rng(5)
-    y = np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
+def train(epoch: Callable[[int], Iterable[tuple[bytes, int]]], zeros: int, ones: int, epochs: int = 8, rate: float = 0.02, batch: int = 32) -> Network:
+    """Adam over minibatches; epoch(k) gives the samples (text, label) in the order of that epoch. Both labels count alike
+    whatever their numbers."""
+    net = Network()
+    if not zeros or not ones:
         net.out[:] = 0
         return net
-    weights = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    weights = ((zeros + ones) / (2 * zeros), (zeros + ones) / (2 * ones))
     names = ("table", "bias", "out", "out_bias")
     first = [np.zeros_like(getattr(net, k), dtype=np.float64) for k in names]
     second = [np.zeros_like(x) for x in first]
     step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
+    for k in range(epochs):
+        samples = iter(epoch(k))
+        while some := list(itertools.islice(samples, batch)):
             total = [np.zeros_like(x) for x in first]
-            for i in order[at : at + batch]:
+            for text, label in some:
                 own = [np.zeros_like(x) for x in first]
-                net.gradient(texts[i], y[i], own)
+                net.gradient(text, label, own)
                 for t, g in zip(total, own, strict=True):
-                    t += weights[i] * g / batch
+                    t += weights[label] * g / batch
             step += 1
-            for k, name in enumerate(names):
-                first[k] = 0.9 * first[k] + 0.1 * total[k]
-                second[k] = 0.999 * second[k] + 0.001 * total[k] ** 2
-                move = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            for i, name in enumerate(names):
+                first[i] = 0.9 * first[i] + 0.1 * total[i]
+                second[i] = 0.999 * second[i] + 0.001 * total[i] ** 2
+                move = rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
                 setattr(net, name, (getattr(net, name) - move).astype(np.float32))
     return net
 
@@ -132,10 +134,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows
-    spare = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
-    stretch = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int"), F.lit(TRAIN_CHARS))
-    rows = docs.select("doc_id", stretch.alias("text")).join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return train([(r.text or "").encode() for r in rows], [r.quality for r in rows])
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    sample = cut(rows, "sample")
+    sizes = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}
+
+    def epoch(k: int) -> Iterable[tuple[bytes, int]]:
+        in_order = sample.orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id")
+        return (((r.text or "").encode(), r.quality) for r in in_order.toLocalIterator())
+
+    return train(epoch, sizes.get(0, 0), sizes.get(1, 0))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 700) -> DataFrame:
