@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
-from ..operators import entries as billing, finance, history, integrity, quality, relations, security, writes
+from ..operators import conflicts, drafting, entries as billing, finance, history, integrity, intelligence, name_index, quality, relations, security, surface, writes
 from ..sources import adapter, pages, seeds
 from ..sources.shared import fresh_path
-from ..streaming import ledger as streams
+from ..streaming import alerts as alerting, ledger as streams
 from . import ingest
-from .queries import ORACLE_SQL, QUERIES, Tables, query
+from .queries import ORACLE_SQL, QUERIES, SEARCHES, TRIGRAM, Tables, query
 
 QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
 SEEDS = ", ".join(f"('{slug}', {types!r}, {QUOTED(text)})" for slug, types, text in seeds.OBJECTIONS)
@@ -478,9 +478,9 @@ def udf_auth(t: Tables) -> DataFrame:
 # streams: the files are read as a stream, to the end
 
 
-def _drained(stream: DataFrame) -> DataFrame:
+def _drained(stream: DataFrame, reader: SparkSession | None = None) -> DataFrame:
     """What an appending stream has written when it has read all its input; a batch done again takes its own place."""
-    spark = stream.sparkSession
+    spark = reader or stream.sparkSession
     out, marks = fresh_path(spark, "stream"), fresh_path(spark, "marks")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -516,6 +516,97 @@ ORACLE_SQL["stream_audit_counts"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, e
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY GROUP BY ALL"""
 
 
+#: Crossings are gaps and islands of the status; a reminder is due 30 days into a yellow island that lasts so long, or
+#: that is the last and so far behind the latest entry.
+ALERTS = """WITH l AS (SELECT event_id AS id, user_id AS matter_id, time_bucket(INTERVAL 1 MILLISECOND, ts) AS at, (CASE WHEN event_type IN ('click', 'error') THEN -1 ELSE 1 END * CAST(value AS DECIMAL(12, 2)) * 100)::BIGINT AS cents
+  FROM events WHERE event_type <> 'view'),
+r AS (SELECT l.*, sum(cents) OVER (PARTITION BY matter_id ORDER BY l.at, l.id ROWS UNBOUNDED PRECEDING) AS cents_now, floor(m.retainer_amount * m.refresh_trigger_pct * 100)::BIGINT AS low FROM l JOIN matters m ON m.id = l.matter_id),
+s AS (SELECT *, CASE WHEN cents_now < 0 THEN 'red' WHEN cents_now < low THEN 'yellow' ELSE 'green' END AS status FROM r),
+c AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY matter_id ORDER BY s.at, s.id), '') AS before FROM s),
+x AS (SELECT * FROM c WHERE before <> status),
+y AS (SELECT *, lead(x.at) OVER (PARTITION BY matter_id ORDER BY x.at, x.id) AS until FROM x)
+SELECT matter_id, strftime(y.at, '%Y-%m-%d %H:%M:%S.%g') AS "at", 'crossed' AS kind, before, status AS after FROM y
+UNION ALL SELECT matter_id, strftime(y.at + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S.%g'), 'still yellow', 'yellow', 'yellow' FROM y WHERE status = 'yellow' AND y.at + INTERVAL 30 DAY <= coalesce(until, (SELECT max(l.at) FROM l))"""
+
+
+def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = surface.own_session(spark)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", alerting.PROVIDER)
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'withdrawal' WHEN 'error' THEN 'refund' ELSE 'deposit' END")
+    ledger = _events(own, sf_dir).filter("event_type <> 'view'").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("matter_id"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("time"), kind.alias("transaction_type"), F.col("value").cast("decimal(12,2)").alias("amount")
+    )
+    found = alerting.alerts(ledger, adapter.load(own, sf_dir, "matters"))
+    return _drained(found, spark).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"))
+
+
+QUERIES["stream_refresh_alerts"] = _stream_alerts
+ORACLE_SQL["stream_refresh_alerts"] = adapter.sql(ALERTS)
+
+
+INDEXED = TRIGRAM + " SELECT search, source, entity_id, matched_name, sim FROM hits"
+
+
+@query(INDEXED)
+def conflict_index_search(t: Tables) -> DataFrame:
+    """Searches in a stored index that was built from the clients, and extended by the parties and again by all."""
+    clients, parties = t("clients"), t("opposing_parties")
+    spark = clients.sparkSession
+    path, every = fresh_path(spark, "names"), conflicts.subjects(clients, parties)
+    for some in (every.filter("source = 'client'"), every.filter("entity_id % 2 = 0"), every):
+        name_index.extend(path, some)
+    return name_index.search(spark, path, spark.createDataFrame(SEARCHES, "search string"))
+
+
+#: Claims and items are told in the words of the parts that they are about; BM25 by all pairs within a matter.
+BEST = """WITH c AS (SELECT m.matter_id, pleading_id || '/' || line || '/' || m.part AS claim_id, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type || CASE WHEN m.part % 3 = 0 THEN ' ' || p_name ELSE '' END), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
+  FROM matter_claims m JOIN part ON p_partkey = m.part WHERE kind <> 'defense'),
+u AS (SELECT DISTINCT matter_id, claim_id, w FROM c), n AS (SELECT count(*) AS claims, avg(len(w)) AS mean FROM u),
+d AS (SELECT term, count(*) AS df FROM (SELECT claim_id, matter_id, w, unnest(list_distinct(w)) AS term FROM u) q GROUP BY term),
+i AS (SELECT DISTINCT discovery_request_id || '/' || request_number || '/' || i.part AS item_id, i.matter_id, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS t FROM discovery_request_items i JOIN part ON p_partkey = i.part WHERE i.matter_id < 1000),
+s AS (SELECT item_id, claim_id, sum(ln(1 + (claims - df + 0.5) / (df + 0.5)) * len(list_filter(w, lambda x: x = d.term)) * 2.2 / (len(list_filter(w, lambda x: x = d.term)) + 1.2 * (0.25 + 0.75 * len(w) / mean))) AS score
+  FROM i JOIN u ON u.matter_id = i.matter_id JOIN d ON list_contains(i.t, d.term) AND list_contains(u.w, d.term), n GROUP BY item_id, claim_id)
+SELECT item_id, claim_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, claim_id) AS place FROM s QUALIFY place <= 3"""
+
+
+def _told(t: Tables, table: str, part: DataFrame, text: str, *columns: str) -> DataFrame:
+    return t(table).join(part, "part").selectExpr("matter_id", *columns, f"{text} AS text")
+
+
+def _drafting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: adapter.load(spark, sf_dir, name)
+    part = adapter.source(spark, sf_dir, "part").selectExpr("p_partkey AS part", "p_name", "p_brand", "p_type")
+    claims = _told(t, "matter_claims", part, "concat(p_name, ' ', p_brand, ' ', p_type, CASE WHEN part % 3 = 0 THEN concat(' ', p_name) ELSE '' END)", "concat_ws('/', pleading_id, line, part) AS claim_id", "kind").filter("kind <> 'defense'").drop("kind")
+    items = _told(t, "discovery_request_items", part, "concat(p_name, ' ', p_type)", "concat_ws('/', discovery_request_id, request_number, part) AS item_id").filter("matter_id < 1000")
+    found = drafting.best_claims(items.distinct(), drafting.index(claims.distinct()))
+    return found.withColumn("score", F.round("score", 6))
+
+
+QUERIES["draft_best_claims"] = _drafting
+ORACLE_SQL["draft_best_claims"] = adapter.sql(BEST)
+
+
+@query("""SELECT coalesce(matter_type, 'all') AS matter_type, coalesce(role, 'all') AS role, coalesce(entry_type, 'all') AS entry_type, count(*) AS n, sum(hours)::DOUBLE AS hours, sum(coalesce(amount, hours * rate))::DOUBLE AS amount
+FROM billing_entries b JOIN matters m ON m.id = b.matter_id JOIN staff s ON s.id = b.staff_id WHERE billable GROUP BY CUBE (matter_type, role, entry_type)""")
+def bi_revenue_cube(t: Tables) -> DataFrame:
+    return intelligence.revenue(t("billing_entries"), t("matters"), t("staff"))
+
+
+#: What is exact is compared as it is; of what is sketched, whether it is within its error of the exact figure.
+@query("""SELECT CAST(date_trunc('month', transaction_date) AS DATE)::VARCHAR AS start, transaction_type, count(*) AS n, sum(amount)::DOUBLE AS total, true AS matters_close, true AS median_close FROM trust_ledger GROUP BY 1, 2""")
+def bi_period_sketches(t: Tables) -> DataFrame:
+    """Months from a table of days, and how far their sketches are from what the ledger says."""
+    ledger = t("trust_ledger")
+    path = fresh_path(ledger.sparkSession, "days")
+    intelligence.daily(ledger).write.parquet(path)
+    months = intelligence.periods(ledger.sparkSession.read.parquet(path))
+    at = [F.trunc("transaction_date", "month").alias("start"), "transaction_type"]
+    exact = ledger.groupBy(*at).agg(F.count_distinct("matter_id").alias("_m"), F.percentile("amount", F.lit([0.45, 0.55])).alias("_q"))
+    near = F.abs(F.col("matters") - F.col("_m")) <= F.greatest(0.08 * F.col("_m"), F.lit(1))
+    within = (F.col("median") >= F.col("_q")[0] - 0.01) & (F.col("median") <= F.col("_q")[1] + 0.01)
+    return months.join(exact, ["start", "transaction_type"]).select("start", "transaction_type", "n", "total", near.alias("matters_close"), within.alias("median_close"))
+
+
 @query("SELECT matter_id, sum(CASE WHEN transaction_type = 'deposit' THEN amount ELSE -amount END)::DOUBLE AS trust, count(*) AS n FROM trust_ledger GROUP BY matter_id")
 def ledger_totals(t: Tables) -> DataFrame:
     amount = finance.signed(F.col("transaction_type"), F.col("amount"))
