@@ -37,10 +37,21 @@ def pro_bono_zero(entries: DataFrame, matters: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.when(zero, F.lit(0).cast(t)).otherwise(F.col(c)) for c, t in (("rate", "decimal(10,2)"), ("amount", MONEY))}).drop("is_pro_bono")
 
 
-def matter_balance(matters: DataFrame, ledger: DataFrame, entries: DataFrame, *also: Column) -> DataFrame:
+def unbilled_of_kinds(entries: DataFrame) -> DataFrame:
+    """matter_id, unbilled, unbilled_time: the total, and what of it is time."""
+    amount = F.coalesce(scalar.compute_amount(F.col("amount"), F.col("hours"), F.col("rate")), F.lit(0))
+    time = F.when(F.col("entry_type") == "time", amount).otherwise(F.lit(0))
+    return entries.filter(~F.col("billed") & F.col("billable")).groupBy("matter_id").agg(F.sum(amount).alias("unbilled"), F.sum(time).alias("unbilled_time"))
+
+
+def matter_balance(matters: DataFrame, ledger: DataFrame, entries: DataFrame, *also: Column, zero_pro_bono: bool = False) -> DataFrame:
     """One row a matter: trust, unbilled, balance and its status, and other columns of the matter. Both sides are
-    aggregated before they are joined."""
-    joined = matters.join(trust_balance(ledger).withColumnRenamed("matter_id", "id"), "id", "left").join(unbilled_total(entries).withColumnRenamed("matter_id", "id"), "id", "left")
+    aggregated before they are joined. With zero_pro_bono time on a pro-bono matter counts as nothing, whatever its
+    entries say: its part of the total is left out, and no entry is joined to its matter for that."""
+    spent = (unbilled_of_kinds if zero_pro_bono else unbilled_total)(entries).withColumnRenamed("matter_id", "id")
+    joined = matters.join(trust_balance(ledger).withColumnRenamed("matter_id", "id"), "id", "left").join(spent, "id", "left")
+    if zero_pro_bono:
+        joined = joined.withColumn("unbilled", F.when(F.col("is_pro_bono"), F.col("unbilled") - F.col("unbilled_time")).otherwise(F.col("unbilled")))
     trust, unbilled = F.coalesce("trust", F.lit(0).cast(MONEY)), F.coalesce("unbilled", F.lit(0).cast(MONEY))
     return joined.select(
         F.col("id").alias("matter_id"),

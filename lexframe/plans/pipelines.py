@@ -304,15 +304,31 @@ def _entries(t: Tables) -> DataFrame:
 CHANGED = "CASE WHEN id % 3 <> 0 AND id % 5 = 0 THEN 1.00 ELSE amount END"
 
 
-@query(f"SELECT id, id % 3 = 0 AS billed, ({CHANGED})::DOUBLE AS amount FROM retainers")
+ENTRY = "'{\"id\":' || id || ',\"amount\":' || CAST({amount} AS DECIMAL(12, 2)) || ',\"billed\":false}'"
+
+
+def _outcome(after: DataFrame, refused: DataFrame, trail: DataFrame) -> DataFrame:
+    """Entries as they are afterwards, ids that were refused, and the audit rows."""
+    return (
+        after.select("id", F.lit("entry").alias("what"), F.to_json(F.struct("amount", "billed")).alias("before"), F.lit(None).cast("string").alias("after"))
+        .unionByName(refused.select("id", F.lit("refused").alias("what"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
+        .unionByName(trail.select(F.col("entity_id").alias("id"), F.col("action").alias("what"), F.col("before_json").alias("before"), F.col("after_json").alias("after")))
+    )
+
+
+@query(f"""SELECT id, 'entry' AS what, '{{"amount":' || CAST({CHANGED} AS DECIMAL(12, 2)) || ',"billed":' || CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END || '}}' AS before, NULL AS after FROM retainers
+UNION ALL SELECT id, 'refused', NULL, NULL FROM retainers WHERE id % 5 = 0 AND id % 3 = 0
+UNION ALL SELECT id, 'billing_entry.update', {ENTRY.replace("{amount}", "amount")}, {ENTRY.replace("{amount}", "1")} FROM retainers WHERE id % 5 = 0 AND id % 3 <> 0""")
 def pipe_update_entry(t: Tables) -> DataFrame:
     patch = t("retainers").filter("id % 5 = 0").select("id", F.lit(1).cast("decimal(12,2)").alias("amount"))
-    return billing.update(_entries(t), patch, "uid-1")[0]
+    return _outcome(*billing.update(_entries(t), patch, "uid-1"))
 
 
-@query("SELECT id, amount::DOUBLE AS amount, id % 3 = 0 AS billed FROM retainers WHERE id % 3 = 0 OR id % 5 <> 0")
+@query(f"""SELECT id, 'entry' AS what, '{{"amount":' || amount || ',"billed":' || CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END || '}}' AS before, NULL AS after FROM retainers WHERE id % 3 = 0 OR id % 5 <> 0
+UNION ALL SELECT id, 'refused', NULL, NULL FROM retainers WHERE id % 5 = 0 AND id % 3 = 0
+UNION ALL SELECT id, 'billing_entry.delete', {ENTRY.replace("{amount}", "amount")}, NULL FROM retainers WHERE id % 5 = 0 AND id % 3 <> 0""")
 def pipe_delete_entry(t: Tables) -> DataFrame:
-    return billing.delete(_entries(t), t("retainers").filter("id % 5 = 0"), "uid-1")[0]
+    return _outcome(*billing.delete(_entries(t), t("retainers").filter("id % 5 = 0"), "uid-1"))
 
 
 @query("SELECT id FROM retainers WHERE id % 3 = 0 AND id % 10 = 0 AND amount <> 1")

@@ -82,7 +82,7 @@ SHOWN = "round(trust, 2)::DOUBLE AS trust, round(unbilled, 2)::DOUBLE AS unbille
 
 @query(f"WITH {ZEROED}, {BALANCE.replace('{entries}', 'zeroed')} SELECT matter_id, {SHOWN}, status FROM balance")
 def matter_balance(t: Tables) -> DataFrame:
-    return finance.matter_balance(t("matters"), t("retainers"), finance.pro_bono_zero(t("billing_entries"), t("matters")))
+    return finance.matter_balance(t("matters"), t("retainers"), t("billing_entries"), zero_pro_bono=True)
 
 
 text_query("udtf_get_matter_balance", "SELECT * FROM get_matter_balance(42)", f"WITH {PLAIN} SELECT matter_id, {SHOWN}, status FROM balance WHERE matter_id = 42")
