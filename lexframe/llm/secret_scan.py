@@ -5,24 +5,28 @@ random from the encoding that they are of. Four tests (chi-squared of the charac
 serial correlation) are not independent, since they look at the same characters, so they are combined by Cauchy's
 method, which allows that.
 
-What is controlled is the share of language among the tokens reported. Its null distribution is taken from all texts:
-their words, joined with and without hyphens into tokens of each length, go through the same battery, and the p-value
-of a candidate is the share of such language tokens of its length that have its encoding and look at least as random.
-Benjamini-Hochberg over all candidates at `rate` says from which p-value on a candidate is reported.
+What is controlled is the share of language among the tokens reported. Its null distribution is taken from the words
+and numbers of all texts, of any script: they are counted, and each word is drawn in proportion to a power of its
+count (so rare words, which look more random, weigh more than in the texts), numbers as other digits of their length.
+Draws in random order, joined in the ways in which identifiers are written (hyphens, run together, capitals at the
+heads, all capitals, numbers alone; in every other group with counters after some words), make tokens of each length that go through the same battery. Letters of other
+alphabets count as Latin letters by rule, signs of scripts without an alphabet as syllables: what a token of letters
+looks like depends on their frequencies, not on their shapes. The p-value of a candidate is the share of such tokens
+of its length that have its encoding and look at least as random. Benjamini-Hochberg over all candidates at `rate`
+says from which p-value on a candidate is reported.
 
 Everything is DataFrame functions. A document's spans are found once and written as a narrow table; the
 thresholds come from two histograms (encodings x lengths x bins, a fixed number of rows). Places are running sums in
 chunks, so the cost of a text grows with its length, however many matches it has.
 
 Defined cases: a null text is an empty one; very long texts are scanned whole; null or repeated doc_ids pass through
-row by row; texts with fewer words than some hundred tokens are too few to tell language from chance, and nothing is
-reported as random from them; spans that begin together are listed in the order of KINDS, then by end; other columns are ignored; an
+row by row; where the words of all texts make fewer tokens of a length than 1 / `rate`, language cannot be told from
+chance: no candidate of that length is reported, and `unjudged` counts those of the row; spans that begin together are listed in the order of KINDS, then by end; other columns are ignored; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Callable
@@ -52,8 +56,14 @@ ENCODINGS = (
 CLASSES = ("[^0-9]+", "[^a-z]+", "[^A-Z]+", "[0-9A-Za-z]+")
 #: Lengths from which a stratum begins: short tokens are hard to tell from random ones.
 LENGTHS = (20, 24, 32, 48, 80)
-#: Letters and hyphens that a language token of each length is made from, first as they are, then without hyphens.
-PIECES = (*LENGTHS, *(n * 3 // 2 for n in LENGTHS))
+#: What language is made of: runs of letters or digits. Texts without spaces give pieces of this length.
+WORD = r"\p{L}{1,24}|[0-9]{1,8}"
+#: A word of n occurrences is drawn DRAWS times n to this power, and GROUP draws, about, are joined at a time.
+DRAWS, POWER, GROUP = 2, 0.75, 64
+#: One word in so many has a counter of one to four digits after it, in every other group: versions, years, copies.
+COUNTERS = 3
+#: Ways in which the words of a group are joined.
+WAYS = 5
 P_BINS = 200
 CHUNK = 256
 NO_SPANS = "array<struct<start:int,end:int,match:string>>"
@@ -194,15 +204,46 @@ def candidates(text: Column) -> Column:
     return F.transform(spans(text, TOKEN), lambda x: F.concat(F.array(x), F.transform(parts(x), lambda y: moved(y, x["start"]))))
 
 
+def latin(word: Column) -> Column:
+    """The word in Latin letters, by a rule on code points: another alphabet's letters become letters, signs of scripts
+    without an alphabet a consonant and a vowel; capitals stay capitals."""
+    pick = lambda letters, at: F.substring(F.lit(letters), at.cast("int") % len(letters) + 1, F.lit(1))
+    syllable = lambda c: F.concat(pick("bcdfghjklmnpqrstvwxyz", c), pick("aeiou", c / 21))
+    written = lambda c: F.when(c < 128, F.char(c)).when(c < 0x2E80, pick("abcdefghijklmnopqrstuvwxyz", c)).otherwise(syllable(c))
+    sign = lambda c: let(written(F.ascii(F.lower(c))), lambda x: F.when(c == F.lower(c), x).otherwise(F.upper(x)))
+    return F.when(word.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), sign), "")).otherwise(word)
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(w, n): the words of the texts (column t) outside of long tokens with their numbers; all digits count as 0."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.regexp_replace("t", TOKEN, " "), F.lit(WORD), F.lit(0))).alias("w"))
+    return words.select(F.when(F.col("w") < ":", F.translate("w", "123456789", "0" * 9)).otherwise(F.col("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
 def language(texts: DataFrame) -> DataFrame:
-    """Tokens (column x) made of the words of the texts (column t): of each length of the strata, joined by hyphens
-    and without."""
-    joined = F.regexp_replace(F.regexp_replace("t", TOKEN, " "), "[^A-Za-z]+", "-")
-    blocks = texts.select(F.explode_outer(F.regexp_extract_all(joined, F.lit(f"[A-Za-z-]{{{LENGTHS[0]},{sum(PIECES)}}}"), F.lit(0))).alias("b"))
-    places = zip(PIECES, (1, *(1 + n for n in itertools.accumulate(PIECES))), strict=False)
-    pieces = [F.substring("b", at, n) for n, at in places]
-    made = pieces[: len(LENGTHS)] + [F.left(F.replace(x, F.lit("-"), F.lit("")), F.lit(n)) for x, n in zip(pieces[len(LENGTHS) :], LENGTHS, strict=True)]
-    return blocks.select(F.explode(F.array(*made)).alias("x")).filter(F.length("x").isin(*LENGTHS))
+    """Tokens (column x) of the lengths of the strata, made of the words of the texts (column t). A group of draws is
+    written in one way, which its number gives, and cut into tokens of one length after the other."""
+    words = cut(vocabulary(texts), "words").withColumn("times", (DRAWS * F.ceil(F.pow("n", F.lit(POWER)))).cast("long"))
+    n_groups = max(1, (words.agg(F.sum("times").alias("n")).first().n or 0) // GROUP)
+    drawn = words.select("w", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("k")).withColumn("at", F.xxhash64("w", "k"))
+    digits = F.left(F.lpad(F.pmod("at", F.lit(10**8)).cast("string"), 8, "0"), F.length("w"))
+    number = F.col("w").startswith("0")
+    draws = drawn.select(F.pmod(F.xxhash64("k", "w", F.lit("group")), F.lit(n_groups)).alias("g"), "at", number.alias("number"), F.when(number, digits).otherwise(latin(F.col("w"))).alias("x"))
+    counter = F.right(F.abs("at").cast("string"), F.pmod(F.shiftright("at", 8), F.lit(4)).cast("int") + 1)
+    counted = ~F.col("number") & (F.floor(F.col("g") / WAYS) % 2 == 1) & (F.pmod("at", F.lit(COUNTERS)) == 0)
+    draws = draws.withColumn("x", F.when(counted, F.concat("x", counter)).otherwise(F.col("x")))
+    groups = draws.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "number", "x"))).alias("xs"))
+    words_of = lambda xs: F.transform(xs, lambda x: x["x"])
+    heads = F.transform("xs", lambda x: F.concat(F.upper(F.left(x["x"], F.lit(1))), F.substring(x["x"], F.lit(2), F.length(x["x"]))))
+    together = F.array_join(words_of(F.col("xs")), "")
+    numbers = F.array_join(words_of(F.filter("xs", lambda x: x["number"])), "")
+    ways = [F.array_join(words_of(F.col("xs")), "-"), together, F.array_join(heads, ""), F.upper(together), numbers]
+    joined = groups.select(F.element_at(F.array(*ways), (F.col("g") % WAYS + 1).cast("int")).alias("s"))
+    # a group's text is cut again and again by the lengths in turn, so that long groups give more tokens
+    rounds = F.sequence(F.lit(0), F.floor(F.length("s") / sum(LENGTHS)).cast("int"))
+    heads_at = [sum(LENGTHS[:i]) for i in range(len(LENGTHS))]
+    made = F.transform(rounds, lambda r: F.array(*(F.substring(F.col("s"), r * sum(LENGTHS) + at + 1, F.lit(n)) for at, n in zip(heads_at, LENGTHS, strict=True))))
+    return joined.select(F.explode(F.flatten(made)).alias("x")).filter(F.length("x").isin(*LENGTHS))
 
 
 def histogram(tokens: DataFrame, floor: float) -> DataFrame:
@@ -235,7 +276,8 @@ def outermost(found: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> DataFrame:
-    """doc_id and spans: array of (start, kind, end, match), kind an index of KINDS.
+    """doc_id, spans: array of (start, kind, end, match), kind an index of KINDS, and unjudged: candidates of a length
+    of which language has too few tokens to tell.
 
     Of the tokens reported as random, the expected share of language is at most `rate`; none is reported whose
     battery says that a random token looks so with a chance of at most `floor`. A part of what is reported is not
@@ -249,12 +291,14 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, floor: float = 1e-3) -> Da
     texts = docs.select("doc_id", text.alias("t"))
     found = cut(texts.select("doc_id", F.concat(kind(assign, 0), kind(access, 1), kind(spans(F.col("t"), HEX), 2)).alias("base"), F.flatten(tokens).alias("tokens")), "secrets")
     seen = found.select(F.explode("tokens").alias("x")).groupBy("x.cell.stratum", "x.cell.bin").count()
-    null = histogram(language(texts), floor)
+    null = cut(histogram(language(texts), floor), "language")
     # a row for each stratum that has a limit: at most encodings times lengths, whatever the input
-    upto = F.array(*(F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r.upto).alias("upto")) for r in limits(cut(seen, "seen"), cut(null, "language"), rate).collect())).cast("array<struct<stratum:int,upto:int>>")
+    upto = F.array(*(F.struct(F.lit(r.stratum).alias("stratum"), F.lit(r.upto).alias("upto")) for r in limits(cut(seen, "seen"), null, rate).collect())).cast("array<struct<stratum:int,upto:int>>")
+    enough = [r.length for r in null.groupBy(F.floor(F.col("stratum") / 8).alias("length")).agg(F.sum("count").alias("n")).filter(F.col("n") >= 1 / rate).collect()]
     most = int(-10 * math.log10(floor))
     random = F.filter("tokens", lambda x: (x["cell"]["bin"] < most) & F.exists(upto, lambda y: (y["stratum"] == x["cell"]["stratum"]) & (x["cell"]["bin"] <= y["upto"])))
-    return found.select("doc_id", F.array_sort(F.concat("base", kind(outermost(random), 3))).alias("spans"))
+    unjudged = F.filter("tokens", lambda x: (x["cell"]["bin"] < most) & ~F.floor(x["cell"]["stratum"] / 8).isin(enough))
+    return found.select("doc_id", F.array_sort(F.concat("base", kind(outermost(random), 3))).alias("spans"), F.size(unjudged).cast("long").alias("unjudged"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -267,4 +311,5 @@ def digest(found: DataFrame) -> DataFrame:
         *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)),
         F.sha2(written(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
+        F.col("unjudged").alias("n_unjudged"),
     )

@@ -103,6 +103,49 @@ def test_secrets_joined_to_words(spark):
     assert not any(s.kind == 3 for k in range(len(planted), len(texts)) for s in got[k].spans)
 
 
+SYLLABLES = {
+    "Cyrillic": "на то ко ра во ни ст ре ал ли но ов ен".split(),
+    "Han": [chr(0x4E00 + 7 * k) for k in range(400)],
+    "Latin": "the of and ver tion ble sh th re wh ou nt er in on at es ed".split(),
+}
+
+
+@pytest.mark.parametrize("script", SYLLABLES)
+def test_secrets_beside_any_script(spark, script):
+    """Random tokens are found in texts of any script; identifiers with digits, dates and counters are left alone."""
+    rng = random.Random(23)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    vocabulary = ["".join(rng.choice(SYLLABLES[script]) for _ in range(rng.randint(1, 4))) for _ in range(2000)]
+    words = lambda n: [vocabulary[min(int(rng.paretovariate(0.7)) - 1, 1999)] for _ in range(n)]
+    planted = [" ".join([*words(80), "".join(rng.choice(alphabet) for _ in range(40)), *words(80)]) for _ in range(100)]
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    english = lambda n: ["".join(rng.choice(SYLLABLES["Latin"]) for _ in range(rng.randint(1, 3))) for _ in range(n)]
+    ways = (
+        lambda: "-".join([*english(5), number(4), number(2), number(2)]), lambda: "".join(w.title() for w in english(5)) + number(1),
+        lambda: "_".join(english(5)).upper() + "_" + number(4), lambda: f"{number(4)}-{number(2)}-{number(2)}-{'-'.join(english(4))}",
+    )
+    named = [f"see {ways[k % 4]()} end" for k in range(200)]
+    got = rows(secret_scan.digest(secret_scan.find_secrets(documents(spark, planted + named + [" ".join(words(300)) for _ in range(1000)]))))
+    caught, false = sum(got[k].n_random > 0 for k in range(100)), sum(got[k].n_random > 0 for k in range(100, len(got)))
+    assert caught >= 95 and false <= 0.05 * caught, (script, caught, false)
+    assert not any(r.n_unjudged for r in got.values())
+
+
+def test_secrets_unjudged(spark):
+    """Texts without words have no language to compare with: nothing is reported, and that is said."""
+    rng = random.Random(29)
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    got = rows(secret_scan.digest(secret_scan.find_secrets(documents(spark, [token, f"a {token}", None]))))
+    assert [(got[k].n_random, got[k].n_unjudged) for k in range(3)] == [(0, 1), (0, 1), (0, 0)]
+
+
+def test_secrets_latin(spark):
+    """Letters of any script become letters, signs without an alphabet syllables, capitals stay capitals."""
+    got = [r.y for r in spark.createDataFrame([(x,) for x in ("The", "Привет", "привет", "中文", "é9", "")], "x string").select(secret_scan.latin(F.col("x")).alias("y")).collect()]
+    assert got[0] == "The" and got[1].lower() == got[2] and got[1][0].isupper() and got[1][1:] == got[2][1:]
+    assert re.fullmatch("[a-z]{6}", got[2]) and re.fullmatch("([b-z][aeiou]){2}", got[3]) and re.fullmatch("[a-z]9", got[4]) and got[5] == ""
+
+
 def test_battery_is_even_on_random_tokens(spark):
     """p of tokens drawn at random is about uniform: dependent tests are combined by a method that allows it."""
     rng = random.Random(17)
