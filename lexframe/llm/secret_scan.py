@@ -61,7 +61,7 @@ WORD = r"\p{L}{1,24}|[0-9]{1,8}"
 #: A word of n occurrences is drawn DRAWS times n to this power, and GROUP draws, about, are joined at a time.
 DRAWS, POWER, GROUP = 2, 0.75, 64
 #: One word in so many has a counter of one to four digits after it, in every other group: versions, years, copies.
-COUNTERS = 3
+COUNTERS = 12
 #: Ways in which the words of a group are joined.
 WAYS = 5
 P_BINS = 200
