@@ -10,7 +10,8 @@ Slots are dealt in one task that reads one row for each source and writes one fo
 with the sources only, and nothing of it passes through the driver.
 
 Numbers within a source come from counts by (source, hash bucket), their running sums and a row number within a
-bucket, so a source with a third of all rows is spread over buckets.
+bucket, so a source with a third of all rows is spread over buckets. Each bucket has the slots of its blocks beside
+it, so whole rows are shuffled once, to their bucket, however many blocks there are.
 
 Defined cases: a null source is a source of its own; null doc_ids have places like any other; repeated rows each
 have a place; texts are not looked at, so empty and very long ones are places like others; ties of deadlines go by
@@ -30,7 +31,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import columns, cut, sized, unused
+from .common import columns, cut, unused
 
 #: Documents in a block; documents in a hash bucket, about.
 BLOCK, BUCKET = 16, 2000
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     """docs with block (number within its source), slot (of the whole mix) and place (within the block). Ordered
     by slot and place, the documents follow the weights. Every row has a place; none is dropped or repeated."""
     docs = docs.drop(*PLACES)
-    source, order, bucket, offset, i = unused(docs, "_key", "_order", "_bucket", "_offset", "_i")
+    source, order, bucket, offset, slots, i = unused(docs, "_key", "_order", "_bucket", "_offset", "_slots", "_i")
     rows = docs.withColumns({source: key(F.col("source")), order: F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))})
     n_buckets = max(1, -(-docs.count() // BUCKET))
     rows = rows.withColumn(bucket, F.pmod(F.shiftrightunsigned(order, 20), F.lit(n_buckets)))
@@ -120,15 +121,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, other:
     # where each block goes, from the numbers of blocks alone: one row for each block
     where = cut(sizes.select(source, "n").coalesce(1).mapInArrow(deal, SLOTS), "slots").withColumnRenamed("_key", source)
 
+    # for each bucket the slots of its blocks, in order, so that the rows move once, to their bucket
     before = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(source, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
+    offsets = counts.withColumn(offset, F.coalesce(F.sum("n").over(before), F.lit(0)))
+    reach = F.sequence(F.floor(F.col(offset) / block), F.floor((F.col(offset) + F.col("n") - 1) / block))
+    placed = (
+        offsets.select(source, bucket, offset, F.explode(reach).alias("block"))
+        .join(where, [source, "block"])
+        .groupBy(source, bucket)
+        .agg(F.first(offset).alias(offset), F.sort_array(F.collect_list(F.struct("block", "slot"))).alias(slots))
+    )
     within = Window.partitionBy(source, bucket).orderBy(order, "doc_id")
+    here = F.element_at(slots, (F.floor(F.col(i) / block) - F.floor(F.col(offset) / block) + 1).cast("int"))
     return (
         rows.withColumn(i, F.row_number().over(within) - 1)
-        .join(sized(offsets), [source, bucket])
+        .join(placed.hint("merge"), [source, bucket])  # both sides are dealt and sorted by the bucket already
         .withColumn(i, F.col(i) + F.col(offset))
-        .withColumns({"block": F.floor(F.col(i) / block), "place": F.col(i) % block})
-        .join(sized(where), [source, "block"])
+        .withColumns({"block": here["block"], "slot": here["slot"], "place": F.col(i) % block})
         .select(*docs.columns, *PLACES)
     )
 

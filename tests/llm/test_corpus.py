@@ -572,6 +572,21 @@ def test_mixing_many_sources(spark):
     assert {r.slot for r in got if r.source == "s0"} == {5499}
 
 
+def test_mixing_over_buckets(spark, monkeypatch):
+    """Many small buckets, blocks across their borders, ties of hashes: numbers as by sorting, slots as dealt; rows are shuffled once."""
+    monkeypatch.setattr(mixing, "BUCKET", 10)
+    docs = spark.range(900).select((F.col("id") % 450).alias("doc_id"), F.when(F.col("id") % 3 > 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 4)).alias("source"), F.lit("x" * 50).alias("text"))
+    mixed = mixing.mix(docs, block=7)
+    got = mixed.collect()
+    hashed = docs.select("doc_id", "source", F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")).alias("h"), F.lit(0)).collect()
+    per_source = {}
+    for d, s, h, _ in hashed:
+        per_source.setdefault(s, []).append(((h % 2**64 >> 20) % 90, h, d))
+    dealt = {(s, b): slot for s, b, slot in mixing.dealt({mixing.key_of(s): -(-len(x) // 7) for s, x in per_source.items()}, {mixing.key_of(s): len(x) ** 0.5 for s, x in per_source.items()})}
+    want = sorted((s, k // 7, k % 7, dealt[mixing.key_of(s), k // 7], d) for s, x in per_source.items() for k, (_, _, d) in enumerate(sorted(x)))
+    assert sorted((r.source, r.block, r.place, r.slot, r.doc_id) for r in got) == want
+
+
 # 8: n-gram Jaccard join
 
 
