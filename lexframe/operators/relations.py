@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, narrow, written
 
 
 def matter_client(matters: DataFrame, clients: DataFrame) -> DataFrame:
@@ -94,19 +94,18 @@ def matters_order() -> list[Column]:
 
 def placed(rows: DataFrame, order: list[Column], within: str | None = None) -> DataFrame:
     """rows with their place (from 1) in an order, of all or within the rows of one value. Rows are dealt into ranges
-    of the order and numbered in each; the ranges' sizes give the rest, so no task sees more than a range."""
-    spark, by = rows.sparkSession, [*([F.col(within)] if within else []), *order]
+    of the order and numbered in each; the sizes of the ranges (or of a value's parts of them) before give the rest, so
+    no task sees more than a range. What rows come from is worked out once: the ranges are sampled from a table."""
+    spark, by, own = rows.sparkSession, [*([F.col(within)] if within else []), *order], [within] if within else []
     path = fresh_path(spark, "ranges")
-    rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    written(rows, "unplaced").repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     ranged = spark.read.parquet(path)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = ranged.join(F.broadcast(offsets), "_range").withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*by)) + F.col("_before"))
-    if within:
-        first = numbered.groupBy(within).agg((F.min("place") - 1).alias("_first"))
-        numbered = numbered.join(first, within).withColumn("place", F.col("place") - F.col("_first"))
-    return numbered.select(*rows.columns, "place")
+    sizes = ranged.groupBy("_range", *own).agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy(*own) if within else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sizes.select(F.col("_range").alias("_of"), *(F.col(c).alias("_value") for c in own), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = (F.col("_range") == F.col("_of")) & (F.col(within).eqNullSafe(F.col("_value")) if within else F.lit(True))
+    place = F.row_number().over(Window.partitionBy("_range", *own).orderBy(*order))
+    return ranged.withColumn("place", place).join(narrow(offsets), same).select(*rows.columns, (F.col("place") + F.col("_before")).alias("place"))
 
 
 def exist(keys: DataFrame, rows: DataFrame, on: str) -> DataFrame:

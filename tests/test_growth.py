@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexframe.operators import finance, security
+from lexframe.operators import conflicts, finance, relations, security, surface
+from lexframe.sources import adapter
 
 
 @pytest.fixture
@@ -44,3 +45,30 @@ def test_a_patch_is_judged_in_one_pass(spark):
     assert plan(got).count("Join") <= 9 and {r.id: r.reason for r in got.collect() if r.reason != "hidden"} == {k: "written" for k in (3, 9, 21, 27, 33, 39, 51, 57)}
     none = security.refused_updates("discovery_responses", rows, patch, security.Principal("attorney"), tables)
     assert [tuple(r) for r in none.collect()] == [(99, "hidden")]
+
+
+def test_places_within_a_null(spark):
+    """Rows of no value are placed too, and ranges that a value is spread over go on where the one before ended."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 3001).alias("v"))
+    got = [tuple(r) for r in relations.placed(rows, [F.col("v")], "k").collect()]
+    want = [(k, v, at + 1) for k in (None, 1, 2) for at, v in enumerate(sorted(i * 7919 % 3001 for i in range(3000) if (i % 3 or None) == k))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_few_searches_are_compared_by_all_tasks(spark):
+    """However few files the names lie in."""
+    subjects = spark.range(0, 500, 1, 1).select(F.lit("client").alias("source"), F.col("id").alias("entity_id"), F.concat(F.lit("customer "), "id").alias("name"))
+    hits = conflicts.search_trigram(spark.createDataFrame([("customer 12",)], "search string"), subjects)
+    assert hits.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and hits.count() > 400
+
+
+def test_a_function_splits_each_name_once(spark):
+    load = lambda session, name: adapter.load(session, "/root/testdata/sf0.001", name)
+    found = surface.opened(spark, load).sql("SELECT * FROM search_conflicts('customer 000000012', 0.3)")
+    assert plan(found).count("split(lower(") <= 1 and found.count() > 100  # the search's own are folded
+
+
+def test_a_function_compares_by_many_tasks(shuffled, tmp_path):
+    load = lambda session, name: adapter.load(session, "/root/testdata/sf0.001", name)
+    found = surface.opened(shuffled, load).sql("SELECT * FROM search_conflicts('customer 000000012', 0.3)")
+    assert found.rdd.getNumPartitions() >= 8
