@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,10 +35,12 @@ class Alerts(StatefulProcessor):
         self.state = handle.getValueState("state", "cents long, status string, since long, reminded boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        cents, now, since, reminded = self.state.get() if self.state.exists() else (0, "", 0, False)
+        cents, now, since, reminded = self.state.get() or (0, "", 0, False)
         out, due = [], since + self.wait if now == "yellow" and not reminded else None
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        for at, amount, floor in zip(batch["ts"], batch["cents"], batch["floor"], strict=True):
+        columns = zip(*([x[c].to_numpy() for c in ("ts", "id", "cents", "floor")] for x in rows), strict=True)
+        ts, ids, amounts, floors = (np.concatenate(c) for c in columns)
+        order = np.lexsort((ids, ts))
+        for at, amount, floor in zip(ts[order].tolist(), amounts[order].tolist(), floors[order].tolist(), strict=True):
             if now == "yellow" and not reminded and since + self.wait <= at:
                 out.append((key[0], since + self.wait, "still yellow", "yellow", "yellow"))
                 reminded = True
@@ -53,23 +56,22 @@ class Alerts(StatefulProcessor):
                 self.handle.deleteTimer(due)
             if wanted is not None:
                 self.handle.registerTimer(wanted)
-        yield _frame(out)
+        if out:  # most batches of most matters tell nothing, and a frame costs more than their rows
+            yield _frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         cents, now, since, reminded = self.state.get()
         if now == "yellow" and not reminded:
             self.state.update((cents, now, since, True))
             yield _frame([(key[0], since + self.wait, "still yellow", "yellow", "yellow")])
-        else:
-            yield _frame([])
 
     def close(self) -> None:
         pass
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["matter_id", "at", "kind", "before", "after"])
-    return out.astype({"matter_id": "int64"}).assign(at=pd.to_datetime(out["at"], unit="ms"))
+    matter, at, kind, before, after = zip(*rows, strict=True)
+    return pd.DataFrame({"matter_id": np.array(matter, np.int64), "at": np.array(at, "datetime64[ms]").astype("datetime64[ns]"), "kind": kind, "before": before, "after": after})
 
 
 def alerts(ledger: DataFrame, matters: DataFrame, days: int = 30, late: str = "0 seconds") -> DataFrame:
