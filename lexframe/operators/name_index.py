@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
-from ..sources.shared import exists, narrow
+from ..sources.shared import exists, narrow, written
 
 BUCKETS = 64
+#: A bucket's postings are written by a task for each so many new names: a trigram that all names have is in one bucket.
+SHARE = 500_000
 KEY = ("source", "entity_id")
 
 
@@ -31,9 +33,12 @@ def extend(path: str, subjects: DataFrame) -> None:
     new = subjects.select(*KEY, "name").dropDuplicates(list(KEY))
     if exists(spark, f"{path}/names"):
         new = new.join(spark.read.parquet(f"{path}/names").select(*KEY), list(KEY), "left_anti")
+    new = written(new, "new")
+    shares = F.pmod(F.xxhash64(*KEY), F.lit(new.count() // SHARE + 1))
     grams = scalar.trigrams(F.col("name"))
-    postings = new.select(*KEY, "name", F.size(grams).alias("grams"), F.explode(grams).alias("gram")).withColumn("bucket", bucket(F.col("gram")))
-    postings.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
+    spread = new.repartition(3 * spark.sparkContext.defaultParallelism, *KEY)  # few bytes, much work: all tasks split names
+    postings = spread.select(*KEY, "name", F.size(grams).alias("grams"), F.explode(grams).alias("gram")).withColumn("bucket", bucket(F.col("gram")))
+    postings.repartition("bucket", shares).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
     counts = spark.read.parquet(f"{path}/postings") if not exists(spark, f"{path}/often") else postings
     counts.groupBy("gram").agg(F.count("*").alias("n")).withColumn("bucket", bucket(F.col("gram"))).write.partitionBy("bucket").mode("append").parquet(f"{path}/often")
     new.write.mode("append").parquet(f"{path}/names")
@@ -67,13 +72,13 @@ def met(spark: SparkSession, path: str, names: DataFrame, threshold: float) -> D
     n = F.size(wanted["grams"])
     lengths = (postings["grams"] >= threshold * n - 1e-6) & (threshold * postings["grams"] - 1e-6 <= n)
     joined = postings.join(narrow(wanted), (postings["gram"] == wanted["gram"]) & lengths)
-    return joined.select("search", wanted["grams"].alias("_q"), *KEY, "name")
+    return joined.select("search", *KEY, "name")
 
 
 def search(spark: SparkSession, path: str, names: DataFrame, threshold: float = 0.3) -> DataFrame:
     """names (column search) against the index: search, source, entity_id, matched_name, sim over the threshold."""
-    pairs = met(spark, path, names, threshold).dropDuplicates(["search", *KEY])
-    t = scalar.trigrams(F.col("name"))
-    k = F.size(F.array_intersect("_q", t))
-    found = pairs.withColumn("sim", scalar.ratio32(k, F.size("_q") + F.size(t) - k))
+    asked = names.select("search").distinct().withColumn("_q", scalar.trigrams(F.lower("search")))
+    pairs = met(spark, path, names, threshold).distinct().join(narrow(asked), "search")  # narrow rows are told apart; grams come after
+    shared = pairs.withColumn("_t", scalar.trigrams(F.col("name"))).select("*", F.explode(F.array(F.size(F.array_intersect("_q", "_t")))).alias("_k"))
+    found = shared.withColumn("sim", scalar.ratio32(F.col("_k"), F.size("_q") + F.size("_t") - F.col("_k")))
     return found.filter(F.col("sim") > threshold).select("search", *KEY, F.col("name").alias("matched_name"), "sim")

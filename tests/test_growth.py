@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexframe.operators import conflicts, finance, relations, security, surface
+from lexframe.operators import conflicts, drafting, finance, name_index, relations, security, surface
 from lexframe.sources import adapter
+from lexframe.streaming import alerts
 
 
 @pytest.fixture
@@ -72,3 +73,46 @@ def test_a_function_compares_by_many_tasks(shuffled, tmp_path):
     load = lambda session, name: adapter.load(session, "/root/testdata/sf0.001", name)
     found = surface.opened(shuffled, load).sql("SELECT * FROM search_conflicts('customer 000000012', 0.3)")
     assert found.rdd.getNumPartitions() >= 8
+
+
+def test_a_bucket_is_written_by_many_tasks(shuffled, tmp_path, monkeypatch):
+    """All names have the trigrams of "customer": their postings are not one task's, and what is met carries no arrays."""
+    spark = shuffled
+    monkeypatch.setattr(name_index, "SHARE", 100, raising=False)
+    names = spark.range(800).select(F.lit("client").alias("source"), F.col("id").alias("entity_id"), F.concat(F.lit("customer "), "id").alias("name"))
+    name_index.extend(str(tmp_path / "i"), names)
+    posted = spark.read.parquet(str(tmp_path / "i" / "postings")).filter("gram = 'cus'")
+    assert posted.count() == 800 and posted.select(F.input_file_name()).distinct().count() > 1
+    met = name_index.met(spark, str(tmp_path / "i"), spark.createDataFrame([("customer 12",)], "search string"), 0.3)
+    assert not [c for c, kind in met.dtypes if kind.startswith("array")]
+
+
+def test_claims_that_items_cannot_tell_apart_are_one(spark):
+    """A thousand claims of one text: an item meets one form of them, and the smallest ids come first."""
+    claims = spark.range(1000).selectExpr("1L AS matter_id", "lpad(string(id), 4, '0') AS claim_id", "concat('breach of trust b', id % 50) AS text")
+    items = spark.createDataFrame([(1, "i", "breach"), (1, "j", "trust b7")], "matter_id long, item_id string, text string")
+    indexed = drafting.index(claims)
+    found = [(r.item_id, r.claim_id, r.place) for r in drafting.best_claims(items, indexed).orderBy("item_id", "place").collect()]
+    assert found == [("i", "0000", 1), ("i", "0001", 2), ("i", "0002", 3), ("j", "0007", 1), ("j", "0057", 2), ("j", "0107", 3)]
+    words = spark.createDataFrame([(1, "breach"), (1, "trust"), (1, "b7")], "matter_id long, term string")
+    assert sorted(len(r.claim_ids) for r in drafting.forms(words, indexed, 3).collect()) == [3, 3]
+
+
+def test_alerts_make_no_empty_frames():
+    """A matter whose rows cross nothing gives no frame."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.row = (500, "green", 0, False)
+
+        exists, get = lambda self: True, lambda self: self.row
+
+        def update(self, row):
+            self.row = row
+
+    each = alerts.Alerts(30)
+    each.state, each.handle = State(), None
+    rows = [pd.DataFrame({"matter_id": [1], "id": [k], "ts": [at], "cents": [c], "floor": [40]}) for k, at, c in ((2, 9, 5), (1, 3, 7))]
+    assert list(each.handleInputRows((1,), iter(rows), None)) == [] and each.state.row == (512, "green", 0, False)
+    assert list(each.handleExpiredTimer((1,), None, None)) == []
