@@ -60,6 +60,8 @@ LENGTHS = (20, 24, 32, 48, 80)
 WORD = r"\p{L}{1,24}|[0-9]{1,8}"
 #: A word of n occurrences is drawn DRAWS times n to this power, and GROUP draws, about, are joined at a time.
 DRAWS, POWER, GROUP = 2, 0.75, 64
+#: Draws that a task joins to tokens, about: their number of tasks grows with the words, not the task.
+TASK_DRAWS = 250_000
 #: One word in so many has a counter of one to four digits after it, in every other group: versions, years, copies.
 COUNTERS = 12
 #: Ways in which the words of a group are joined.
@@ -224,15 +226,19 @@ def language(texts: DataFrame) -> DataFrame:
     """Tokens (column x) of the lengths of the strata, made of the words of the texts (column t). A group of draws is
     written in one way, which its number gives, and cut into tokens of one length after the other."""
     words = cut(vocabulary(texts), "words").withColumn("times", (DRAWS * F.ceil(F.pow("n", F.lit(POWER)))).cast("long"))
-    n_groups = max(1, (words.agg(F.sum("times").alias("n")).first().n or 0) // GROUP)
-    drawn = words.select("w", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("k")).withColumn("at", F.xxhash64("w", "k"))
+    n_draws = words.agg(F.sum("times").alias("n")).first().n or 0
+    n_groups, n_parts = max(1, n_draws // GROUP), n_draws // TASK_DRAWS + 1
+    group = F.pmod(F.xxhash64("k", "w", F.lit("group")), F.lit(n_groups))
+    # only the word and the draw's number are shuffled, once: all else of a draw follows from them on the other side
+    dealt = words.select("w", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("k")).withColumn("part", F.pmod(group, F.lit(n_parts)).cast("int"))
+    drawn = dealt.repartitionById(n_parts, "part").withColumns({"at": F.xxhash64("w", "k"), "g": group})
     digits = F.left(F.lpad(F.pmod("at", F.lit(10**8)).cast("string"), 8, "0"), F.length("w"))
     number = F.col("w").startswith("0")
-    draws = drawn.select(F.pmod(F.xxhash64("k", "w", F.lit("group")), F.lit(n_groups)).alias("g"), "at", number.alias("number"), F.when(number, digits).otherwise(latin(F.col("w"))).alias("x"))
+    draws = drawn.select("part", "g", "at", number.alias("number"), F.when(number, digits).otherwise(latin(F.col("w"))).alias("x"))
     counter = F.right(F.abs("at").cast("string"), F.pmod(F.shiftright("at", 8), F.lit(4)).cast("int") + 1)
     counted = ~F.col("number") & (F.floor(F.col("g") / WAYS) % 2 == 1) & (F.pmod("at", F.lit(COUNTERS)) == 0)
     draws = draws.withColumn("x", F.when(counted, F.concat("x", counter)).otherwise(F.col("x")))
-    groups = draws.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "number", "x"))).alias("xs"))
+    groups = draws.groupBy("part", "g").agg(F.array_sort(F.collect_list(F.struct("at", "number", "x"))).alias("xs"))
     words_of = lambda xs: F.transform(xs, lambda x: x["x"])
     heads = F.transform("xs", lambda x: F.concat(F.upper(F.left(x["x"], F.lit(1))), F.substring(x["x"], F.lit(2), F.length(x["x"]))))
     together = F.array_join(words_of(F.col("xs")), "")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexframe.llm import secret_scan
 from lexframe.operators import conflicts, drafting, finance, name_index, relations, security, surface
 from lexframe.sources import adapter
 from lexframe.streaming import alerts
@@ -116,3 +117,18 @@ def test_alerts_make_no_empty_frames():
     rows = [pd.DataFrame({"matter_id": [1], "id": [k], "ts": [at], "cents": [c], "floor": [40]}) for k, at, c in ((2, 9, 5), (1, 3, 7))]
     assert list(each.handleInputRows((1,), iter(rows), None)) == [] and each.state.row == (512, "green", 0, False)
     assert list(each.handleExpiredTimer((1,), None, None)) == []
+
+
+def test_draws_are_shuffled_as_words(spark, monkeypatch):
+    """No group's draws are gathered before they are shuffled, and the tokens do not depend on how many tasks join them."""
+    n = F.col("id")
+    texts = spark.range(3000).select(F.concat_ws(" ", F.translate(F.hex(n * 7919), "0123456789", "ghijklmnop"), F.lit("common"), n.cast("string")).alias("t"))
+    one = secret_scan.language(texts)
+    above, _, below = one._jdf.queryExecution().executedPlan().toString().partition("Exchange ")
+    assert "collect_list" in above and below and "collect_list" not in below
+    want = sorted(r.x for r in one.collect())
+    monkeypatch.setattr(secret_scan, "TASK_DRAWS", 500)
+    many = secret_scan.language(texts)
+    assert sorted(r.x for r in many.collect()) == want and len(want) > 500
+    sizes = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < len(want) / 5
