@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexframe.llm import secret_scan
 from lexframe.operators import conflicts, drafting, finance, name_index, relations, security, surface
+from lexframe.plans import ingest
 from lexframe.sources import adapter
 from lexframe.streaming import alerts
 
@@ -132,3 +133,20 @@ def test_draws_are_shuffled_as_words(spark, monkeypatch):
     assert sorted(r.x for r in many.collect()) == want and len(want) > 500
     sizes = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 10 and max(sizes) < len(want) / 5
+
+
+def test_replies_are_parsed_once(spark):
+    """No part of a preview parses a reply again, and the counts are those of the parts: counsel known twice count twice,
+    those without a state once, a document named twice has two rows, one without a readable reply has zeros."""
+    reply = '{"children": [{"name": "A"}, {"name": ""}, {"name": null}], "counsel": [{"bar_state": "TX", "bar_number": "1"}, {"bar_state": "TX", "bar_number": "2"}, {"bar_number": "3"}, {"name": "N"}]}'
+    said = '[{"kind": "claim", "label": "x"}, {"kind": "claim", "label": ""}, {"kind": "wish", "label": "y"}, {"kind": "defense", "label": "z"}]'
+    rows = spark.createDataFrame([(1, 10, "", f"```json\n{reply}\n```", said), (2, 10, "", "oops", "["), (3, 99, "", "{}", None), (4, 10, "", None, said)], "doc long, matter_id long, text string, reply string, claims_reply string")
+    m = spark.createDataFrame([(10, "Court", "Travis")], "id long, court_name string, county string")
+    counsel = spark.createDataFrame([(k, f"C{k}", None, "TX", "1") for k in (5, 6)] + [(7, "D", None, "OK", "2")], "id long, name string, email string, bar_state string, bar_number string")
+    preview = ingest.preview_pleading(rows, m, counsel)
+    docs = rows.select("doc", "matter_id").unionByName(rows.select("doc", "matter_id").filter("doc = 1"))
+    kept = ingest.commit_pleading(preview, docs, counsel.select("bar_state", "bar_number"), spark.createDataFrame([(10, 6)], "matter_id long, counsel_id long"))
+    assert sorted(tuple(r) for r in kept["counts"].collect()) == [(1, 1, 2, 4), (1, 1, 2, 4), (2, 0, 0, 0), (3, 0, 0, 0), (4, 0, 2, 0)]
+    assert {(r.bar_state, r.bar_number) for r in kept["counsel"].collect()} == {("TX", "2"), (None, "3")} and [tuple(r) for r in kept["links"].collect()] == [(10, 5)]
+    assert {r.doc for r in preview["warnings"].filter("warning like 'metadata%'").collect()} == {2, 4} and {r.doc for r in preview["diffs"].collect()} == {1, 2, 4}
+    assert not any(word in plan(df) for df in (*preview.values(), *kept.values()) for word in ("parseJson", "from_json"))
