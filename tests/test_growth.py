@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexframe.llm import secret_scan
 from lexframe.operators import conflicts, drafting, finance, name_index, relations, security, surface
-from lexframe.plans import ingest
+from lexframe.plans import ingest, pipelines
 from lexframe.sources import adapter
 from lexframe.streaming import alerts
 
@@ -150,3 +150,15 @@ def test_replies_are_parsed_once(spark):
     assert {(r.bar_state, r.bar_number) for r in kept["counsel"].collect()} == {("TX", "2"), (None, "3")} and [tuple(r) for r in kept["links"].collect()] == [(10, 5)]
     assert {r.doc for r in preview["warnings"].filter("warning like 'metadata%'").collect()} == {2, 4} and {r.doc for r in preview["diffs"].collect()} == {1, 2, 4}
     assert not any(word in plan(df) for df in (*preview.values(), *kept.values()) for word in ("parseJson", "from_json"))
+
+
+def test_pleadings_are_dealt_to_all_tasks(spark):
+    """Ids are few bytes, so that partitions put together by size would leave the parsing of all replies to one task."""
+    made = pipelines._pleadings(lambda _: spark.range(0, 3000, 1, 1).select("id", (F.col("id") % 7).alias("matter_id")))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", old)
+    assert sum(sizes) == 3000 and max(sizes) < 500
