@@ -152,6 +152,37 @@ def test_replies_are_parsed_once(spark):
     assert not any(word in plan(df) for df in (*preview.values(), *kept.values()) for word in ("parseJson", "from_json"))
 
 
+def test_a_commit_does_all_its_stages(spark):
+    """Two documents of one matter name the same counsel, known and new: the first adds the counsel and its link, the last one's
+    word is left in the fields; a link that is there is not made again, counsel who came in since the preview are known, and a
+    document that is not committed writes nothing."""
+    said = lambda county, name, n: f'{{"title": "T", "county": "{county}", "children": [{{"name": "A"}}], "counsel": [{{"name": "{name}", "bar_state": "TX", "bar_number": "1"}}, {{"name": "{name}", "bar_state": "TX", "bar_number": "{n}"}}]}}'
+    claims = '[{"kind": "claim", "label": "x"}]'
+    rows = spark.createDataFrame([(1, 10, "", said("Bexar", "N1", 2), claims), (2, 10, "", said("Hays", "N2", 2), claims), (3, 11, "", said("Travis", "N3", 4), claims), (4, 11, "", "oops", None), (5, 11, "", said("Lee", "N5", 3), claims)], "doc long, matter_id long, text string, reply string, claims_reply string")
+    m = spark.createDataFrame([(10, "Court", "Travis"), (11, "Court", "Travis")], "id long, court_name string, county string")
+    counsel = spark.createDataFrame([(7, "Old", None, "TX", "1")], "id long, name string, email string, bar_state string, bar_number string")
+    preview = ingest.preview_pleading(rows, m, counsel)
+    now = counsel.select("id", "bar_state", "bar_number").unionByName(spark.createDataFrame([(8, "TX", "4")], "id long, bar_state string, bar_number string"))
+    kept = ingest.commit_pleading(preview, rows.select("doc", "matter_id").filter("doc < 5"), now, spark.createDataFrame([(11, 7)], "matter_id long, counsel_id long"))
+    got = {part: sorted((r.asDict() for r in kept[part].collect()), key=repr) for part in kept}
+    assert got["counsel"] == [{"doc": 1, "name": "N1", "email": None, "bar_state": "TX", "bar_number": "2"}]
+    assert [tuple(r.values()) for r in got["links"]] == [(10, 7), (11, 8)] and [tuple(r.values()) for r in got["new_links"]] == [(10, "TX", "2")]
+    assert got["matters"] == [{"matter_id": 10, "court_name": None, "county": "Hays"}]
+    assert got["counsel_patch"] == [{"counsel_id": 7, "name": "N3", "email": None}, {"counsel_id": 8, "name": "N3", "email": None}]
+    assert [(r["doc"], r["matter_id"], r["title"]) for r in got["pleadings"]] == [(1, 10, "T"), (2, 10, "T"), (3, 11, "T"), (4, 11, "(untitled)")]
+    assert [(r["doc"], r["matter_id"]) for r in got["children"]] == [(r["doc"], r["matter_id"]) for r in got["claims"]] == [(1, 10), (2, 10), (3, 11)]
+    assert [tuple(r) for r in kept["records"].orderBy("doc").collect()] == [(1, "T", 1, 1, 2, 1, 2, 0, 0), (2, "T", 1, 1, 2, 0, 0, 0, 1), (3, "T", 1, 1, 2, 0, 1, 2, 0), (4, "(untitled)", 0, 0, 0, 0, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("table, column", [("matter_opposing_counsel", "links"), ("opposing_counsel", "new_counsel"), ("opposing_counsel", "counsel_fields"), ("matters", "matter_fields")])
+def test_what_a_commit_meets_tells_in_its_result(spark, table, column):
+    """Without the rows of a table that a stage of pipe_pleading_commit reads, the result is another."""
+    load = lambda name: adapter.load(spark, "/root/testdata/sf0.001", name)
+    without = lambda name: load(name).limit(0) if name == table else load(name)
+    total = lambda t: pipelines.pipe_pleading_commit(t).agg(F.sum(column)).first()[0]
+    assert total(load) != total(without)
+
+
 def test_pleadings_are_dealt_to_all_tasks(spark):
     """Ids are few bytes, so that partitions put together by size would leave the parsing of all replies to one task."""
     made = pipelines._pleadings(lambda _: spark.range(0, 3000, 1, 1).select("id", (F.col("id") % 7).alias("matter_id")))
